@@ -6,27 +6,14 @@ integer `k` (0-99) picks the line, the stop and which quality fault it shows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from punctual.functions.times import seconds_between
 from punctual.operators.collector import with_previous_success
+from punctual.plans.tables import Tables
 from punctual.session import configure
 
 
-@dataclass(frozen=True)
-class Tables:
-    """Source tables of the engine; polls and alerts may be absent."""
-
-    observations: DataFrame
-    polls: DataFrame | None = None
-    alerts: DataFrame | None = None
-    stops: DataFrame | None = None
-    routes: DataFrame | None = None
-    city_parts: DataFrame | None = None
-
-
 def text(column: Column) -> Column:
     return column.cast("string")
 
