@@ -243,7 +243,7 @@ def alert_lift(
     ).select(*columns)
 
 
-def alert_histograms(
+def alert_active(
     buckets: DataFrame,
     alerts: DataFrame,
     routes: DataFrame | None,
@@ -252,9 +252,11 @@ def alert_histograms(
     end: datetime | None = None,
     kind: str = "any",
     timezone: str = DEFAULT_TIMEZONE,
-) -> tuple[DataFrame, DataFrame]:
-    """Active and control histograms of every group, from written buckets."""
+) -> DataFrame:
+    """Active histogram of every group, from written buckets.
+
+    Write it before comparing: metrics, contexts and controls each read it.
+    """
     bounds = observation_bounds(buckets)
     targets = alert_targets(active_alerts(alerts, start, end), routes, *bounds, kind=kind, timezone=timezone)
-    active = active_histogram(buckets, day_cells(targets, *bounds))
-    return active, control_histogram(buckets, active)
+    return active_histogram(buckets, day_cells(targets, *bounds))

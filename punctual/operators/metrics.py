@@ -25,14 +25,19 @@ SEEN = "_first_seen"
 def delay_histogram(rows: DataFrame, keys: Sequence[str], names: Sequence[str] = ()) -> DataFrame:
     """Count rows and polls per (keys, names, delay).
 
-    `names` are descriptive columns of which the earliest is wanted later; as
-    grouping columns they keep every aggregate in a fixed-width buffer.
+    `rows` are buckets or a finer histogram of them. `names` are descriptive
+    columns of which the earliest is wanted later; as grouping columns they
+    keep every aggregate in a fixed-width buffer.
     """
-    polls = F.col(POLLS) if POLLS in rows.columns else F.lit(1)
+    present = rows.columns
+    polls = F.col(POLLS) if POLLS in present else F.lit(1)
     columns = list(dict.fromkeys([*keys, *names, DELAY]))
-    aggregates = [F.count(F.lit(1)).alias(COUNT), F.coalesce(F.sum(polls), F.lit(0)).cast("long").alias(POLLS)]
+    aggregates = [
+        (F.sum(COUNT) if COUNT in present else F.count(F.lit(1))).alias(COUNT),
+        F.coalesce(F.sum(polls), F.lit(0)).cast("long").alias(POLLS),
+    ]
     if names:
-        aggregates.append(F.min("representative_time_utc").alias(SEEN))
+        aggregates.append(F.min(SEEN if SEEN in present else "representative_time_utc").alias(SEEN))
     return rows.groupBy(*columns).agg(*aggregates)
 
 

@@ -209,6 +209,7 @@ def validate_public(name: str, df: DataFrame, required: Iterable[str] = (), loca
 
 # Columns each published table must carry.
 REQUIRED = {
+    "meta": ("schema_version", "timezone", "bucket_mode", "quality_mode", "minimum_bucket_count"),
     "hourly_profile": ("local_hour", "bucket_count", "p90_delay_min"),
     "lines": ("line_ref", "line_name", "bucket_count", "p90_delay_min"),
     "contexts": ("line_ref", "direction_ref", "day_type", "local_hour", "p90_delay_min"),

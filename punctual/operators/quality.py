@@ -146,54 +146,67 @@ def select_rows(rows: DataFrame, *, start=None, end=None, line=None, direction=N
     return rows.filter(F.col("next_stop_point_ref").isNotNull()) if has_stop else rows
 
 
-def quality_summary(rows: DataFrame) -> DataFrame:
+def quality_counts(rows: DataFrame) -> DataFrame:
+    """Rows per line, name and combination of flags: all the quality reports need.
+
+    Plain hash aggregation over at most 32 flag combinations per line name, so
+    a hot line is combined on the map side.
+    """
+    return rows.groupBy("line_ref", "published_line_name", *QUALITY_FLAGS).agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("recorded_at_utc").alias("first_recorded")
+    )
+
+
+def counted(condition: Column | str) -> Column:
+    condition = F.col(condition) if isinstance(condition, str) else condition
+    return F.sum(F.when(condition, F.col("row_count")).otherwise(F.lit(0)))
+
+
+def quality_summary(counts: DataFrame) -> DataFrame:
     """Count and share of each check, long form; no rows for no input."""
     checks = {"analysis_rows": F.lit(True), **{c: F.col(c) for c in QUALITY_FLAGS}}
     checks["conservative_excluded_default"] = any_of(DEFAULT_EXCLUSIONS)
     checks["conservative_excluded_with_stop_call_disagreement"] = any_of(QUALITY_FLAGS)
-    counted = rows.agg(
-        F.count(F.lit(1)).alias("_total"), *[F.count_if(flag).alias(name) for name, flag in checks.items()]
-    )
+    totals = counts.agg(F.sum("row_count").alias("_total"), *[counted(c).alias(n) for n, c in checks.items()])
     return (
-        counted.filter(F.col("_total") > 0)
+        totals.filter(F.col("_total") > 0)
         .unpivot(["_total"], list(checks), "quality_check", "row_count")
         .select("quality_check", "row_count", (F.col("row_count") / F.col("_total") * 100.0).alias("pct_rows"))
     )
 
 
-def quality_by_line(rows: DataFrame, min_observations: int = 1, limit: int | None = None) -> DataFrame:
-    """Flag counts per line, worst share first.
+LINE_COUNTS = {
+    "implausible_delay_rows": "is_implausible_delay",
+    "stale_rows": "is_stale_observation",
+    "pre_trip_rows": "is_pre_trip_observation",
+    "post_trip_rows": "is_post_trip_observation",
+    "stop_call_disagreement_rows": "has_stop_call_disagreement",
+}
 
-    Counting per (line, name) first keeps the row-level step in plain hash
-    aggregation and spreads a hot line over its map tasks.
-    """
-    names = {
-        "implausible_delay_rows": "is_implausible_delay",
-        "stale_rows": "is_stale_observation",
-        "pre_trip_rows": "is_pre_trip_observation",
-        "post_trip_rows": "is_post_trip_observation",
-        "stop_call_disagreement_rows": "has_stop_call_disagreement",
-    }
-    counts = {"row_count": F.lit(True), **{k: F.col(v) for k, v in names.items()}}
-    counts["conservative_excluded_rows"] = any_of(DEFAULT_EXCLUSIONS)
-    per_name = rows.groupBy("line_ref", "published_line_name").agg(
-        F.min("recorded_at_utc").alias("_first"), *[F.count_if(v).alias(k) for k, v in counts.items()]
-    )
-    named = F.when(
-        F.col("published_line_name").isNotNull(),
-        F.struct(F.col("_first").isNull(), F.col("_first"), F.col("published_line_name")),
-    )
+
+def quality_by_line(counts: DataFrame, min_observations: int = 1, limit: int | None = None) -> DataFrame:
+    """Flag counts per line, worst share first."""
+    name = F.col("published_line_name")
+    named = F.when(name.isNotNull(), F.struct(F.col("first_recorded").isNull(), F.col("first_recorded"), name))
     result = (
-        per_name.groupBy("line_ref")
+        counts.groupBy("line_ref")
         .agg(
-            F.min_by("published_line_name", named).alias("line_name"),
-            *[F.sum(c).alias(c) for c in counts],
-        )
-        .filter(F.col("row_count") >= min_observations)
-        .withColumn(
-            "conservative_excluded_pct", F.col("conservative_excluded_rows") / F.col("row_count") * 100.0
+            F.min_by(name, named).alias("line_name"),
+            F.sum("row_count").alias("_rows"),
+            *[counted(flag).alias(alias) for alias, flag in LINE_COUNTS.items()],
+            counted(any_of(DEFAULT_EXCLUSIONS)).alias("conservative_excluded_rows"),
         )
+        .filter(F.col("_rows") >= min_observations)
+        .withColumn("conservative_excluded_pct", F.col("conservative_excluded_rows") / F.col("_rows") * 100.0)
         .orderBy(F.desc("conservative_excluded_pct"), F.desc("conservative_excluded_rows"), "line_ref")
+        .select(
+            "line_ref",
+            "line_name",
+            F.col("_rows").alias("row_count"),
+            *LINE_COUNTS,
+            "conservative_excluded_rows",
+            "conservative_excluded_pct",
+        )
     )
     return result.limit(limit) if limit is not None else result
 

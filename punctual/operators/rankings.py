@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from punctual.functions.times import hour_label, is_rush
-from punctual.operators.metrics import sort_robust, summarize_delay_metrics
+from punctual.operators.metrics import delay_histogram, sort_robust, summarize_delay_metrics
 from punctual.schemas import DEFAULT_RUSH_WINDOWS
 
 LINE_NAME = {"line_name": "published_line_name"}
@@ -45,6 +45,18 @@ def top(metrics: DataFrame, descending, ties, limit: int | None) -> DataFrame:
     return ordered.limit(limit) if limit is not None else ordered
 
 
+def delay_cube(buckets: DataFrame, windows=DEFAULT_RUSH_WINDOWS, include_weekends: bool = False) -> DataFrame:
+    """Histogram by line, direction, hour, day type and rush.
+
+    Every ranking below accepts it in place of the buckets. Its size depends on
+    the network and the range of delays, not on the length of the history, so a
+    report scans the buckets once for all of them.
+    """
+    marked = buckets.withColumn("is_rush", is_rush(windows, include_weekends))
+    keys = ["line_ref", "direction_ref", "local_hour", "day_type", "is_rush"]
+    return delay_histogram(marked, keys, ["published_line_name"])
+
+
 def line_metrics(buckets: DataFrame, min_observations: int = 1) -> DataFrame:
     return summarize_delay_metrics(buckets, ["line_ref"], min_observations=min_observations, first=LINE_NAME)
 
@@ -118,7 +130,9 @@ def rush_impact(
     include_weekends: bool = False,
 ) -> DataFrame:
     """Rush against non-rush per line, for lines with enough buckets in both."""
-    marked = buckets.withColumn("is_rush", is_rush(windows, include_weekends))
+    marked = buckets
+    if "is_rush" not in buckets.columns:
+        marked = buckets.withColumn("is_rush", is_rush(windows, include_weekends))
     metrics = summarize_delay_metrics(
         marked, ["line_ref", "is_rush"], min_observations=min_observations, first=LINE_NAME
     )

@@ -6,14 +6,23 @@ integer `k` (0-99) picks the line, the stop and which quality fault it shows.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from punctual.functions.times import seconds_between
 from punctual.operators.collector import with_previous_success
-from punctual.plans.tables import Tables
 from punctual.session import configure
 
 
+# The driver's column layouts; giving them saves a footer job per read.
+DRIVER_SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def text(column: Column) -> Column:
     return column.cast("string")
 
@@ -35,8 +44,7 @@ def every(modulus: int, remainder: int) -> Column:
     return pick() % modulus == remainder
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+def events(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
             "k": F.get_json_object("props", "$.k").cast("int"),
@@ -149,15 +157,39 @@ def city_parts(nations: DataFrame, regions: DataFrame) -> DataFrame:
     return mapped.select(text(F.col("n_nationkey")).alias("stop_id"), F.col("r_name").alias("city_part"))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    configure(spark)
-    event_rows = events(spark, sf_dir)
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return Tables(
-        observations=observations(event_rows),
-        polls=collector_polls(event_rows),
-        alerts=service_alerts(event_rows),
-        stops=gtfs_stops(nations),
-        routes=gtfs_routes(nations),
-        city_parts=city_parts(nations, spark.read.parquet(f"{sf_dir}/region.parquet")),
-    )
+class DriverTables:
+    """The tables of `Tables`, each put together when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._sf_dir = spark, sf_dir
+
+    def _read(self, name: str) -> DataFrame:
+        return self._spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{self._sf_dir}/{name}.parquet")
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        return observations(events(self._read("events")))
+
+    @cached_property
+    def polls(self) -> DataFrame:
+        return collector_polls(events(self._read("events")))
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        return service_alerts(events(self._read("events")))
+
+    @cached_property
+    def stops(self) -> DataFrame:
+        return gtfs_stops(self._read("nation"))
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return gtfs_routes(self._read("nation"))
+
+    @cached_property
+    def city_parts(self) -> DataFrame:
+        return city_parts(self._read("nation"), self._read("region"))
+
+
+def tables(spark: SparkSession, sf_dir: str) -> DriverTables:
+    return DriverTables(configure(spark), sf_dir)

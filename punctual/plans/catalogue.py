@@ -152,17 +152,23 @@ def alert_targets(t: Tables) -> DataFrame:
     return alerts.alert_targets(alerts.active_alerts(t.alerts), t.routes, *bounds)
 
 
+def lift(written: DataFrame, active: DataFrame, **options) -> DataFrame:
+    active = materialise(active, "alert_active")
+    return alerts.alert_lift(active, alerts.control_histogram(written, active), limit=LIMIT, **options)
+
+
 def alert_lift(t: Tables, by_line: bool) -> DataFrame:
-    histograms = alerts.alert_histograms(written_buckets(t), t.alerts, t.routes)
-    return alerts.alert_lift(*histograms, by_line=by_line, min_observations=MIN, limit=LIMIT)
+    written = written_buckets(t)
+    active = alerts.alert_active(written, t.alerts, t.routes)
+    return lift(written, active, by_line=by_line, min_observations=MIN)
 
 
 def alert_recent_routes(t: Tables) -> DataFrame:
     """The latest two days only, route alerts only; the window precedes bucketing."""
     start, end = alerts.analysis_window(t.observations)
     recent = materialise(windowed_buckets(t, start=start, end=end), "recent_buckets")
-    histograms = alerts.alert_histograms(recent, t.alerts, t.routes, start=start, end=end, kind="route")
-    return alerts.alert_lift(*histograms, min_observations=1, limit=LIMIT)
+    active = alerts.alert_active(recent, t.alerts, t.routes, start=start, end=end, kind="route")
+    return lift(recent, active, min_observations=1)
 
 
 def routes_asof(t: Tables) -> DataFrame:
@@ -188,7 +194,7 @@ def long_spots(t: Tables) -> DataFrame:
 
 
 def takeaways(t: Tables) -> DataFrame:
-    written = written_buckets(t)
+    written = materialise(rankings.delay_cube(buckets_of(t)), "delay_cube")
     metrics = rankings.line_metrics(written, MIN)
     return publish.takeaways(
         rankings.late_lines(metrics, LIMIT),
@@ -206,7 +212,7 @@ def stop_search(t: Tables) -> DataFrame:
 
 
 def explorable(t: Tables) -> DataFrame:
-    written = written_buckets(t)
+    written = materialise(rankings.delay_cube(buckets_of(t)), "delay_cube")
     found = publish.explorable_lines(publish.public_lines(written, MIN), publish.public_contexts(written, MIN))
     return found.select("line_ref", "line_name", "bucket_count", "p90_delay_min")
 
@@ -221,8 +227,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "quality_rows": lambda t: quality_columns(rows_of(t)),
     "quality_rows_strict": lambda t: quality_columns(rows_of(t, exclude_stop_call_disagreement=True)),
     "quality_rows_without_polls": lambda t: quality_columns(quality.quality_rows(t.observations)),
-    "quality_summary": lambda t: quality.quality_summary(rows_of(t)),
-    "quality_by_line": lambda t: quality.quality_by_line(rows_of(t), MIN, LIMIT),
+    "quality_summary": lambda t: quality.quality_summary(quality.quality_counts(rows_of(t))),
+    "quality_by_line": lambda t: quality.quality_by_line(quality.quality_counts(rows_of(t)), MIN, LIMIT),
     "quality_examples": lambda t: quality.quality_examples(rows_of(t), LIMIT),
     "buckets_trip_stop": bucket_modes("trip-stop"),
     "buckets_vehicle_trip": bucket_modes("vehicle-trip"),
