@@ -80,9 +80,10 @@ def active_alerts(alerts: DataFrame, start: datetime | None = None, end: datetim
 
 
 def observation_bounds(buckets: DataFrame) -> tuple[Column, Column]:
-    """First and last bucket time as scalar subqueries; pass a written bucket table."""
-    at = "representative_time_utc"
-    return buckets.agg(F.min(at)).scalar(), buckets.agg(F.max(at)).scalar()
+    """First and last bucket time from one scalar subquery; pass a written bucket table."""
+    at = F.col("representative_time_utc")
+    span = buckets.agg(F.struct(F.min(at).alias("first"), F.max(at).alias("last"))).scalar()
+    return span.getField("first"), span.getField("last")
 
 
 def alert_targets(

@@ -104,10 +104,10 @@ def midpoint_summary(buckets: DataFrame) -> DataFrame:
 
 
 def midpoint_label(buckets: DataFrame) -> Column:
-    """Period by halves; the bounds are scalar subqueries, so pass a written bucket table."""
-    bounds = midpoint_bounds(buckets)
+    """Period by halves; the bounds are one scalar subquery, so pass a written bucket table."""
+    bounds = midpoint_bounds(buckets).select(F.struct("start_ms", "middle_ms", "end_ms")).scalar()
     at = F.unix_millis("representative_time_utc")
-    start, middle, end = (bounds.select(c).scalar() for c in ("start_ms", "middle_ms", "end_ms"))
+    start, middle, end = (bounds.getField(c) for c in ("start_ms", "middle_ms", "end_ms"))
     return (
         F.when(start == end, F.lit(None).cast("string"))
         .when((at >= start) & (at < middle), "baseline")

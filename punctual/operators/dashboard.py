@@ -217,7 +217,8 @@ def colour_extent(df: DataFrame, value: str, manual_extent: float | None = None,
 def marker_sizes(df: DataFrame, count: str = "bucket_count", sizes: tuple[float, float] = MARKER_SIZES) -> DataFrame:
     """Square-root scaled marker size between the two bounds; their mean if all counts agree."""
     root = F.sqrt(F.greatest(F.coalesce(F.col(count), F.lit(0)), F.lit(0)).cast("double"))
-    low, high = df.agg(F.min(root)).scalar(), df.agg(F.max(root)).scalar()
+    span = df.agg(F.struct(F.min(root).alias("low"), F.max(root).alias("high"))).scalar()
+    low, high = span.getField("low"), span.getField("high")
     small, large = sizes
     scaled = F.lit(small) + (root - low) / (high - low) * (large - small)
     return df.withColumn("marker_size", F.when(low == high, F.lit((small + large) / 2)).otherwise(scaled))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from punctual.functions.times import hour_label, minute_text
 from punctual.functions.values import natural_key
-from punctual.operators.metrics import delay_histogram, histogram_metrics, metric_aggregates, metric_outputs, summarize_delay_metrics
+from punctual.operators.metrics import delay_histogram, metric_aggregates, metric_outputs, summarize_delay_metrics
 from punctual.operators.rankings import LINE_NAME
 
 ALL = "all"
@@ -131,15 +131,14 @@ def published_stops(canonical: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def overview(buckets: DataFrame, min_buckets: int = MIN_BUCKETS) -> DataFrame:
     """Overall metrics with line and stop counts and the date span, one row."""
-    days = delay_histogram(buckets, ["line_ref", "next_stop_point_ref", "local_date"])
-    metrics = histogram_metrics(
-        days,
+    metrics = summarize_delay_metrics(
+        buckets,
         [],
         min_observations=min_buckets,
         distinct={"line_count": "line_ref", "stop_count": "next_stop_point_ref"},
     )
-    span = buckets.agg(F.min("local_date").alias("start_date"), F.max("local_date").alias("end_date"))
-    return metrics.select("*", span.select("start_date").scalar().alias("start_date"), span.select("end_date").scalar().alias("end_date"))
+    span = buckets.agg(F.struct(F.min("local_date").alias("first"), F.max("local_date").alias("last"))).scalar()
+    return metrics.select("*", span.getField("first").alias("start_date"), span.getField("last").alias("end_date"))
 
 
 def takeaways(late: DataFrame, early: DataFrame, hourly: DataFrame, rush: DataFrame) -> DataFrame:
