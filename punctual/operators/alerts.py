@@ -80,10 +80,11 @@ def active_alerts(alerts: DataFrame, start: datetime | None = None, end: datetim
 
 
 def observation_bounds(buckets: DataFrame) -> tuple[Column, Column]:
-    """First and last bucket time from one scalar subquery; pass a written bucket table."""
-    at = F.col("representative_time_utc")
-    span = buckets.agg(F.struct(F.min(at).alias("first"), F.max(at).alias("last"))).scalar()
-    return span.getField("first"), span.getField("last")
+    """First and last bucket time as literals: one row read from the written buckets."""
+    at = "representative_time_utc"
+    span = buckets.agg(F.unix_micros(F.min(at)).alias("first"), F.unix_micros(F.max(at)).alias("last")).first()
+    first, last = (F.lit(None if v is None else from_micros(v)).cast("timestamp") for v in span)
+    return first, last
 
 
 def alert_targets(

@@ -104,15 +104,12 @@ def midpoint_summary(buckets: DataFrame) -> DataFrame:
 
 
 def midpoint_label(buckets: DataFrame) -> Column:
-    """Period by halves; the bounds are one scalar subquery, so pass a written bucket table."""
-    bounds = midpoint_bounds(buckets).select(F.struct("start_ms", "middle_ms", "end_ms")).scalar()
+    """Period by halves; one row of bounds is read, so pass a written bucket table."""
+    start, middle, end = midpoint_bounds(buckets).first()
+    if start is None or start == end:
+        return F.lit(None).cast("string")
     at = F.unix_millis("representative_time_utc")
-    start, middle, end = (bounds.getField(c) for c in ("start_ms", "middle_ms", "end_ms"))
-    return (
-        F.when(start == end, F.lit(None).cast("string"))
-        .when((at >= start) & (at < middle), "baseline")
-        .when((at >= middle) & (at <= end), "comparison")
-    )
+    return F.when((at >= start) & (at < middle), "baseline").when((at >= middle) & (at <= end), "comparison")
 
 
 def matched_histogram(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
