@@ -114,7 +114,7 @@ CTES = {
             r AS created_at,
             CASE WHEN k % 25 <> 0 THEN 'R' || (k % 12) END AS route_ref,
             CAST(k % 8 AS VARCHAR) AS stop_ref
-        FROM ev WHERE event_type = 'error' AND k % 5 = 0 AND k % 45 <> 5""",
+        FROM ev WHERE event_type = 'error' AND k % 45 <> 5""",
     "feeds": "SELECT DATE '2024-01-08' AS feed, '' AS suffix UNION ALL SELECT DATE '2024-01-20', ' v2'",
     "stops": """
         SELECT feed AS gtfs_feed_date, CAST(n_nationkey AS VARCHAR) AS stop_id, n_name || suffix AS gtfs_stop_name,
@@ -594,7 +594,7 @@ def all_oracles() -> dict[str, str]:
             {text(f'MIN(recorded_at_utc) FILTER (WHERE {analysis})')} AS analysis_start_utc,
             {text(f'MAX(recorded_at_utc) FILTER (WHERE {analysis})')} AS analysis_end_utc,
             (SELECT COUNT(*) FROM ev) AS collector_poll_count,
-            (SELECT COUNT(*) FROM ev WHERE event_type = 'error' AND k % 5 = 0) AS service_alert_count FROM obs""",
+            (SELECT COUNT(*) FROM ev WHERE event_type = 'error') AS service_alert_count FROM obs""",
             "obs",
         ),
         "quality_rows": sql(quality_rows("NOT excluded"), "q"),

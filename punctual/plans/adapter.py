@@ -107,7 +107,7 @@ def polls_with_gaps(polls: DataFrame) -> DataFrame:
 
 def service_alerts(event_rows: DataFrame) -> DataFrame:
     routes = F.concat(F.lit('["R'), text(pick() % 12), F.lit('", null, {"x":1}]'))
-    return event_rows.filter((F.col("event_type") == "error") & every(5, 0)).select(
+    return event_rows.filter(F.col("event_type") == "error").select(
         F.concat(F.lit("alert-"), text(F.col("event_id"))).alias("source_alert_id"),
         F.when(every(2, 0), F.concat(F.lit("L"), text(pick() % 12))).alias("line_ref"),
         F.when(~every(11, 0), F.concat(F.lit("C"), text(pick() % 3))).alias("cause"),
