@@ -19,7 +19,7 @@ from punctual.plans.adapter import polls_with_gaps, tables  # noqa: E402
 from punctual.plans.catalogue import all_queries  # noqa: E402
 from punctual.plans.tables import Tables  # noqa: E402
 from punctual.session import build_session  # noqa: E402
-from punctual.sources.sinks import write_table  # noqa: E402
+from punctual.sources.sinks import write_table, write_tables  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -72,12 +72,11 @@ def main() -> None:
     settings = report.ReportSettings(min_observations=5)
     base = timed("report_base", lambda: report.build_base(stored, f"{folder}/report", settings))
 
-    def results():
-        found = report.report_results(stored, base, settings, f"{folder}/report")
-        for name, result in found.items():
-            write_table(result, f"{folder}/report", name)
-
-    timed("report_results", results)
+    report_root = f"{folder}/report"
+    timed(
+        "report_results",
+        lambda: write_tables(report.report_results(stored, base, settings, report_root), report_root),
+    )
     queries = all_queries()
     for name in HEADLINE:
         timed(name, lambda: queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())

@@ -12,7 +12,7 @@ from punctual.plans.tables import Tables
 from punctual.schemas import ALERT_SCHEMA, BUCKET_MODES, DEFAULT_RUSH_WINDOWS, DEFAULT_TIMEZONE, POLL_SCHEMA, QUALITY_MODES
 from punctual.session import materialise
 from punctual.sources.readers import source_summary
-from punctual.sources.sinks import write_csv, write_json, write_table
+from punctual.sources.sinks import write_csv, write_json, write_table, write_tables
 
 RESULT_TABLES = (
     "quality_summary",
@@ -80,8 +80,18 @@ def report_results(tables: Tables, base: dict[str, DataFrame], settings: ReportS
     alert_table = tables.alerts if tables.alerts is not None else spark.createDataFrame([], ALERT_SCHEMA)
     least, limit = settings.min_observations, settings.limit
     cube, written = base["delay_cube"], base["delay_buckets"]
-    metrics = write_table(rankings.line_metrics(cube, least), root, "line_metrics")
-    results = {
+    active = alerts.alert_active(written, alert_table, tables.routes, timezone=settings.timezone)
+    shared = write_tables(
+        {
+            "line_metrics": rankings.line_metrics(cube, least),
+            "collector_success_gaps": collector.success_gaps(polls),
+            "alert_active_histogram": active,
+        },
+        root,
+    )
+    metrics, gaps, active = shared.values()
+    controls = write_table(alerts.control_histogram(written, active), root, "alert_control_histogram")
+    return {
         "quality_summary": quality.quality_summary(base["quality_counts"]),
         "quality_by_line": quality.quality_by_line(base["quality_counts"], least, limit),
         "line_late_rankings": rankings.late_lines(metrics, limit),
@@ -93,20 +103,12 @@ def report_results(tables: Tables, base: dict[str, DataFrame], settings: ReportS
         "stop_midpoint_change": change.midpoint_change(written, least, limit),
         "delay_cache_summary": buckets.bucket_summary(written),
         "source_profile": source_summary(tables.observations, tables.polls, tables.alerts),
+        "collector_blackouts": collector.collector_blackouts(polls, limit),
+        "collector_missing_summary": collector.missing_summary(polls, gaps),
+        "collector_missing_spots": collector.missing_spots(gaps, limit),
+        "service_alert_grouped": alerts.alert_lift(active, controls, min_observations=least, limit=limit),
+        "service_alert_by_line": alerts.alert_lift(active, controls, by_line=True, min_observations=least, limit=limit),
     }
-    gaps = write_table(collector.success_gaps(polls), root, "collector_success_gaps")
-    results["collector_blackouts"] = collector.collector_blackouts(polls, limit)
-    results["collector_missing_summary"] = collector.missing_summary(polls, gaps)
-    results["collector_missing_spots"] = collector.missing_spots(gaps, limit)
-
-    active = alerts.alert_active(written, alert_table, tables.routes, timezone=settings.timezone)
-    active = write_table(active, root, "alert_active_histogram")
-    controls = write_table(alerts.control_histogram(written, active), root, "alert_control_histogram")
-    results["service_alert_grouped"] = alerts.alert_lift(active, controls, min_observations=least, limit=limit)
-    results["service_alert_by_line"] = alerts.alert_lift(
-        active, controls, by_line=True, min_observations=least, limit=limit
-    )
-    return results
 
 
 def build_report(
@@ -115,12 +117,11 @@ def build_report(
     """Build every result once, as Parquet under `root` and as CSV under `root/csv`."""
     settings = settings or ReportSettings()
     base = build_base(tables, root, settings)
-    written = dict(base)
-    for name, result in report_results(tables, base, settings, root).items():
-        written[name] = write_table(result, root, name)
-        if csv and name in RESULT_TABLES:
-            write_csv(written[name], f"{root}/csv/{name}")
-    return written
+    results = write_tables(report_results(tables, base, settings, root), root)
+    if csv:
+        for name in RESULT_TABLES:
+            write_csv(results[name], f"{root}/csv/{name}")
+    return {**base, **results}
 
 
 def build_public_snapshot(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -18,6 +19,13 @@ def write_table(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_tables(tables: Mapping[str, DataFrame], root: str, at_once: int = 4) -> dict[str, DataFrame]:
+    """Write independent tables, a few jobs at a time: small results leave most of a cluster idle."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        jobs = {name: pool.submit(write_table, table, root, name) for name, table in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
 def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
     """CSV part files with headers; rows keep their order across the parts."""
     table = round_doubles(df, digits) if digits is not None else df
