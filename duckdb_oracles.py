@@ -117,17 +117,18 @@ CTES = {
         FROM ev WHERE event_type = 'error' AND k % 45 <> 5""",
     "feeds": "SELECT DATE '2024-01-08' AS feed, '' AS suffix UNION ALL SELECT DATE '2024-01-20', ' v2'",
     "stops": """
-        SELECT feed AS gtfs_feed_date, CAST(n_nationkey AS VARCHAR) AS stop_id, n_name || suffix AS gtfs_stop_name,
-            CASE WHEN n_nationkey <> 5 THEN 60.0::DOUBLE + n_nationkey / 100.0::DOUBLE END AS stop_lat,
-            CASE WHEN n_nationkey <> 5 THEN 22.0::DOUBLE + n_nationkey / 50.0::DOUBLE END AS stop_lon
-        FROM nation, feeds WHERE n_nationkey <> 7""",
+        SELECT feed AS gtfs_feed_date, CAST(n_nationkey AS VARCHAR) AS stop_id,
+            CASE WHEN n_nationkey <> 7 THEN n_name || suffix END AS gtfs_stop_name,
+            CASE WHEN n_nationkey NOT IN (5, 7) THEN 60.0::DOUBLE + n_nationkey / 100.0::DOUBLE END AS stop_lat,
+            CASE WHEN n_nationkey NOT IN (5, 7) THEN 22.0::DOUBLE + n_nationkey / 50.0::DOUBLE END AS stop_lon
+        FROM nation, feeds""",
     "routes": """
         SELECT feed AS gtfs_feed_date, 'R' || n_nationkey AS route_id,
             'L' || CASE WHEN suffix = '' THEN n_nationkey ELSE (n_nationkey + 1) % 12 END AS route_short_name
         FROM nation, feeds""",
     "city": """
-        SELECT CAST(n_nationkey AS VARCHAR) AS stop_id, r_name AS city_part
-        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 6""",
+        SELECT CAST(n_nationkey AS VARCHAR) AS stop_id, CASE WHEN n_nationkey <> 6 THEN r_name END AS city_part
+        FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "measured": """
         SELECT o.*, p.collected_at_utc,
             COALESCE(p.collected_at_utc, o.created_at_utc) AS collected

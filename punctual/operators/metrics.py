@@ -120,9 +120,9 @@ def summarize_delay_metrics(
     prefix: str = "",
 ) -> DataFrame:
     """Metric set of `rows` per key; `first` and `distinct` map output to source column."""
-    names = [*(first or {}).values(), *(distinct or {}).values()]
+    counted_apart = [*keys, *(distinct or {}).values()]
     return histogram_metrics(
-        delay_histogram(rows, keys, names),
+        delay_histogram(rows, counted_apart, list((first or {}).values())),
         keys,
         min_observations=min_observations,
         first=first,

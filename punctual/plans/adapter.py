@@ -139,13 +139,15 @@ def per_feed(nations: DataFrame) -> DataFrame:
 
 
 def gtfs_stops(nations: DataFrame) -> DataFrame:
+    """Every nation is a stop; 7 has no name and 5 and 7 no place, so fallbacks are met."""
     key = F.col("n_nationkey")
-    return per_feed(nations.filter(key != 7)).select(
+    located = ~key.isin(5, 7)
+    return per_feed(nations).select(
         "gtfs_feed_date",
         text(key).alias("stop_id"),
-        F.concat("n_name", "suffix").alias("gtfs_stop_name"),
-        F.when(key != 5, 60.0 + key / 100.0).alias("stop_lat"),
-        F.when(key != 5, 22.0 + key / 50.0).alias("stop_lon"),
+        F.when(key != 7, F.concat("n_name", "suffix")).alias("gtfs_stop_name"),
+        F.when(located, 60.0 + key / 100.0).alias("stop_lat"),
+        F.when(located, 22.0 + key / 50.0).alias("stop_lon"),
     )
 
 
@@ -160,8 +162,9 @@ def gtfs_routes(nations: DataFrame) -> DataFrame:
 
 
 def city_parts(nations: DataFrame, regions: DataFrame) -> DataFrame:
-    mapped = nations.filter("n_nationkey <> 6").join(regions, nations.n_regionkey == regions.r_regionkey)
-    return mapped.select(text(F.col("n_nationkey")).alias("stop_id"), F.col("r_name").alias("city_part"))
+    key = F.col("n_nationkey")
+    mapped = nations.join(regions, nations.n_regionkey == regions.r_regionkey)
+    return mapped.select(text(key).alias("stop_id"), F.when(key != 6, F.col("r_name")).alias("city_part"))
 
 
 class DriverTables:

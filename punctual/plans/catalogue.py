@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from punctual.functions.values import json_scalars
 from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, stops
+from punctual.operators.metrics import delay_histogram
 from punctual.plans.adapter import polls_with_gaps, tables
 from punctual.plans.tables import Tables
 from punctual.session import materialise
@@ -148,7 +149,7 @@ def city_part_change(t: Tables) -> DataFrame:
 
 
 def alert_targets(t: Tables) -> DataFrame:
-    bounds = alerts.observation_bounds(written_buckets(t))
+    bounds = alerts.observation_bounds(buckets_of(t))
     return alerts.alert_targets(alerts.active_alerts(t.alerts), t.routes, *bounds)
 
 
@@ -193,6 +194,12 @@ def long_spots(t: Tables) -> DataFrame:
     return collector.missing_spots(collector.success_gaps(polls, 3.0, 2.0))
 
 
+def overview(t: Tables) -> DataFrame:
+    """From a written histogram: small, and read for the metrics and for the span."""
+    daily = delay_histogram(buckets_of(t), ["line_ref", "next_stop_point_ref", "local_date"])
+    return publish.overview(materialise(daily, "daily_histogram"), MIN)
+
+
 def takeaways(t: Tables) -> DataFrame:
     written = materialise(rankings.delay_cube(buckets_of(t)), "delay_cube")
     metrics = rankings.line_metrics(written, MIN)
@@ -288,7 +295,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "public_contexts": lambda t: publish.public_contexts(buckets_of(t), MIN),
     "public_stops_grouping_sets": lambda t: publish.public_stop_metrics(buckets_of(t), MIN),
     "public_gaps": lambda t: publish.public_gaps(collector.missing_spots(success_gaps(t), LIMIT)),
-    "overview": lambda t: publish.overview(written_buckets(t), MIN),
+    "overview": overview,
     "takeaways": takeaways,
     "default_line": lambda t: publish.default_line(publish.public_contexts(buckets_of(t), MIN), "1", "weekday"),
     "explorable_lines": explorable,
