@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +131,21 @@ def test_daylight_saving_follows_the_zone(spark):
     rows = [observation(i, t, 0, trip=str(i)) for i, t in enumerate(["2026-03-28T22:30:00", "2026-03-29T02:30:00"])]
     found = buckets.delay_buckets(observations(spark, rows)).orderBy("representative_time_utc").collect()
     assert [(str(r.local_date), r.local_hour) for r in found] == [("2026-03-29", 0), ("2026-03-29", 5)]
+
+
+def test_one_bucket_may_hold_most_polls(spark):
+    rng = random.Random(5)
+    delays = [rng.randrange(-900, 1800) for _ in range(401)]
+    rows = [observation(i, "2026-04-23T08:00:00", d, trip=None) for i, d in enumerate(delays)]
+    rows += [observation(1000 + i, "2026-04-23T09:00:00", 60 * i, trip=f"t{i}") for i in range(5)]
+    found = {r.bucket_id: r for r in buckets.delay_buckets(observations(spark, rows)).collect()}
+    hot = found["<NA>|v1|3|1|10"]
+    assert (hot.raw_poll_count, hot.delay_seconds) == (401, statistics.median(delays))
+    assert found["t3|v1|3|1|10"].delay_seconds == 180.0
+
+
+def test_hot_bucket_is_counted_per_delay_before_its_own_shuffle(spark):
+    rows = observations(spark, [observation(1, "2026-04-23T08:00:00", 60)])
+    plan = buckets.delay_buckets(rows)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and "delay_seconds" not in exchanges[0] and "delay_seconds" in exchanges[1]
