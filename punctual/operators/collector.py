@@ -68,19 +68,24 @@ def gap_histogram(polls: DataFrame) -> DataFrame:
     )
 
 
-def source_profile(histogram: DataFrame) -> DataFrame:
-    """Per source: poll counts, expected cadence, mean rows of a success."""
-    success = F.col("_success")
+def profile_aggregates() -> dict[str, Column]:
+    """Poll counts, expected cadence and mean rows of a success, over histogram rows."""
+    success, polls = F.col("_success"), F.col("polls")
     positive_gap = F.when(success & (F.col("gap") > 0), F.col("gap"))
-    return histogram.groupBy("source").agg(
-        F.sum("polls").alias("poll_count"),
-        F.sum(F.when(success, F.col("polls")).otherwise(0)).alias("success_count"),
-        F.sum(F.when(success, 0).otherwise(F.col("polls"))).alias("failed_count"),
-        F.percentile(positive_gap, 0.5, F.col("polls")).alias("expected_cadence_seconds"),
-        F.try_divide(
-            F.sum(F.when(success, F.col("rows"))), F.sum(F.when(success, F.col("rows_known")))
-        ).alias("avg_rows_per_success"),
-    )
+    return {
+        "poll_count": F.sum(polls),
+        "success_count": F.sum(F.when(success, polls).otherwise(0)),
+        "failed_count": F.sum(F.when(success, 0).otherwise(polls)),
+        "expected_cadence_seconds": F.percentile(positive_gap, 0.5, polls),
+        "_rows": F.sum(F.when(success, F.col("rows"))),
+        "_rows_known": F.sum(F.when(success, F.col("rows_known"))),
+    }
+
+
+def source_profile(histogram: DataFrame) -> DataFrame:
+    """Expected cadence and mean rows of a success per source."""
+    profile = histogram.groupBy("source").agg(*[a.alias(n) for n, a in profile_aggregates().items()])
+    return profile.withColumn("avg_rows_per_success", F.try_divide("_rows", "_rows_known")).drop("_rows", "_rows_known")
 
 
 def excess(gap: str = "gap") -> Column:
@@ -88,52 +93,66 @@ def excess(gap: str = "gap") -> Column:
 
 
 def collector_blackouts(polls: DataFrame, limit: int | None = None) -> DataFrame:
-    """Gaps above twice the cadence, summed per source; every source appears."""
-    histogram = gap_histogram(conform(polls, POLL_SCHEMA))
-    profile = source_profile(histogram)
-    blackout = excess()
-    missed = blackout / F.col("expected_cadence_seconds")
-    per_source = (
-        histogram.filter(F.col("_success") & (F.col("gap") > 0))
-        .join(profile.select("source", "expected_cadence_seconds", "avg_rows_per_success"), "source")
-        .filter(F.col("gap") > 2 * F.col("expected_cadence_seconds"))
+    """Gaps above twice the cadence, summed per source; every source appears.
+
+    The window runs over the histogram, one row per distinct gap, so the polls
+    are read once.
+    """
+    same_source = Window.partitionBy("source")
+    profiled = gap_histogram(conform(polls, POLL_SCHEMA)).withColumns(
+        {name: aggregate.over(same_source) for name, aggregate in profile_aggregates().items()}
+    )
+    is_blackout = F.col("_success") & (F.col("gap") > 0) & (F.col("gap") > 2 * F.col("expected_cadence_seconds"))
+    missed = F.col("_blackout") / F.col("expected_cadence_seconds")
+    rows = F.try_divide("_rows", "_rows_known")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value * F.col("polls")), F.lit(0.0))
+
+    result = (
+        profiled.withColumn("_blackout", F.when(is_blackout, excess()))
         .groupBy("source")
         .agg(
-            F.sum("polls").alias("blackout_count"),
-            (F.sum(blackout * F.col("polls")) / 60.0).alias("total_blackout_min"),
-            (F.max(blackout) / 60.0).alias("largest_blackout_min"),
-            F.sum(missed * F.col("polls")).alias("estimated_missed_polls"),
-            F.sum(missed * F.col("polls") * F.col("avg_rows_per_success")).alias("estimated_missed_rows"),
+            *[F.max(c).alias(c) for c in ("poll_count", "success_count", "failed_count", "expected_cadence_seconds")],
+            F.sum(F.when(is_blackout, F.col("polls")).otherwise(0)).alias("blackout_count"),
+            (total(F.col("_blackout")) / 60.0).alias("total_blackout_min"),
+            (F.coalesce(F.max("_blackout"), F.lit(0.0)) / 60.0).alias("largest_blackout_min"),
+            total(missed).alias("estimated_missed_polls"),
+            total(missed * rows).alias("estimated_missed_rows"),
         )
-    )
-    totals = ("total_blackout_min", "largest_blackout_min", "estimated_missed_polls", "estimated_missed_rows")
-    result = (
-        profile.drop("avg_rows_per_success")
-        .join(per_source, "source", "left")
-        .fillna(0, ["blackout_count"])
-        .fillna(0.0, list(totals))
         .orderBy(F.desc("total_blackout_min"), F.desc("blackout_count"), "source")
     )
     return result.limit(limit) if limit is not None else result
 
 
 def success_gaps(polls: DataFrame, gap_multiplier: float = 2.0, min_missing_minutes: float = 0.0) -> DataFrame:
-    """Success-to-success gaps above the multiple of the cadence, with the failures inside."""
+    """Success-to-success gaps above the multiple of the cadence, with the failures inside.
+
+    All that follows a success up to the next one shares its time as
+    `_previous_success`, so one grouping finds both the end of the gap and its
+    failures, without a time range join. What happens at that very time is
+    outside the gap.
+    """
     polls = conform(polls, POLL_SCHEMA)
     profile = source_profile(gap_histogram(polls)).select(
         "source", "expected_cadence_seconds", "avg_rows_per_success"
     )
-    linked = with_previous_success(polls)
-    gaps = (
-        linked.filter(is_success() & F.col("collected_at_utc").isNotNull() & F.col("_previous_success").isNotNull())
+    at = F.when(is_success(), F.col("collected_at_utc")).otherwise(F.col("attempted_at_utc"))
+    ending = F.when(is_success(), F.struct(F.col("collected_at_utc").alias("at"), "status"))
+    return (
+        with_previous_success(polls)
+        .filter(F.col("_previous_success") < at)
+        .groupBy("source", F.col("_previous_success").alias("gap_start_utc"))
+        .agg(F.min(ending).alias("_end"), F.count_if(~is_success()).alias("failed_attempt_count"))
+        .filter(F.col("_end").isNotNull())
         .select(
             "source",
-            F.col("_previous_success").alias("gap_start_utc"),
-            F.col("collected_at_utc").alias("gap_end_utc"),
-            seconds_between("_previous_success", "collected_at_utc").cast("double").alias("gap_seconds"),
-            F.col("status").alias("next_success_status"),
+            "gap_start_utc",
+            F.col("_end.at").alias("gap_end_utc"),
+            seconds_between(F.col("gap_start_utc"), F.col("_end.at")).cast("double").alias("gap_seconds"),
+            F.col("_end.status").alias("next_success_status"),
+            "failed_attempt_count",
         )
-        .filter(F.col("gap_seconds") > 0)
         .join(profile, "source")
         .withColumn("missing_seconds", excess("gap_seconds"))
         .filter(
@@ -141,14 +160,6 @@ def success_gaps(polls: DataFrame, gap_multiplier: float = 2.0, min_missing_minu
             & (F.col("missing_seconds") >= min_missing_minutes * 60.0)
         )
     )
-    # A failure lies in the gap that starts at its latest earlier success, so an
-    # equality join replaces the time range; one tied with a success lies in none.
-    failures = (
-        linked.filter(~is_success() & (F.col("_previous_success") < F.col("attempted_at_utc")))
-        .groupBy("source", F.col("_previous_success").alias("gap_start_utc"))
-        .agg(F.count(F.lit(1)).alias("failed_attempt_count"))
-    )
-    return gaps.join(failures, ["source", "gap_start_utc"], "left").fillna(0, ["failed_attempt_count"])
 
 
 def missing_spots(gaps: DataFrame, limit: int | None = None) -> DataFrame:
