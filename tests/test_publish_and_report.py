@@ -89,10 +89,10 @@ def test_contract(spark):
 
 
 def test_json_is_sorted_rounded_and_utf8(spark, tmp_path):
-    df = spark.createDataFrame([("Föli", 1.23456, None, date(2026, 4, 23))], "name string, b double, a int, day date")
+    df = spark.createDataFrame([("Ålesund", 1.23456, None, date(2026, 4, 23))], "name string, b double, a int, day date")
     sinks.write_json(df, str(tmp_path / "out"), name="out")
     text = "".join(Path(p).read_text(encoding="utf-8") for p in glob.glob(str(tmp_path / "out" / "*.json")))
-    assert text == '{"a":null,"b":1.23,"day":"2026-04-23","name":"Föli"}\n'
+    assert text == '{"a":null,"b":1.23,"day":"2026-04-23","name":"Ålesund"}\n'
 
 
 def test_csv_and_labelled_views(spark, tmp_path):
