@@ -117,7 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name
     """Pairs (a, b) confirmed on the full sets. The text of b comes first: a may be in very many pairs."""
     b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
     a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    both = b.join(pairs, "b").join(a, "a").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_verifier(words, percent), "a long, b long"), f"{name}-links")
 
 
@@ -228,7 +228,10 @@ def near_duplicates(
     buckets = buckets.select("key", "a")
     members = stored(single.join(buckets, "key").select("key", F.col("_id").alias("b"), "n_shingles", "a"), "members")
 
-    texts_in = texts.where("_id is not null")
+    # Whole texts move once, and then only those that share a bucket. Ids in buckets grow with the corpus,
+    # so the join is a merge at any size.
+    sharing = members.select(F.col("b").alias("_id")).distinct()
+    texts_in = stored(texts.hint("merge").join(sharing, "_id", "left_semi"), "texts")
     links = _verified(members.where("a < b").select("a", "b").distinct(), texts_in, words, percent, "star")
     comp = components(links, "a", "b", "star-components")
 
