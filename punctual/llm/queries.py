@@ -4,21 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import minhash
+from punctual.llm import idfiles, lines, minhash, packing, passages, pieces, pivots, postings, quality, warczip
 from punctual.llm.storage import ship, table
 
+#: Vocabulary files; every operator takes its path as a parameter.
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of embeddings of one label at cosine 0.98."""
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents on 2-word shingles at similarity 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES: dict[str, Query] = {"op2_minhash": op2_minhash}
-ORACLES: dict[str, str] = {}
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand on ten sources or more."""
+    return lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op5_warczip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records in ZIP packages and read back from them."""
+    return warczip.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op7_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids, written to coded files and read back from them."""
+    return idfiles.id_file_round_trip(spark, table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids by best segmentation into pieces, and whether they decode to the text."""
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), PIECE_VOCABULARY)
+
+
+def op9_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 embeddings of largest inner product with each whose id is a multiple of 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return postings.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the paragraphs that stand in earlier ones."""
+    return passages.remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_pivots": op1_pivots,
+    "op2_minhash": op2_minhash,
+    "op3_lines": op3_lines,
+    "op4_quality": op4_quality,
+    "op5_warczip": op5_warczip,
+    "op6_packing": op6_packing,
+    "op7_idfiles": op7_idfiles,
+    "op8_pieces": op8_pieces,
+    "op9_postings": op9_postings,
+    "op10_passages": op10_passages,
+}
+ORACLES: dict[str, str] = {
+    "op3_lines": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents
+           WHERE text IS NOT NULL),
+l AS (SELECT doc_id, site, i AS pos, ls[i + 1] AS line, trim(ls[i + 1], ' ' || chr(9) || chr(13)) AS norm
+      FROM d, unnest(range(len(ls))) AS t(i)),
+g AS (SELECT norm, min((doc_id, pos)) AS first FROM l WHERE norm <> ''
+      GROUP BY norm HAVING count(DISTINCT site) >= 10),
+m AS (SELECT l.*, g.norm IS NOT NULL AND (l.doc_id, l.pos) <> g.first AS goes FROM l LEFT JOIN g USING (norm)),
+r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS text,
+             count(*) AS n_lines, count(*) FILTER (goes) AS n_removed FROM m GROUP BY doc_id)
+SELECT doc_id, r.text, r.n_lines, r.n_removed FROM documents LEFT JOIN r USING (doc_id)
+""",
+}
 
 
 def _shipped(query: Query) -> Query:
