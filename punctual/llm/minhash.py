@@ -117,7 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name
     """Pairs (a, b) confirmed on the full sets. The text of b comes first: a may be in very many pairs."""
     b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
     a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
-    both = b.join(pairs, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    both = b.join(pairs.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_verifier(words, percent), "a long, b long"), f"{name}-links")
 
 
@@ -186,7 +186,7 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int
         F.greatest("block", "other").alias("high"),
         F.col("block").alias("side"),
     )
-    placed = placed.join(texts.withColumnRenamed("_id", "b"), "b")
+    placed = placed.join(texts.withColumnRenamed("_id", "b").hint("merge"), "b")
     found = placed.groupBy("key", "low", "high").applyInArrow(_block_links(words, percent), "a long, b long")
     return stored(found, "block-links")
 

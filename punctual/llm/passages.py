@@ -27,11 +27,11 @@ _MARK[[ord(c) for c in ".!?"]] = True
 class Paragraphs:
     """All paragraphs of some texts: first word, end word, text, digests, and whether an earlier one equals it."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, min_words: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, min_words: int, cut: int = CUT):
         self.words = words = Words(data, bounds, lower=True)
         n = len(words)
         hashes = words.hashes() if n else np.zeros(0, U)
-        stops = _MARK[words.data[words.ends - 1]] | (hashes % U(CUT) == 0) if n else np.zeros(0, bool)
+        stops = _MARK[words.data[words.ends - 1]] | (hashes % U(cut) == 0) if n else np.zeros(0, bool)
         last_words = words.first[1:][np.diff(words.first) > 0] - 1
         stops[last_words] = True
         ends = np.flatnonzero(stops) + 1
@@ -54,7 +54,7 @@ class Paragraphs:
         self.first_of[order] = order[first]
 
 
-def _emitter(min_words: int):
+def _emitter(min_words: int, cut: int):
     """The distinct paragraphs of every text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +62,7 @@ def _emitter(min_words: int):
             keys = [batch.column(c) for c in ("k1", "k2", "doc")]
             data, bounds = text_buffers(batch.column("text"))
             for i, j in slices(bounds):
-                found = Paragraphs(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
+                found = Paragraphs(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words, cut)
                 own = np.flatnonzero(found.first_of == np.arange(len(found.start)))
                 rows = pa.array(found.text[own] + i)
                 # Places count from the first word of the text.
@@ -82,7 +82,7 @@ def _char_offsets(raw: np.ndarray, byte_places: np.ndarray) -> np.ndarray:
     return chars[byte_places]
 
 
-def _remover(min_words: int):
+def _remover(min_words: int, cut: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffers(batch.column("text"))
@@ -90,7 +90,7 @@ def _remover(min_words: int):
             lost = batch.column("places")
             texts, starts, ends, sizes = [], [], [], []
             for i, j in slices(bounds):
-                found = Paragraphs(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words)
+                found = Paragraphs(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words, cut)
                 words, local = found.words, np.zeros(len(found.words) + 1, np.int64)
                 goes = found.first_of != np.arange(len(found.start))
                 begins = np.searchsorted(found.text, np.arange(j - i + 1))
@@ -142,7 +142,7 @@ def _remover(min_words: int):
 
 
 def strip_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, cut: int = CUT
 ) -> DataFrame:
     """(row, text, removed): the other columns of every input row as a struct, the rest of its text, the spans.
 
@@ -162,7 +162,7 @@ def strip_passages(
         text.alias("text"),
     )
     schema = "k1 long, k2 long, doc long, place long, h1 long, h2 long"
-    found = rows.select("k1", "k2", "doc", "text").mapInArrow(_emitter(min_words), schema)
+    found = rows.select("k1", "k2", "doc", "text").mapInArrow(_emitter(min_words, cut), schema)
     grouped = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     repeated = stored(grouped.where("first < last").select("h1", "h2", "first"), "repeated-paragraphs")
     gone = found.join(repeated, ["h1", "h2"]).where("doc > first")
@@ -175,7 +175,7 @@ def strip_passages(
             T.StructField("removed", T.ArrayType(T.StructType.fromDDL("start long, end long"))),
         ]
     )
-    return joined.mapInArrow(_remover(min_words), out)
+    return joined.mapInArrow(_remover(min_words, cut), out)
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -57,7 +57,8 @@ def salted_left_join(large: DataFrame, small: DataFrame, keys: list[str], spread
     """Left join of `large` with a much smaller table that has each key once.
 
     Rows of a hot key are dealt over SALTS partitions by `spread_by`; the small side is copied as often.
+    It still grows with the corpus, so it is merged and never broadcast.
     """
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return large.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
+    return large.withColumn("_salt", salt).join(copies.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
