@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from punctual.llm.storage import stored
 from punctual.llm.words import U, Words, slices, span_hashes, text_buffers
 
-MIN_WORDS = 20
-CUT = 32
+MIN_WORDS = 16
+CUT = 16
 _SECOND = 0xC2B2AE3D27D4EB4F
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".!?"]] = True

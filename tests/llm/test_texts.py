@@ -108,7 +108,7 @@ def test_passages_against_the_plain_rule(spark):
     # Units then end at sentence marks only.
     got = passages.remove_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), cut=1 << 40)
     found = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in got.collect()}
-    assert found == plain_passages(docs, 20)
+    assert found == plain_passages(docs, passages.MIN_WORDS)
 
 
 def test_passages_keep_the_earliest_and_leave_offsets(spark):
