@@ -252,6 +252,6 @@ def near_duplicates(
     class_of = class_of.select("digest", F.coalesce("component", "rep").alias("of_class"))
     out = salted_left_join(sketches.drop("keys"), class_of, ["digest"], "_id")
     out = out.join(comp.select(F.col("node").alias("_id"), "component"), "_id", "left")
-    out = out.withColumn("component_id", F.coalesce("of_class", "component", "_id"))
+    out = out.withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("of_class", "component", "_id")))
     kept = F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True))
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))

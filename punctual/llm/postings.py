@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from punctual.llm.storage import salted_left_join, stored
 from punctual.llm.vectors import bounded_sample, matrix, usable
@@ -160,6 +160,12 @@ def _scanner(k: int):
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         q, m = matrix(queries.column("vec")), matrix(members.column("vec"))
         q_ids, ids = queries.column("id").to_numpy(), members.column("id").to_numpy()
+        if len(m):
+            # Repeated rows of an id are in one block and count once.
+            order = np.lexsort((*m.T, ids))
+            again = (ids[order][1:] == ids[order][:-1]) & (m[order][1:] == m[order][:-1]).all(axis=1)
+            own = np.sort(order[np.concatenate([[True], ~again])])
+            m, ids = m[own], ids[own]
         found_ids, found_scores, bounds, kept = [], [], [0], []
         if len(q) and len(m):
             for low in range(0, len(q), 256):
