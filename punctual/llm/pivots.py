@@ -90,7 +90,7 @@ def _block_links(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         ids, copies, side, pivot = (group.column(c).to_numpy() for c in ("id", "n", "side", "pivot"))
         unit = matrix(group.column("vec"))
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         prefix = np.asarray(group.column("prefix").combine_chunks().flatten()).reshape(len(ids), PREFIX)
         known, code = np.unique(prefix, return_inverse=True)
         code = code.reshape(prefix.shape)
