@@ -41,7 +41,20 @@ class Paragraphs:
         at = np.searchsorted(ends, starts + min_words)
         fits = at < len(ends)
         fits[fits] &= text[at[fits]] == text[fits]
-        self.start, self.end, self.text = starts[fits], ends[at[fits]], text[fits]
+        # The last run of a text that is long enough, unless it is one of these already.
+        stop = words.first[1:]
+        last = np.searchsorted(starts, stop - min_words, "right") - 1
+        own = (last >= 0) & (stop - words.first[:-1] >= min_words)
+        last, stop = last[own], stop[own]
+        more = ~fits[last] | (ends[np.minimum(at[last], len(ends) - 1)] != stop) if n else np.zeros(0, bool)
+        start = np.concatenate([starts[fits], starts[last[more]]])
+        end = np.concatenate([ends[at[fits]], stop[more]])
+        text = np.concatenate([text[fits], text[last[more]]])
+        tail = np.arange(len(start)) >= int(fits.sum())
+        order = np.lexsort((end, start, text))
+        self.start, self.end, self.text, tail = start[order], end[order], text[order], tail[order]
+        # Names a paragraph in its text, counted from the text's first word.
+        self.place = (self.start - words.first[:-1][self.text]) * 2 + tail
         self.h1 = span_hashes(hashes, self.start, self.end) if n else hashes
         self.h2 = span_hashes(hashes ^ U(0x5851F42D4C957F2D), self.start, self.end, _SECOND | 1) if n else hashes
         order = np.lexsort((self.start, self.h2, self.h1, self.text))
@@ -65,10 +78,8 @@ def _emitter(min_words: int, cut: int):
                 found = Paragraphs(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], min_words, cut)
                 own = np.flatnonzero(found.first_of == np.arange(len(found.start)))
                 rows = pa.array(found.text[own] + i)
-                # Places count from the first word of the text.
-                place = found.start[own] - found.words.first[:-1][found.text[own]]
                 yield pa.record_batch(
-                    [*(k.take(rows) for k in keys), pa.array(place)]
+                    [*(k.take(rows) for k in keys), pa.array(found.place[own])]
                     + [pa.array(h[own].view(np.int64)) for h in (found.h1, found.h2)],
                     names=["k1", "k2", "doc", "place", "h1", "h2"],
                 )
@@ -99,8 +110,7 @@ def _remover(min_words: int, cut: int):
                     if places is None:
                         continue
                     low, high = begins[k - i], begins[k - i + 1]
-                    place = found.start[low:high] - words.first[k - i]
-                    hit = np.isin(place, places.to_numpy(zero_copy_only=False))
+                    hit = np.isin(found.place[low:high], places.to_numpy(zero_copy_only=False))
                     goes[low:high] |= hit[found.first_of[low:high] - low]
                 np.add.at(local, found.start[goes], 1)
                 np.add.at(local, found.end[goes], -1)

@@ -66,8 +66,9 @@ def plain_passages(docs, min_words):
         words = [(m.start(), m.end(), m[0].translate(LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
         ends = [i + 1 for i, w in enumerate(words) if w[2][-1] in ".!?" or i == len(words) - 1]
         starts = [0, *ends[:-1]] if ends else []
-        for s in starts:
-            e = next((e for e in ends if e >= s + min_words), None)
+        runs = [(s, next((e for e in ends if e >= s + min_words), None)) for s in starts]
+        runs += [(s, len(words)) for s in [next((s for s in reversed(starts) if len(words) - s >= min_words), None)] if s is not None]
+        for s, e in dict.fromkeys(runs):
             if e:
                 key = tuple(w[2] for w in words[s:e])
                 every.append((doc, s, e, key))
