@@ -33,14 +33,17 @@ def blank_to_unknown(column: str) -> Column:
 def natural_key(column: str) -> Column:
     """Sort key ordering '2' before '10' before '10A'.
 
-    Digit runs are zero-padded tokens; a leading empty token keeps values that
-    start with a digit ahead of those that start with a letter.
+    A run of digits sorts by its length without leading zeros, then by its
+    digits; a leading empty token keeps values that start with a digit ahead of
+    those that start with a letter.
     """
     tokens = F.split(F.lower(F.col(column)), r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
-    padded = F.transform(
-        tokens,
-        lambda t: F.when(t.rlike(r"^\d+$"), F.lpad(F.regexp_replace(t, "^0+", ""), 40, "0")).otherwise(t),
-    )
+
+    def number(token: Column) -> Column:
+        digits = F.regexp_replace(token, "^0+", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    padded = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d+$"), number(t)).otherwise(t))
     return F.when(F.col(column).rlike(r"^\d"), F.concat(F.array(F.lit("")), padded)).otherwise(padded)
 
 

@@ -8,26 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from punctual.schemas import DEFAULT_TIMEZONE
 
-# Last day the open-ended newest feed is laid out for.
-CALENDAR_END = date(2100, 1, 1)
+def feed_calendar(metadata: DataFrame) -> DataFrame:
+    """(local_date, gtfs_feed_date): the feed in force on every day before the newest feed.
 
-
-def feed_calendar(metadata: DataFrame, until: date = CALENDAR_END) -> DataFrame:
-    """(local_date, gtfs_feed_date): the feed in force on every day from the first feed on.
-
-    The as-of join becomes an equality join on the day. There is one row per
-    day whatever the data size, about 27,000 from 2026 to 2100.
+    The as-of join becomes an equality join on the day. There is one row per day
+    between the first feed and the last, whatever the data size; from the last
+    feed's own date on no table is needed.
     """
     feeds = metadata.filter(F.col("gtfs_feed_date").isNotNull()).agg(
         F.sort_array(F.collect_set("gtfs_feed_date")).alias("feeds")
     )
     spans = feeds.select("feeds", F.posexplode("feeds").alias("position", "gtfs_feed_date")).select(
-        "gtfs_feed_date",
-        F.coalesce(F.date_sub(F.get("feeds", F.col("position") + 1), 1), F.lit(until)).alias("last_day"),
-    )
-    return spans.select(
-        F.explode(F.sequence("gtfs_feed_date", "last_day")).alias("local_date"), "gtfs_feed_date"
+        "gtfs_feed_date", F.get("feeds", F.col("position") + 1).alias("next_feed")
     )
+    days = F.sequence("gtfs_feed_date", F.date_sub("next_feed", 1))
+    return spans.filter(F.col("next_feed").isNotNull()).select(F.explode(days).alias("local_date"), "gtfs_feed_date")
 
 
 def feed_for_day(feeds: list[date], day: date) -> date | None:
@@ -38,7 +33,10 @@ def feed_for_day(feeds: list[date], day: date) -> date | None:
 def with_feed_date(rows: DataFrame, metadata: DataFrame, day: str = "local_date") -> DataFrame:
     """Add the newest feed not after `day`; NULL before the first feed."""
     calendar = feed_calendar(metadata).withColumnRenamed("local_date", day)
-    return rows.drop("gtfs_feed_date").join(calendar, day, "left")
+    newest = metadata.agg(F.max("gtfs_feed_date")).scalar()
+    joined = rows.drop("gtfs_feed_date").join(calendar, day, "left")
+    current = F.when(F.col(day) >= newest, newest).otherwise(F.col("gtfs_feed_date"))
+    return joined.withColumn("gtfs_feed_date", current)
 
 
 def first_per_key(metadata: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

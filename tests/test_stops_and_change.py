@@ -39,6 +39,26 @@ def test_feed_in_force_per_day(spark):
     assert [stops.feed_for_day(feeds, date(2026, 4, d)) for d in (22, 29, 30)] == [None, feeds[0], feeds[1]]
 
 
+def test_feeds_have_no_last_day(spark):
+    stops_of = spark.createDataFrame(
+        [(date(2024, 1, 1), "10", "Old", 1.0, 2.0), (date(2101, 6, 1), "10", "New", 1.0, 2.0)], STOP_SCHEMA
+    )
+    days = spark.createDataFrame(
+        [(d, "10", "Reported") for d in (date(2023, 12, 31), date(2024, 1, 1), date(2100, 5, 1), date(2101, 5, 31),
+                                         date(2101, 6, 1), date(2105, 1, 1))] + [(None, "10", "Reported")],
+        "local_date date, next_stop_point_ref string, next_stop_point_name string",
+    )
+    found = {r.local_date: r.stop_name for r in stops.with_stop_metadata(days, stops_of).collect()}
+    assert found == {
+        date(2023, 12, 31): "Reported", date(2024, 1, 1): "Old", date(2100, 5, 1): "Old", date(2101, 5, 31): "Old",
+        date(2101, 6, 1): "New", date(2105, 1, 1): "New", None: "Reported",
+    }
+    late_only = stops_of.filter(F.col("gtfs_feed_date") > date(2100, 1, 1))
+    found = {r.local_date: r.stop_name for r in stops.with_stop_metadata(days, late_only).collect()}
+    assert found[date(2100, 5, 1)] == "Reported" and found[date(2105, 1, 1)] == "New"
+    assert {r.stop_name for r in stops.with_stop_metadata(days, stops_of.limit(0)).collect()} == {"Reported"}
+
+
 def test_forced_feed_and_no_feed(spark):
     days = spark.createDataFrame([(date(2020, 1, 1), "10", "Reported")],
                                  "local_date date, next_stop_point_ref string, next_stop_point_name string")
