@@ -9,6 +9,7 @@ from __future__ import annotations
 MIN = 5
 LIMIT = 20
 
+# The formulas that define the metrics.
 METRICS = {
     "bucket_count": "CAST(COUNT(*) AS BIGINT)",
     "raw_poll_count": "CAST(COALESCE(SUM(raw_poll_count), 0) AS BIGINT)",

@@ -42,6 +42,12 @@ def within(time: Column, start: datetime | None, end: datetime | None) -> Column
     return condition
 
 
+def represented_within(start: datetime | None, end: datetime | None) -> Column:
+    """`within` of the representative time, as conditions on its two columns that a scan can take over."""
+    aimed, recorded = F.col("next_aimed_arrival_time_utc"), F.col("recorded_at_utc")
+    return within(aimed, start, end) | (aimed.isNull() & within(recorded, start, end))
+
+
 def seconds_between(start: Column | str, end: Column | str) -> Column:
     """Number of second boundaries crossed from start to end."""
     start = F.col(start) if isinstance(start, str) else start

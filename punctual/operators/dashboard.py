@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,10 +64,26 @@ def filter_options(buckets: DataFrame) -> DataFrame:
     ).select("min_date", "max_date", F.col("_lines.line_ref").alias("line_options"), "direction_options")
 
 
-def minute(value: time) -> int:
+# The day kinds a view offers, and what `is_weekday` must be for them.
+DAY_KINDS = {"All days": None, "Weekdays": True, "Weekends": False}
+
+
+def minute_of_day(value: time) -> int:
     return value.hour * 60 + value.minute
 
 
+def in_range(column: str, low, high) -> Column:
+    """low <= column <= high, an open end where a bound is None."""
+    conditions = [F.col(column) >= F.lit(low)] if low is not None else []
+    conditions += [F.col(column) <= F.lit(high)] if high is not None else []
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def one_of(column: str, values) -> Column:
+    """Membership; no values at all leave the column free."""
+    return F.col(column).isin([str(v) for v in values]) if values else F.lit(True)
+
+
 def filter_buckets(
     buckets: DataFrame,
     *,
@@ -78,27 +95,20 @@ def filter_buckets(
     start_time: time | None = None,
     end_time: time | None = None,
 ) -> DataFrame:
-    """Inclusive date and minute ranges, line and direction sets, day kind."""
-    conditions: list[Column] = []
-    if start_date is not None:
-        conditions.append(F.col("local_date") >= F.lit(start_date))
-    if end_date is not None:
-        conditions.append(F.col("local_date") <= F.lit(end_date))
-    if lines:
-        conditions.append(F.col("line_ref").isin([str(v) for v in lines]))
-    if directions:
-        conditions.append(F.col("direction_ref").isin([str(v) for v in directions]))
-    if days in ("Weekdays", "Weekends"):
-        conditions.append(F.col("is_weekday") == (days == "Weekdays"))
-    if start_time is not None or end_time is not None:
-        first = 0 if start_time is None else minute(start_time)
-        last = 1439 if end_time is None else minute(end_time)
-        if first > last:
-            raise ValueError("start_time must not be after end_time")
-        conditions.append(F.col("local_minutes").between(first, last))
-    for condition in conditions:
-        buckets = buckets.filter(condition)
-    return buckets
+    """Buckets in all of: a date range, a range of minutes of the day (both inclusive), sets, a day kind."""
+    if days not in DAY_KINDS:
+        raise ValueError(f"days must be one of {', '.join(DAY_KINDS)}")
+    minutes = [None if v is None else minute_of_day(v) for v in (start_time, end_time)]
+    if None not in minutes and minutes[0] > minutes[1]:
+        raise ValueError("start_time must not be after end_time")
+    weekday = DAY_KINDS[days]
+    return buckets.filter(
+        in_range("local_date", start_date, end_date)
+        & one_of("line_ref", lines)
+        & one_of("direction_ref", directions)
+        & (F.lit(True) if weekday is None else F.col("is_weekday") == weekday)
+        & in_range("local_minutes", *minutes)
+    )
 
 
 def selection_summary(buckets: DataFrame) -> DataFrame:

@@ -129,6 +129,11 @@ def published_stops(canonical: DataFrame, metrics: DataFrame) -> DataFrame:
     return canonical.join(metrics.select("stop_id").distinct(), "stop_id", "left_semi")
 
 
+def daily_histogram(buckets: DataFrame) -> DataFrame:
+    """What the overview needs of the buckets; write it, as the overview reads it twice."""
+    return delay_histogram(buckets, ["line_ref", "next_stop_point_ref", "local_date"])
+
+
 def overview(buckets: DataFrame, min_buckets: int = MIN_BUCKETS) -> DataFrame:
     """Overall metrics with line and stop counts and the date span, one row."""
     metrics = summarize_delay_metrics(
@@ -180,9 +185,11 @@ def field_names(schema: T.DataType) -> Iterable[str]:
 def validate_public(name: str, df: DataFrame, required: Iterable[str] = (), local_paths: Iterable[str] = ()) -> None:
     """Raise if a table breaks the publication contract.
 
-    Names are checked on the schema; one aggregation counts non-finite numbers
-    and texts that hold a local path.
+    Names are checked on the schema; one aggregation counts rows of another
+    schema version, non-finite numbers and texts that hold a local path.
     """
+    if "schema_version" not in df.columns:
+        raise ValueError(f"{name}: no schema version")
     names = set(field_names(df.schema))
     forbidden = sorted(FORBIDDEN_KEYS & names)
     if forbidden:
@@ -190,6 +197,7 @@ def validate_public(name: str, df: DataFrame, required: Iterable[str] = (), loca
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise ValueError(f"{name}: missing required columns: {', '.join(missing)}")
+    other = ~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))
     bad = []
     for field in df.schema.fields:
         column = F.col(field.name)
@@ -200,22 +208,53 @@ def validate_public(name: str, df: DataFrame, required: Iterable[str] = (), loca
         elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
             bad += [F.to_json(column).contains(path) for path in local_paths]
             bad.append(F.to_json(column).rlike(r'"(NaN|-?Infinity)"|:(NaN|-?Infinity)\b'))
-    if bad:
-        counts = df.agg(*[F.count_if(b).alias(f"c{i}") for i, b in enumerate(bad)]).first()
-        if any(counts):
-            raise ValueError(f"{name}: non-finite numbers or local paths must not be published")
+    counts = df.agg(*[F.count_if(b).alias(f"c{i}") for i, b in enumerate([other, *bad])]).first()
+    if counts[0]:
+        raise ValueError(f"{name}: unsupported schema version")
+    if any(counts):
+        raise ValueError(f"{name}: non-finite numbers or local paths must not be published")
 
 
 # Columns each published table must carry.
 REQUIRED = {
     "meta": ("schema_version", "timezone", "bucket_mode", "quality_mode", "minimum_bucket_count"),
+    "summary": ("bucket_count", "line_count", "stop_count", "median_delay_min", "p90_delay_min", "pct_over_5_min_late"),
     "hourly_profile": ("local_hour", "bucket_count", "p90_delay_min"),
+    "takeaways": ("id", "subject", "value"),
     "lines": ("line_ref", "line_name", "bucket_count", "p90_delay_min"),
     "contexts": ("line_ref", "direction_ref", "day_type", "local_hour", "p90_delay_min"),
     "stops": ("stop_id", "stop_name", "line_count"),
     "stop_metrics": ("stop_id", "line_ref", "day_type", "bucket_count", "p90_delay_min"),
     "rush_impact": ("line_ref", "rush_p90_delay_lift_min"),
+    "alerts": (
+        "cause",
+        "effect",
+        "priority",
+        "alert_scope",
+        "bucket_count_control",
+        "bucket_count_alert",
+        "median_delay_lift_min",
+        "p90_delay_lift_min",
+        "over_5_min_late_pct_point_lift",
+    ),
     "quality": ("quality_check", "row_count", "pct_rows"),
+    "collector_gaps": (
+        "source",
+        "gap_start_utc",
+        "gap_end_utc",
+        "gap_min",
+        "missing_min",
+        "estimated_missed_polls",
+    ),
+    "stop_changes": (
+        "stop_id",
+        "stop_name",
+        "baseline_bucket_count",
+        "comparison_bucket_count",
+        "median_delay_change_min",
+        "p90_delay_change_min",
+        "over_5_min_late_pct_point_change",
+    ),
 }
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from punctual.functions.times import representative_time, seconds_between, within
+from punctual.functions.times import represented_within, seconds_between
 from punctual.schemas import (
     DEFAULT_EXCLUSIONS,
     MAX_ABS_DELAY_SECONDS,
@@ -138,7 +138,7 @@ def quality_rows(
 def select_rows(rows: DataFrame, *, start=None, end=None, line=None, direction=None, has_stop=False) -> DataFrame:
     """Narrow rows before bucketing; a window here changes which polls a bucket holds."""
     if start is not None or end is not None:
-        rows = rows.filter(within(representative_time(), start, end))
+        rows = rows.filter(represented_within(start, end))
     if line is not None:
         rows = rows.filter(F.col("line_ref") == line)
     if direction is not None:

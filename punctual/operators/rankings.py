@@ -10,6 +10,7 @@ from punctual.schemas import DEFAULT_RUSH_WINDOWS
 
 LINE_NAME = {"line_name": "published_line_name"}
 
+# Columns and orders of the published rankings.
 LATE_COLUMNS = (
     "line_ref",
     "line_name",
@@ -126,13 +127,18 @@ def rush_impact(
     min_observations: int = 1,
     limit: int | None = 20,
     *,
-    windows=DEFAULT_RUSH_WINDOWS,
-    include_weekends: bool = False,
+    windows=None,
+    include_weekends: bool | None = None,
 ) -> DataFrame:
-    """Rush against non-rush per line, for lines with enough buckets in both."""
+    """Rush against non-rush per line, for lines with enough buckets in both.
+
+    Buckets that are already marked keep their marks, so windows cannot be given with them.
+    """
     marked = buckets
     if "is_rush" not in buckets.columns:
-        marked = buckets.withColumn("is_rush", is_rush(windows, include_weekends))
+        marked = buckets.withColumn("is_rush", is_rush(windows or DEFAULT_RUSH_WINDOWS, bool(include_weekends)))
+    elif windows is not None or include_weekends is not None:
+        raise ValueError("the input is already marked: give the windows where it is marked")
     metrics = summarize_delay_metrics(
         marked, ["line_ref", "is_rush"], min_observations=min_observations, first=LINE_NAME
     )

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from punctual.functions.values import json_scalars
 from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, stops
-from punctual.operators.metrics import delay_histogram
 from punctual.plans.adapter import polls_with_gaps, tables
 from punctual.plans.tables import Tables
 from punctual.session import materialise
@@ -196,8 +195,7 @@ def long_spots(t: Tables) -> DataFrame:
 
 def overview(t: Tables) -> DataFrame:
     """From a written histogram: small, and read for the metrics and for the span."""
-    daily = delay_histogram(buckets_of(t), ["line_ref", "next_stop_point_ref", "local_date"])
-    return publish.overview(materialise(daily, "daily_histogram"), MIN)
+    return publish.overview(materialise(publish.daily_histogram(buckets_of(t)), "daily_histogram"), MIN)
 
 
 def takeaways(t: Tables) -> DataFrame:
@@ -213,14 +211,15 @@ def takeaways(t: Tables) -> DataFrame:
 
 def stop_search(t: Tables) -> DataFrame:
     written = written_buckets(t)
-    metrics = publish.public_stop_metrics(written, MIN)
+    metrics = materialise(publish.public_stop_metrics(written, MIN), "public_stop_metrics")
     canonical = publish.published_stops(publish.canonical_stops(t.stops, written), metrics)
     return publish.stop_points(canonical, metrics, day_type="weekday", mode="early", query="NATION")
 
 
 def explorable(t: Tables) -> DataFrame:
     written = materialise(rankings.delay_cube(buckets_of(t)), "delay_cube")
-    found = publish.explorable_lines(publish.public_lines(written, MIN), publish.public_contexts(written, MIN))
+    contexts = materialise(publish.public_contexts(written, MIN), "public_contexts")
+    found = publish.explorable_lines(publish.public_lines(written, MIN), contexts)
     return found.select("line_ref", "line_name", "bucket_count", "p90_delay_min")
 
 

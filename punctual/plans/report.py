@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,10 +12,11 @@ from punctual.functions.times import minute_text, rush_windows
 from punctual.operators import alerts, buckets, change, collector, publish, quality, rankings
 from punctual.plans.tables import Tables
 from punctual.schemas import ALERT_SCHEMA, BUCKET_MODES, DEFAULT_RUSH_WINDOWS, DEFAULT_TIMEZONE, POLL_SCHEMA, QUALITY_MODES
-from punctual.session import materialise
+from punctual.session import materialise, scratch
 from punctual.sources.readers import source_summary
 from punctual.sources.sinks import write_csv, write_json, write_table, write_tables
 
+# The published results, in their published order.
 RESULT_TABLES = (
     "quality_summary",
     "quality_by_line",
@@ -23,11 +26,11 @@ RESULT_TABLES = (
     "hourly_delay_profile",
     "rush_impact",
     "stop_midpoint_change",
+    "service_alert_grouped",
+    "service_alert_by_line",
     "collector_blackouts",
     "collector_missing_summary",
     "collector_missing_spots",
-    "service_alert_grouped",
-    "service_alert_by_line",
 )
 
 
@@ -49,6 +52,8 @@ class ReportSettings:
             raise ValueError(f"bucket must be one of {', '.join(BUCKET_MODES)}")
         if self.min_observations < 1:
             raise ValueError("min_observations must be at least 1")
+        if self.limit < 1:
+            raise ValueError("limit must be at least 1")
         rush_windows(self.rush_windows)
 
 
@@ -66,7 +71,7 @@ def build_base(tables: Tables, root: str, settings: ReportSettings) -> dict[str,
     )
     base = {"quality_counts": write_table(quality.quality_counts(rows), root, "quality_counts")}
     base["delay_buckets"] = write_table(
-        buckets.delay_buckets(rows, settings.bucket, settings.timezone), root, "delay_buckets"
+        buckets.delay_buckets(rows, settings.bucket, settings.timezone), root, "delay_buckets", by_day="local_date"
     )
     cube = rankings.delay_cube(base["delay_buckets"], settings.rush_windows, settings.include_weekends)
     base["delay_cube"] = write_table(cube, root, "delay_cube")
@@ -139,9 +144,32 @@ def build_public_snapshot(
     """
     if min_buckets < 1:
         raise ValueError("min_buckets must be at least 1")
-    settings = settings or ReportSettings()
+    with scratch(report["delay_buckets"].sparkSession):
+        sections = snapshot_sections(report, stops, settings or ReportSettings(), min_buckets)
+        write_sections(sections, root, local_paths)
+    return list(sections)
+
+
+def write_sections(sections: dict[str, DataFrame], root: str, local_paths: tuple[str, ...], at_once: int = 4) -> None:
+    """Check and write the sections, a few at a time: most are small."""
+
+    def write(name: str) -> None:
+        required = publish.REQUIRED[name.replace("stops/metrics", "stop_metrics").split("/")[-1]]
+        write_json(sections[name], f"{root}/{name}", name=name, required=required, local_paths=local_paths)
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        # Each job sees the scratch folder of this one.
+        for job in [pool.submit(copy_context().run, write, name) for name in sections]:
+            job.result()
+
+
+def snapshot_sections(
+    report: dict[str, DataFrame], stops: DataFrame | None, settings: ReportSettings, min_buckets: int
+) -> dict[str, DataFrame]:
+    """The published tables by section."""
     cube, written = report["delay_cube"], report["delay_buckets"]
     metrics = materialise(publish.public_stop_metrics(written, min_buckets), "public_stop_metrics")
+    daily = materialise(publish.daily_histogram(written), "daily_histogram")
     canonical = publish.canonical_stops(stops, written)
     excluded = report["quality_summary"].filter("quality_check = 'conservative_excluded_default'")
     profile = report["source_profile"]
@@ -158,9 +186,9 @@ def build_public_snapshot(
     )
     rush = report["rush_impact"]
     hours = publish.public_hours(cube, min_buckets)
-    sections = {
+    return {
         "overview/meta": meta,
-        "overview/summary": publish.overview(written, min_buckets),
+        "overview/summary": publish.overview(daily, min_buckets),
         "overview/hourly_profile": hours,
         "overview/takeaways": publish.takeaways(
             report["line_late_rankings"], report["line_early_rankings"], hours, rush
@@ -175,7 +203,3 @@ def build_public_snapshot(
         "context/quality": report["quality_summary"],
         "context/stop_changes": report["stop_midpoint_change"],
     }
-    for name, section in sections.items():
-        required = publish.REQUIRED.get(name.replace("stops/metrics", "stop_metrics").split("/")[-1], ())
-        write_json(section, f"{root}/{name}", name=name, required=required, local_paths=local_paths)
-    return list(sections)

@@ -15,6 +15,7 @@ STOP_CALL_DISAGREEMENT_SECONDS = 600
 QUALITY_MODES = ("conservative", "diagnostic", "raw")
 BUCKET_MODES = ("poll", "trip-stop", "vehicle-trip", "line-hour")
 
+# Layouts of the source tables, and the names of flags and metrics.
 OBSERVATION_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),

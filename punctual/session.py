@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
+_ending: set[str] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; sizing stays with the cluster."""
@@ -26,24 +32,52 @@ def build_session(app_name: str = "punctual", master: str | None = None, **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a scratch folder only on a local master."""
+    """The cluster's spark.checkpoint.dir; where that is unset, a folder of the warehouse, as shared as its tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="punctual-")
-    spark.sparkContext.setCheckpointDir(folder)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, deleted when its driver ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _ending:
+        _ending.add(folder)
+        atexit.register(_delete_at_end, spark, folder)
     return folder
 
 
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    # A session that was stopped before can delete nothing any more.
+    if spark.sparkContext._jsc is not None:
+        delete(spark, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Owns the tables materialised inside the block and deletes them at its end."""
+    folder = f"{application_folder(spark)}/job-{uuid.uuid4().hex}"
+    token = _job_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _job_folder.reset(token)
+        delete(spark, folder)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table several later steps read, and return it read back.
 
     Unlike a checkpointed RDD the Parquet copy keeps column pruning, filter
-    pushdown and size statistics, and it survives the loss of executors.
+    pushdown and size statistics, and it survives the loss of executors. It
+    lives as long as the enclosing `scratch` block, or else the application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_job_folder.get() or application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,15 +8,23 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from punctual.functions.values import round_doubles
-from punctual.operators.publish import validate_public
+from punctual.operators.publish import SCHEMA_VERSION, validate_public
 from punctual.session import materialise
 
 
-def write_table(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Write a table and return it read back, so that later steps start from the file."""
+def write_table(df: DataFrame, root: str, name: str, by_day: str | None = None) -> DataFrame:
+    """Write a table and return it read back, so that later steps start from the file.
+
+    With `by_day` there is a folder for each value of that column, so that a
+    range of days reads its own files only; a day too large for one task is
+    rebalanced over several.
+    """
     path = f"{root}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if by_day is None:
+        df.write.mode("overwrite").parquet(path)
+    else:
+        df.hint("rebalance", F.col(by_day)).write.mode("overwrite").partitionBy(by_day).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, at_once: int = 4) -> dict[str, DataFrame]:
@@ -58,6 +66,7 @@ def write_json(
 
     The table is written once first: the check and the output both read it.
     """
-    table = materialise(publishable(df), name.replace("/", "_"))
+    versioned = df.withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    table = materialise(publishable(versioned), name.replace("/", "_"))
     validate_public(name, table, required, local_paths)
     table.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -122,6 +122,18 @@ def test_boundary_is_local():
 def test_natural_order(spark):
     names = spark.createDataFrame([(n,) for n in ("10A", "2", "N1", "10", "n0", "1")], "name string")
     assert [r.name for r in names.orderBy(natural_key("name")).collect()] == ["1", "2", "10", "10A", "n0", "N1"]
+    long = spark.createDataFrame([("9" * 41,), ("1" * 45,), ("0" * 50 + "7",), ("8",)], "name string")
+    assert [r.name for r in long.orderBy(natural_key("name")).collect()] == ["0" * 50 + "7", "8", "9" * 41, "1" * 45]
+
+
+def test_settings_that_would_be_ignored_are_refused(spark):
+    marked = spark.sql("select 'L1' line_ref, true is_rush")
+    with pytest.raises(ValueError, match="already marked"):
+        rankings.rush_impact(marked, windows=("07:00-08:00",))
+    with pytest.raises(ValueError, match="already marked"):
+        rankings.rush_impact(marked, include_weekends=True)
+    with pytest.raises(ValueError, match="days must be one of"):
+        dashboard.filter_buckets(marked, days="Holidays")
 
 
 def test_json_scalars(spark):
