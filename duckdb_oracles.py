@@ -56,7 +56,7 @@ def local(time: str) -> str:
 
 
 def text(time: str) -> str:
-    return f"strftime({time}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({time}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def iso(time: str) -> str:
@@ -65,12 +65,13 @@ def iso(time: str) -> str:
 
 CTES = {
     "ev": """
-        SELECT event_id, user_id, event_type, value, date_trunc('second', ts) AS r,
+        SELECT event_id, user_id, event_type, value, ts AS r,
             CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
         FROM events""",
     "obs": """
         SELECT event_id AS id,
-            CASE WHEN k % 17 <> 5 THEN event_id END AS poll_id,
+            CASE WHEN k % 17 = 5 THEN NULL WHEN k % 19 = 3 THEN -event_id - 1
+                WHEN k % 4 = 0 THEN event_id - event_id % 2 ELSE event_id END AS poll_id,
             CAST(user_id AS VARCHAR) AS vehicle_id,
             CASE WHEN k % 41 <> 8 THEN r END AS recorded_at_utc,
             r + INTERVAL 90 SECOND AS valid_until_utc,
@@ -416,7 +417,8 @@ def change_query(bounds, key: str, names, order: str, window, **before: str) ->
 EXPLICIT = tuple(at_helsinki_midnight(d) for d in ("2024-01-02", "2024-01-12", "2024-01-12", "2024-01-22"))
 STOP_NAMES = ("stop_name", "city_part", "stop_lat", "stop_lon")
 LATEST = """
-    SELECT MAX(COALESCE(aimed_arrival, recorded_at_utc)) + INTERVAL 1 SECOND AS newest FROM obs
+    SELECT date_trunc('second', MAX(COALESCE(aimed_arrival, recorded_at_utc)) + INTERVAL 999999 MICROSECOND)
+        + INTERVAL 1 SECOND AS newest FROM obs
     WHERE is_gtfs_matchable = 1 AND delay_seconds IS NOT NULL AND line_ref IS NOT NULL"""
 RECENT = tuple(
     f"(SELECT newest - INTERVAL {d} DAY FROM latest)" for d in (14, 7, 7, 0)

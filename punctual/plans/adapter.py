@@ -37,7 +37,7 @@ def seen() -> Column:
 
 def after(seconds) -> Column:
     seconds = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return F.timestamp_seconds(F.unix_seconds(seen()) + seconds)
+    return F.timestamp_micros(F.unix_micros(seen()) + seconds.cast("long") * 1_000_000)
 
 
 def every(modulus: int, remainder: int) -> Column:
@@ -45,7 +45,7 @@ def every(modulus: int, remainder: int) -> Column:
 
 
 def events(raw: DataFrame) -> DataFrame:
-    """Events with `k`, the one number in `props` (`{"k": n}`), and their whole second.
+    """Events with `k`, the one number in `props` (`{"k": n}`), and their time, to the microsecond.
 
     Filters on derived columns are pushed to the scan with the extraction
     inside them, several times per row: text search is five times cheaper there
@@ -55,7 +55,7 @@ def events(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
             "k": number.try_cast("int"),
-            "r": F.date_trunc("second", F.col("ts").cast("timestamp")),
+            "r": F.col("ts").cast("timestamp"),
         }
     )
 
@@ -66,7 +66,12 @@ def observations(event_rows: DataFrame) -> DataFrame:
     late_call = F.when(every(15, 4), 900).otherwise(0)
     return event_rows.select(
         F.col("event_id").alias("id"),
-        F.when(~every(17, 5), F.col("event_id")).alias("poll_id"),
+        # Some polls have several observations, some observations an unknown poll.
+        F.when(every(17, 5), None)
+        .when(every(19, 3), -F.col("event_id") - 1)
+        .when(every(4, 0), F.col("event_id") - F.col("event_id") % 2)
+        .otherwise(F.col("event_id"))
+        .alias("poll_id"),
         text(F.col("user_id")).alias("vehicle_id"),
         F.when(~every(41, 8), seen()).alias("recorded_at_utc"),
         after(90).alias("valid_until_utc"),

@@ -44,7 +44,7 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(kind, (T.DoubleType, T.FloatType)):
             column = F.round(column, 6) + F.lit(0.0)
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, T.DateType):
             column = column.cast("string")
         columns.append(column.alias(field.name))
