@@ -4,8 +4,8 @@ A group is (cause, effect, priority, scope). Its active buckets are those on an
 alerted line or at an alerted stop while the alert holds; its controls are the
 other buckets of the same line, direction, hour and day type.
 
-Alert intervals are cut into day cells and merged per group, target and day, so
-a bucket meets a group at most once and probes only the cells of its own target
+Alert intervals are merged per group and target and cut into day cells, so a
+bucket meets a group at most once and probes only the cells of its own target
 and day. Controls are never listed: their histogram is that of the active
 contexts minus that of the active buckets.
 """
@@ -24,6 +24,7 @@ from punctual.operators.quality import is_analysis_row
 from punctual.operators.rankings import LINE_NAME, top
 from punctual.operators.stops import resolve_route_names
 from punctual.schemas import ALERT_SCHEMA, DEFAULT_TIMEZONE, conform
+from punctual.session import materialise
 
 GROUP = ["cause", "effect", "priority", "alert_scope"]
 CONTEXT = ["line_ref", "direction_ref", "local_hour", "day_type"]
@@ -129,49 +130,60 @@ def alert_targets(
     return targets.select(*GROUP, "target_ref", "start_utc", "end_utc").distinct()
 
 
+def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Disjoint (keys, start, end) islands of overlapping or touching intervals."""
+    longest = intervals.groupBy(*keys, "start_utc").agg(F.max("end_utc").alias("end_utc"))
+    in_order = Window.partitionBy(*keys).orderBy("start_utc")
+    reached = F.max("end_utc").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start_utc") > F.col("_reached"), F.lit(True))
+    islands = longest.withColumn("_reached", reached).withColumn(
+        "_island", F.sum(opens.cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    return islands.groupBy(*keys, "_island").agg(
+        F.min("start_utc").alias("start_utc"), F.max("end_utc").alias("end_utc")
+    ).drop("_island")
+
+
 def day_cells(targets: DataFrame, observed_from: Column, observed_to: Column) -> DataFrame:
     """Disjoint (group, target, day, start, end) pieces of the alert intervals.
 
-    Each interval is clipped to the observed days and cut at midnights; what
-    overlaps inside a day is merged. Cells that cover a whole day collapse in
-    the first, map-side combined, aggregation.
+    Intervals are clipped to the observed time and merged before they are cut
+    into days: first among those that start on the same day, then over all that
+    is left of a target, which is at most a few islands for each day.
     """
+    key = [*GROUP, "target_ref"]
+    clipped = targets.select(
+        *key,
+        F.greatest("start_utc", observed_from).alias("start_utc"),
+        F.least("end_utc", observed_to).alias("end_utc"),
+    ).filter(F.col("start_utc") <= F.col("end_utc"))
+    by_day = merged(clipped.withColumn("_starts", F.to_date("start_utc")), [*key, "_starts"])
+    islands = merged(by_day, key)
     day = F.col("day")
-    clipped = targets.withColumns(
-        {
-            "_from": F.to_date(F.greatest("start_utc", observed_from)),
-            "_to": F.to_date(F.least("end_utc", observed_to)),
-        }
-    ).filter((F.col("_from") <= F.col("_to")) & (F.col("start_utc") <= F.col("end_utc")))
-    cells = clipped.withColumn("day", F.explode(F.sequence("_from", "_to"))).select(
-        *GROUP,
-        "target_ref",
+    return islands.withColumn("day", F.explode(F.sequence(F.to_date("start_utc"), F.to_date("end_utc")))).select(
+        *key,
         "day",
         F.greatest(F.col("start_utc"), day.cast("timestamp")).alias("start_utc"),
         F.least(F.col("end_utc"), F.date_add(day, 1).cast("timestamp")).alias("end_utc"),
     )
-    key = [*GROUP, "target_ref", "day"]
-    longest = cells.groupBy(*key, "start_utc").agg(F.max("end_utc").alias("end_utc"))
-    in_order = Window.partitionBy(*key).orderBy("start_utc")
-    reached = F.max("end_utc").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(F.col("start_utc") > F.col("_reached"), F.lit(True))
-    islands = longest.withColumn("_reached", reached).withColumn(
-        "_island", F.sum(opens.cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return islands.groupBy(*key, "_island").agg(
-        F.min("start_utc").alias("start_utc"), F.max("end_utc").alias("end_utc")
-    ).drop("_island")
+
+
+def alert_span(cells: DataFrame) -> Column:
+    """Whether a bucket lies between the first and the last alerted moment; read from written cells."""
+    at = F.col("representative_time_utc")
+    span = cells.agg(F.struct(F.min("start_utc").alias("low"), F.max("end_utc").alias("high"))).scalar()
+    return (at >= span.getField("low")) & (at <= span.getField("high"))
 
 
 def active_buckets(buckets: DataFrame, cells: DataFrame) -> DataFrame:
     """Each bucket once per group whose alert covers it, through its line or its stop.
 
-    Both scopes are keys of one equality join on (scope, target, day); the
-    merge hint keeps the cells, which grow with alerts and days, from being
-    broadcast on the size of the alert table they come from.
+    Both scopes are keys of one equality join on (scope, target, day). Pass
+    written cells: the size of their files then decides between a broadcast and
+    a merge, and buckets outside the alerted span are dropped before they are doubled.
     """
     at = F.col("representative_time_utc")
-    keyed = buckets.select(
+    keyed = buckets.filter(alert_span(cells)).select(
         *CONTEXT,
         "published_line_name",
         DELAY,
@@ -185,7 +197,7 @@ def active_buckets(buckets: DataFrame, cells: DataFrame) -> DataFrame:
             )
         ).alias("_target"),
     ).select("*", "_target.*").filter(F.col("target_ref").isNotNull())
-    joined = keyed.join(cells.hint("merge"), ["alert_scope", "target_ref", "day"])
+    joined = keyed.join(cells, ["alert_scope", "target_ref", "day"])
     # Adjacent cells share midnight itself, so the day of the bucket decides.
     return joined.filter((at >= F.col("start_utc")) & (at <= F.col("end_utc")))
 
@@ -257,8 +269,9 @@ def alert_active(
 ) -> DataFrame:
     """Active histogram of every group, from written buckets.
 
-    Write it before comparing: metrics, contexts and controls each read it.
+    Write it before comparing: metrics, contexts and controls each read it. The
+    cells are written here.
     """
     bounds = observation_bounds(buckets)
     targets = alert_targets(active_alerts(alerts, start, end), routes, *bounds, kind=kind, timezone=timezone)
-    return active_histogram(buckets, day_cells(targets, *bounds))
+    return active_histogram(buckets, materialise(day_cells(targets, *bounds), "alert_cells"))

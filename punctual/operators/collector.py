@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from punctual.functions.times import second_text, seconds_between
 from punctual.schemas import POLL_SCHEMA, conform
 
+def same_source_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the source, NULL being a source like any other."""
+    other = right.withColumnRenamed("source", "_source")
+    return left.join(other, left["source"].eqNullSafe(other["_source"]), how).drop("_source")
+
+
 def is_success() -> Column:
     return F.coalesce(F.col("ok") == 1, F.lit(False))
 
@@ -34,24 +40,32 @@ def with_previous_success(polls: DataFrame) -> DataFrame:
     polls = polls.withColumns(
         {"_slice": F.date_trunc("hour", "_at"), "_success_at": F.when(is_success(), F.col("_at"))}
     )
+    # Polls without a time precede and follow nothing; in a window they would be one partition.
+    untimed = polls.filter(F.col("_slice").isNull()).withColumn("_previous_success", F.lit(None).cast("timestamp"))
+    timed = polls.filter(F.col("_slice").isNotNull())
     within_slice = (
         Window.partitionBy("source", "_slice")
         .orderBy("_at", F.desc(is_success().cast("int")), "id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    earlier_slices = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_hours = Window.partitionBy("_source").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     # One row per source and hour: its size depends on the time span, not on the polls.
     carried = (
-        polls.filter(F.col("_slice").isNotNull())
-        .groupBy("source", "_slice")
+        timed.groupBy(F.col("source").alias("_source"), F.col("_slice").alias("_hour"))
         .agg(F.max("_success_at").alias("_last"))
-        .select("source", "_slice", F.max("_last").over(earlier_slices).alias("_carried"))
+        .select(
+            "_source",
+            "_hour",
+            F.max("_last").over(earlier_hours).alias("_carried"),
+        )
     )
-    ordered = polls.withColumn("_in_slice", F.last("_success_at", ignorenulls=True).over(within_slice))
-    return (
-        ordered.join(carried, ["source", "_slice"], "left")
-        .withColumn("_previous_success", F.coalesce("_in_slice", "_carried"))
-        .drop("_at", "_slice", "_success_at", "_in_slice", "_carried")
+    ordered = timed.withColumn("_in_slice", F.last("_success_at", ignorenulls=True).over(within_slice))
+    matched = ordered.join(
+        carried, ordered["source"].eqNullSafe(carried["_source"]) & (ordered["_slice"] == carried["_hour"]), "left"
+    )
+    found = matched.withColumn("_previous_success", F.coalesce("_in_slice", "_carried"))
+    return found.unionByName(untimed, allowMissingColumns=True).drop(
+        "_at", "_slice", "_success_at", "_in_slice", "_carried", "_source", "_hour", "_last"
     )
 
 
@@ -95,13 +109,12 @@ def excess(gap: str = "gap") -> Column:
 def collector_blackouts(polls: DataFrame, limit: int | None = None) -> DataFrame:
     """Gaps above twice the cadence, summed per source; every source appears.
 
-    The window runs over the histogram, one row per distinct gap, so the polls
-    are read once.
+    The profile, one row per source, is joined back to the histogram: no task
+    holds all gaps of a source, and both sides share one grouping of the polls.
     """
-    same_source = Window.partitionBy("source")
-    profiled = gap_histogram(conform(polls, POLL_SCHEMA)).withColumns(
-        {name: aggregate.over(same_source) for name, aggregate in profile_aggregates().items()}
-    )
+    histogram = gap_histogram(conform(polls, POLL_SCHEMA))
+    profile = histogram.groupBy("source").agg(*[a.alias(n) for n, a in profile_aggregates().items()])
+    profiled = same_source_join(histogram, profile)
     is_blackout = F.col("_success") & (F.col("gap") > 0) & (F.col("gap") > 2 * F.col("expected_cadence_seconds"))
     missed = F.col("_blackout") / F.col("expected_cadence_seconds")
     rows = F.try_divide("_rows", "_rows_known")
@@ -131,17 +144,17 @@ def success_gaps(polls: DataFrame, gap_multiplier: float = 2.0, min_missing_minu
     All that follows a success up to the next one shares its time as
     `_previous_success`, so one grouping finds both the end of the gap and its
     failures, without a time range join. What happens at that very time is
-    outside the gap.
+    outside the gap. Polls that already carry `_previous_success` keep it.
     """
     polls = conform(polls, POLL_SCHEMA)
+    followed = polls if "_previous_success" in polls.columns else with_previous_success(polls)
     profile = source_profile(gap_histogram(polls)).select(
         "source", "expected_cadence_seconds", "avg_rows_per_success"
     )
     at = F.when(is_success(), F.col("collected_at_utc")).otherwise(F.col("attempted_at_utc"))
     ending = F.when(is_success(), F.struct(F.col("collected_at_utc").alias("at"), "status"))
-    return (
-        with_previous_success(polls)
-        .filter(F.col("_previous_success") < at)
+    gaps = (
+        followed.filter(F.col("_previous_success") < at)
         .groupBy("source", F.col("_previous_success").alias("gap_start_utc"))
         .agg(F.min(ending).alias("_end"), F.count_if(~is_success()).alias("failed_attempt_count"))
         .filter(F.col("_end").isNotNull())
@@ -153,7 +166,9 @@ def success_gaps(polls: DataFrame, gap_multiplier: float = 2.0, min_missing_minu
             F.col("_end.status").alias("next_success_status"),
             "failed_attempt_count",
         )
-        .join(profile, "source")
+    )
+    return (
+        same_source_join(gaps, profile)
         .withColumn("missing_seconds", excess("gap_seconds"))
         .filter(
             (F.col("gap_seconds") > gap_multiplier * F.col("expected_cadence_seconds"))
@@ -197,7 +212,7 @@ def missing_summary(polls: DataFrame, gaps: DataFrame) -> DataFrame:
     )
     measures = ["total_missing_min", "largest_missing_min", "estimated_missed_polls", "estimated_missed_rows"]
     return (
-        counts.join(totals, "source", "left")
+        same_source_join(counts, totals, "left")
         .fillna(0, ["missing_spot_count"])
         .fillna(0.0, measures)
         .orderBy(F.desc("total_missing_min"), F.desc("missing_spot_count"), "source")

@@ -110,11 +110,11 @@ def collector_polls(event_rows: DataFrame) -> DataFrame:
 
 
 def polls_with_gaps(polls: DataFrame) -> DataFrame:
-    """The collector's own gap column: seconds since the source's previous success."""
+    """The collector's own gap column, seconds since the source's previous success, and that success."""
     gap = F.when(F.col("ok") == 1, seconds_between("_previous_success", "collected_at_utc"))
     return with_previous_success(polls).withColumn(
         "gap_seconds_since_previous_success", gap.cast("double")
-    ).drop("_previous_success")
+    )
 
 
 def service_alerts(event_rows: DataFrame) -> DataFrame:

@@ -65,3 +65,15 @@ def test_previous_success_equals_a_plain_scan(spark):
             expected[row[0]] = last
             last = row[2] if row[5] else last
     assert {k: v and v.timestamp() for k, v in found.items()} == {k: v and v.timestamp() for k, v in expected.items()}
+
+
+def test_a_null_source_is_a_source(spark):
+    """Blackouts, gaps and the summary agree on polls without a source, and on polls without a time."""
+    rows = [poll(i, None, i, gap=60.0) for i in range(5)] + [poll(9, None, 30, gap=1560.0)]
+    rows += [poll(100 + i, None, 0, collected=False) for i in range(20)]
+    polls = spark.createDataFrame(rows, POLL_SCHEMA)
+    blackout = collector.collector_blackouts(polls).first()
+    gaps = collector.success_gaps(polls)
+    summary = collector.missing_summary(polls, gaps).first()
+    assert (blackout.source, blackout.blackout_count, gaps.count(), summary.missing_spot_count) == (None, 1, 1, 1)
+    assert collector.with_previous_success(polls).filter("id >= 100 and _previous_success is not null").count() == 0
