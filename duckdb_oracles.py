@@ -8,6 +8,7 @@ from __future__ import annotations
 
 MIN = 5
 LIMIT = 20
+TOP, TOP_PARTS = 5, 3
 
 # The formulas that define the metrics.
 METRICS = {
@@ -286,10 +287,10 @@ def by(keys: str, minimum: int = MIN, name: bool = True, source: str = "bk", ext
     )
 
 
-def ranked(inner: str, lead: str, columns, order: str, limit: int | None = LIMIT) -> str:
+def ranked(inner: str, lead: str, columns, order: str, limit: int | None = LIMIT, position: bool = False) -> str:
     tail = f"LIMIT {limit}" if limit else ""
-    inner = f"SELECT * FROM ({inner}) ORDER BY {order} {tail}"
-    return f"SELECT {lead}, {shown(columns)} FROM ({inner})"
+    inner = f"SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM ({inner}) ORDER BY {order} {tail}"
+    return f"SELECT {lead}, {shown(columns)}{', position' if position else ''} FROM ({inner})"
 
 
 LINES = by("line_ref")
@@ -310,11 +311,11 @@ def rush(condition: str) -> str:
     for alias, c in lifts.items():
         listed.append(f"{r6(f'rush.{c} - non_rush.{c}')} AS {alias}")
     return sql(
-        f"""SELECT rush.line_ref, COALESCE(rush.line_name, non_rush.line_name) AS line_name, {', '.join(listed)}
+        f"""SELECT rush.line_ref, COALESCE(rush.line_name, non_rush.line_name) AS line_name, {', '.join(listed)},
+            ROW_NUMBER() OVER (ORDER BY rush.p90_delay_min - non_rush.p90_delay_min DESC,
+            rush.pct_over_5_min_late - non_rush.pct_over_5_min_late DESC, rush.bucket_count DESC, rush.line_ref) AS position
         FROM (SELECT * FROM grouped WHERE is_rush) rush JOIN (SELECT * FROM grouped WHERE NOT is_rush) non_rush USING (line_ref)
-        ORDER BY rush.p90_delay_min - non_rush.p90_delay_min DESC,
-            rush.pct_over_5_min_late - non_rush.pct_over_5_min_late DESC, rush.bucket_count DESC, rush.line_ref
-        LIMIT {LIMIT}""",
+        ORDER BY position LIMIT {TOP}""",
         "bk",
         marked=f"SELECT *, {condition} AS is_rush FROM bk",
         grouped=by("line_ref, is_rush", source="marked"),
@@ -345,7 +346,7 @@ CHANGES = {
 }
 
 
-def period_change(key: str, names, order: str, preferred: str, other: str) -> dict[str, str]:
+def period_change(key: str, names, order: str, preferred: str, other: str, limit: int = TOP) -> dict[str, str]:
     """CTEs from period_rows (with `period`) to `result`."""
     context = f"{key}, line_ref, direction_ref, local_weekday, local_hour"
     listed = ", ".join(f"{first(n)} AS {n}" for n in names)
@@ -363,10 +364,10 @@ def period_change(key: str, names, order: str, preferred: str, other: str) -> di
         "matched": f"SELECT p.* FROM period_rows p SEMI JOIN matched_contexts m USING ({context}) WHERE period IS NOT NULL",
         "sides": f"SELECT {key}, period, {listed}{metrics()} FROM matched GROUP BY {key}, period HAVING COUNT(*) >= {MIN}",
         "result": f"""
-            SELECT {', '.join(columns)}
+            SELECT {', '.join(columns)}, ROW_NUMBER() OVER (ORDER BY {order}, c.bucket_count DESC, b.{key}) AS position
             FROM (SELECT * FROM sides WHERE period = 'baseline') b
             JOIN (SELECT * FROM sides WHERE period = 'comparison') c ON b.{key} = c.{key}
-            ORDER BY {order}, c.bucket_count DESC, b.{key} LIMIT {LIMIT}""",
+            ORDER BY position LIMIT {limit}""",
     }
 
 
@@ -392,7 +393,7 @@ def at_helsinki_midnight(day: str) -> str:
     return f"timezone('UTC', timezone('Europe/Helsinki', TIMESTAMP '{day}'))"
 
 
-def change_query(bounds, key: str, names, order: str, window, **before: str) -> str:
+def change_query(bounds, key: str, names, order: str, window, limit: int = TOP, **before: str) -> str:
     baseline_start, baseline_end, comparison_start, comparison_end = bounds
     enriched = CTES["bs"].replace("FROM bk b", "FROM wk b")
     where = "WHERE city_part IS NOT NULL" if key == "city_part" else ""
@@ -410,7 +411,7 @@ def change_query(bounds, key: str, names, order: str, window, **before: str) ->
                 WHEN representative_time_utc >= {baseline_start} AND representative_time_utc < {baseline_end} THEN 'baseline'
                 END AS period
             FROM ws LEFT JOIN city USING (stop_id) {where}""",
-        **period_change(key, names, order, "b", "c"),
+        **period_change(key, names, order, "b", "c", limit),
     )
 
 
@@ -590,6 +591,17 @@ def all_oracles() -> dict[str, str]:
     line_window = "AND line_ref = 'L4' AND next_stop_point_ref IS NOT NULL"
     mid_order = "ABS(c.p90_delay_min - b.p90_delay_min) DESC"
     recent_lo, recent_hi = "(SELECT newest - INTERVAL 2 DAY FROM latest)", "(SELECT newest FROM latest)"
+    own_flags = CTES["flagged"]
+    # The thresholds of the catalogue's query in place of the defaults.
+    for default, own in (
+        ("abs(delay_seconds) > 7200", "abs(delay_seconds) > 600"),
+        ("collected) > 300", "collected) > 40"),
+        ("INTERVAL 15 MINUTE", "INTERVAL 60 SECOND"),
+        ("INTERVAL 30 MINUTE", "INTERVAL 120 SECOND"),
+        ("- delay_seconds) > 600", "- delay_seconds) > 30"),
+    ):
+        assert default in own_flags, default
+        own_flags = own_flags.replace(default, own)
     oracles = {
         "source_profile": sql(
             f"""SELECT COUNT(*)::BIGINT AS vehicle_observation_count, MAX(id) AS vehicle_observation_max_id,
@@ -608,7 +620,8 @@ def all_oracles() -> dict[str, str]:
         ),
         "quality_summary": sql(quality_summary(), "q"),
         "quality_by_line": sql(
-            f"""SELECT line_ref, {first('published_line_name', 'recorded_at_utc')} AS line_name, COUNT(*)::BIGINT AS row_count,
+            f"""SELECT *, ROW_NUMBER() OVER (ORDER BY conservative_excluded_pct DESC, conservative_excluded_rows DESC, line_ref)
+            AS position FROM (SELECT line_ref, {first('published_line_name', 'recorded_at_utc')} AS line_name, COUNT(*)::BIGINT AS row_count,
             COUNT(*) FILTER (WHERE is_implausible_delay) AS implausible_delay_rows,
             COUNT(*) FILTER (WHERE is_stale_observation) AS stale_rows,
             COUNT(*) FILTER (WHERE is_pre_trip_observation) AS pre_trip_rows,
@@ -616,10 +629,17 @@ def all_oracles() -> dict[str, str]:
             COUNT(*) FILTER (WHERE has_stop_call_disagreement) AS stop_call_disagreement_rows,
             COUNT(*) FILTER (WHERE excluded) AS conservative_excluded_rows,
             {r6('COUNT(*) FILTER (WHERE excluded) / COUNT(*)::DOUBLE * 100.0')} AS conservative_excluded_pct
-            FROM q GROUP BY line_ref HAVING COUNT(*) >= {MIN}
-            ORDER BY conservative_excluded_pct DESC, conservative_excluded_rows DESC, line_ref LIMIT {LIMIT}""",
+            FROM q GROUP BY line_ref HAVING COUNT(*) >= {MIN}) ORDER BY position LIMIT {TOP}""",
             "q",
         ),
+        "quality_rows_diagnostic": sql(quality_rows("TRUE"), "q"),
+        "quality_rows_raw": sql(quality_rows("TRUE"), "q"),
+        "quality_rows_thresholds": sql(
+            quality_rows("NOT excluded").replace("FROM q", "FROM own_q"),
+            "measured",
+            own_flags=own_flags,
+            own_q=CTES["q"].replace("FROM flagged", "FROM own_flags"),
+        ),
         "quality_examples": sql(
             f"""SELECT id, {text('recorded_at_utc')} AS recorded_at_utc, line_ref, direction_ref, vehicle_id, trip_match_key,
             next_stop_point_ref, {r6('delay_seconds / 60.0')} AS delay_min, observation_age_seconds,
@@ -659,14 +679,14 @@ def all_oracles() -> dict[str, str]:
             CAST(MIN(local_date) AS VARCHAR) AS local_start_date, CAST(MAX(local_date) AS VARCHAR) AS local_end_date FROM bk""",
             "bk",
         ),
-        "line_robust": sql(ranked(LINES, "line_ref, line_name", METRICS, ROBUST_ORDER + ", line_ref"), "bk"),
-        "line_late": sql(ranked(LINES, "line_ref, line_name", LATE, LATE_ORDER + ", line_ref"), "bk"),
-        "line_early": sql(ranked(LINES, "line_ref, line_name", EARLY, EARLY_ORDER + ", line_ref"), "bk"),
+        "line_robust": sql(ranked(LINES, "line_ref, line_name", METRICS, ROBUST_ORDER + ", line_ref", TOP, True), "bk"),
+        "line_late": sql(ranked(LINES, "line_ref, line_name", LATE, LATE_ORDER + ", line_ref", TOP, True), "bk"),
+        "line_early": sql(ranked(LINES, "line_ref, line_name", EARLY, EARLY_ORDER + ", line_ref", TOP, True), "bk"),
         "line_rankings": sql(
             "SELECT 'late' AS ranking, * FROM ("
-            + ranked(LINES, "line_ref, line_name", LATE, LATE_ORDER + ", line_ref")
+            + ranked(LINES, "line_ref, line_name", LATE, LATE_ORDER + ", line_ref", TOP)
             + ") UNION ALL BY NAME SELECT 'early' AS ranking, * FROM ("
-            + ranked(LINES, "line_ref, line_name", EARLY, EARLY_ORDER + ", line_ref")
+            + ranked(LINES, "line_ref, line_name", EARLY, EARLY_ORDER + ", line_ref", TOP)
             + ")",
             "bk",
         ),
@@ -716,6 +736,20 @@ def all_oracles() -> dict[str, str]:
                 sqrt(GREATEST(p90_delay_min, 0) * bucket_count) AS shaped FROM ({STOP_METRICS})
                 WHERE stop_lat IS NOT NULL AND stop_lon IS NOT NULL AND p90_delay_min > 0""",
         ),
+        "stop_heat_shapes": sql(
+            " UNION ALL ".join(
+                f"""SELECT '{name}' AS response, stop_id, {r6(shape)} AS shaped_weight, {r6(cap)} AS intensity_max,
+                NULL::DOUBLE AS intensity_cutoff FROM heat"""
+                for name, shape, cap in (
+                    ("linear", "heat_weight", "(SELECT QUANTILE_CONT(heat_weight, 0.99) FROM heat)"),
+                    ("log1p", "ln(1 + heat_weight)", "(SELECT MAX(ln(1 + heat_weight)) FROM heat)"),
+                    ("manual", "heat_weight", "25.0"),
+                )
+            ),
+            "bs",
+            heat=f"""SELECT stop_id, GREATEST(p90_delay_min, 0) * bucket_count AS heat_weight FROM ({STOP_METRICS})
+                WHERE stop_lat IS NOT NULL AND stop_lon IS NOT NULL AND p90_delay_min > 0""",
+        ),
         "stop_markers": sql(
             f"""SELECT stop_id, stop_name, bucket_count,
             {r6('''CASE WHEN (SELECT MIN(root) = MAX(root) FROM sm) THEN 19.5 ELSE 9.0 + (root - (SELECT MIN(root) FROM sm))
@@ -759,7 +793,9 @@ def all_oracles() -> dict[str, str]:
             RECENT, "stop_id", STOP_NAMES, "c.p90_delay_min - b.p90_delay_min", (RECENT[0], RECENT[3]),
             latest=LATEST + " AND next_stop_point_ref IS NOT NULL",
         ),
-        "city_part_change": change_query(EXPLICIT, "city_part", (), mid_order, (EXPLICIT[0], EXPLICIT[3])),
+        "city_part_change": change_query(
+            EXPLICIT, "city_part", ("stop_name", "stop_lat", "stop_lon"), mid_order, (EXPLICIT[0], EXPLICIT[3]), TOP_PARTS
+        ),
         "alert_targets": sql(
             f"""SELECT cause, effect, priority, alert_scope, target_ref, {text('start_utc')} AS start_utc,
             {text('end_utc')} AS end_utc FROM targets""",
@@ -769,6 +805,10 @@ def all_oracles() -> dict[str, str]:
         "alert_grouped": sql(
             "SELECT * FROM result", "bk", "alert", "routes", **alert_ctes("bk"), **lift_ctes("bk", False, MIN)
         ),
+        "alert_stops": sql(
+            "SELECT * FROM result", "bk", "alert", "routes",
+            **alert_ctes("bk", scopes="alert_scope = 'stop'"), **lift_ctes("bk", False, MIN),
+        ),
         "alert_by_line": sql(
             "SELECT * FROM result", "bk", "alert", "routes", **alert_ctes("bk"), **lift_ctes("bk", True, MIN)
         ),
@@ -846,6 +886,18 @@ def all_oracles() -> dict[str, str]:
             f"SELECT stop_id, stop_name, {r6('stop_lat')} AS stop_lat, {r6('stop_lon')} AS stop_lon, line_count FROM ({CANONICAL})",
             "bk", "stops",
         ),
+        "results_read_back": sql(ranked(LINES, "line_ref, line_name", LATE, LATE_ORDER + ", line_ref", TOP), "bk"),
+        "csv_round_trip": sql(
+            "SELECT 'late' AS view, * FROM ("
+            + ranked(LINES, "line_ref, line_name", LATE, LATE_ORDER + ", line_ref", TOP)
+            + ") UNION ALL BY NAME SELECT 'early' AS view, * FROM ("
+            + ranked(LINES, "line_ref, line_name", EARLY, EARLY_ORDER + ", line_ref", TOP)
+            + ")",
+            "bk",
+        ),
+        "json_round_trip": sql(
+            f"SELECT line_ref, line_name, bucket_count, raw_poll_count, 1::BIGINT AS schema_version FROM ({LINES})", "bk"
+        ),
         "public_lines": sql(f"SELECT line_ref, line_name, {ALL_METRICS} FROM ({LINES})", "bk"),
         "public_contexts": sql(
             f"SELECT line_ref, direction_ref, day_type, local_hour, line_name, {ALL_METRICS} FROM ({PUBLIC_CONTEXTS})", "bk"

@@ -46,6 +46,11 @@ def top(metrics: DataFrame, descending, ties, limit: int | None) -> DataFrame:
     return ordered.limit(limit) if limit is not None else ordered
 
 
+def numbered(limited: DataFrame) -> DataFrame:
+    """Add the place of each row, from 1, in an ordered and limited result: such a result is one partition."""
+    return limited.withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def delay_cube(buckets: DataFrame, windows=DEFAULT_RUSH_WINDOWS, include_weekends: bool = False) -> DataFrame:
     """Histogram by line, direction, hour, day type and rush.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, time
 
@@ -11,16 +12,26 @@ from punctual.functions.values import json_scalars
 from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, stops
 from punctual.plans.adapter import polls_with_gaps, tables
 from punctual.plans.tables import Tables
-from punctual.session import materialise
-from punctual.sources.readers import source_summary
+from punctual.session import application_folder, materialise
+from punctual.sources.readers import read_result, source_summary
+from punctual.sources.sinks import labelled_union, write_csv, write_json, write_tables
 
 MIN = 5
 LIMIT = 20
+# The data have 12 lines, 8 stops and 5 city parts: these limits cut, so that the order decides what stays.
+TOP, TOP_PARTS = 5, 3
 
 # The windows, lines and filters of the registered queries.
 PERIODS = ("2024-01-02", "2024-01-12", "2024-01-12", "2024-01-22")
 WINDOW = ("2024-01-10T06:00:00", "2024-01-24T18:00:00")
 LINE = "L4"
+THRESHOLDS = dict(
+    max_abs_delay_seconds=600,
+    stale_seconds=40,
+    pre_trip_grace_seconds=60,
+    post_trip_grace_seconds=120,
+    stop_call_disagreement_seconds=30,
+)
 CALENDAR = dict(
     start_date=date(2024, 1, 5),
     end_date=date(2024, 1, 25),
@@ -106,6 +117,43 @@ def stop_heat_scaled(t: Tables) -> DataFrame:
     return scaled.select(*keep)
 
 
+def stop_heat_shapes(t: Tables) -> DataFrame:
+    """The other shapes and caps of the heat scale: linear, log1p, a manual cap and none."""
+    weights = materialise(dashboard.heat_weights(stop_metrics(t), "p90_delay_min"), "stop_heat")
+    shapes = {
+        "linear": dashboard.heat_scale(weights),
+        "log1p": dashboard.heat_scale(weights, response="log1p", cap_quantile=None),
+        "manual": dashboard.heat_scale(weights, manual_cap=25.0),
+    }
+    keep = ["stop_id", "shaped_weight", "intensity_max", "intensity_cutoff"]
+    return labelled_union({name: scaled.select(*keep) for name, scaled in shapes.items()}, "response")
+
+
+def results_read_back(t: Tables) -> DataFrame:
+    """Late lines written as a result table and read back by name."""
+    spark = t.observations.sparkSession
+    root = f"{application_folder(spark)}/results-{uuid.uuid4().hex}"
+    write_tables({"line_late_rankings": rankings.late_lines(rankings.line_metrics(buckets_of(t), MIN), TOP)}, root)
+    return read_result(spark, root, "line_late_rankings")
+
+
+def csv_round_trip(t: Tables) -> DataFrame:
+    """Both line rankings as labelled CSV, read back by the schema that was written."""
+    metrics = materialise(rankings.line_metrics(buckets_of(t), MIN), "line_metrics")
+    views = labelled_union({"late": rankings.late_lines(metrics, TOP), "early": rankings.early_lines(metrics, TOP)})
+    path = f"{application_folder(t.observations.sparkSession)}/views-{uuid.uuid4().hex}"
+    write_csv(views, path, digits=6)
+    return views.sparkSession.read.schema(views.schema).csv(path, header=True)
+
+
+def json_round_trip(t: Tables) -> DataFrame:
+    """Published lines as JSON, with their schema version, read back."""
+    path = f"{application_folder(t.observations.sparkSession)}/lines-{uuid.uuid4().hex}"
+    write_json(publish.public_lines(buckets_of(t), MIN), path, name="lines/lines", required=publish.REQUIRED["lines"])
+    schema = "line_ref string, line_name string, bucket_count long, raw_poll_count long, schema_version long"
+    return t.observations.sparkSession.read.schema(schema).json(path)
+
+
 def stop_markers(t: Tables) -> DataFrame:
     metrics = materialise(stop_metrics(t), "stop_metrics")
     sized = dashboard.marker_sizes(metrics)
@@ -124,15 +172,16 @@ def filtered(t: Tables) -> DataFrame:
 
 
 def midpoint_change(t: Tables) -> DataFrame:
-    return change.midpoint_change(written_buckets(t), MIN, LIMIT)
+    return rankings.numbered(change.midpoint_change(written_buckets(t), MIN, TOP))
 
 
-def changed(t: Tables, periods: change.Periods, **options) -> DataFrame:
+def changed(t: Tables, periods: change.Periods, limit: int = TOP, **options) -> DataFrame:
     start, end = periods.window
     selected = windowed_buckets(t, start=start, end=end, has_stop=True)
-    return change.stop_change(
-        selected, periods.label(), stops=t.stops, city_parts=t.city_parts, min_observations=MIN, limit=LIMIT, **options
+    found = change.stop_change(
+        selected, periods.label(), stops=t.stops, city_parts=t.city_parts, min_observations=MIN, limit=limit, **options
     )
+    return rankings.numbered(found)
 
 
 def stop_change_explicit(t: Tables) -> DataFrame:
@@ -144,7 +193,7 @@ def stop_change_recent(t: Tables) -> DataFrame:
 
 
 def city_part_change(t: Tables) -> DataFrame:
-    return changed(t, change.explicit_periods(*PERIODS), group_by="city-part").drop("stop_name", "stop_lat", "stop_lon")
+    return changed(t, change.explicit_periods(*PERIODS), TOP_PARTS, group_by="city-part")
 
 
 def alert_targets(t: Tables) -> DataFrame:
@@ -157,9 +206,9 @@ def lift(written: DataFrame, active: DataFrame, **options) -> DataFrame:
     return alerts.alert_lift(active, alerts.control_histogram(written, active), limit=LIMIT, **options)
 
 
-def alert_lift(t: Tables, by_line: bool) -> DataFrame:
+def alert_lift(t: Tables, by_line: bool, kind: str = "any") -> DataFrame:
     written = written_buckets(t)
-    active = alerts.alert_active(written, t.alerts, t.routes)
+    active = alerts.alert_active(written, t.alerts, t.routes, kind=kind)
     return lift(written, active, by_line=by_line, min_observations=MIN)
 
 
@@ -225,7 +274,7 @@ def explorable(t: Tables) -> DataFrame:
 
 def line_rankings(t: Tables) -> DataFrame:
     metrics = materialise(rankings.line_metrics(buckets_of(t), MIN), "line_metrics")
-    return rankings.line_rankings(metrics, LIMIT)
+    return rankings.line_rankings(metrics, TOP)
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
@@ -234,7 +283,12 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "quality_rows_strict": lambda t: quality_columns(rows_of(t, exclude_stop_call_disagreement=True)),
     "quality_rows_without_polls": lambda t: quality_columns(quality.quality_rows(t.observations)),
     "quality_summary": lambda t: quality.quality_summary(quality.quality_counts(rows_of(t))),
-    "quality_by_line": lambda t: quality.quality_by_line(quality.quality_counts(rows_of(t)), MIN, LIMIT),
+    "quality_rows_diagnostic": lambda t: quality_columns(rows_of(t, mode="diagnostic")),
+    "quality_rows_raw": lambda t: quality_columns(rows_of(t, mode="raw")),
+    "quality_rows_thresholds": lambda t: quality_columns(rows_of(t, **THRESHOLDS)),
+    "quality_by_line": lambda t: rankings.numbered(
+        quality.quality_by_line(quality.quality_counts(rows_of(t)), MIN, TOP)
+    ),
     "quality_examples": lambda t: quality.quality_examples(rows_of(t), LIMIT),
     "buckets_trip_stop": bucket_modes("trip-stop"),
     "buckets_vehicle_trip": bucket_modes("vehicle-trip"),
@@ -242,9 +296,13 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "buckets_poll": bucket_modes("poll"),
     "buckets_windowed": windowed,
     "bucket_summary": lambda t: buckets.bucket_summary(buckets_of(t)),
-    "line_robust": lambda t: rankings.robust_lines(buckets_of(t), MIN, LIMIT),
-    "line_late": lambda t: rankings.late_lines(rankings.line_metrics(buckets_of(t), MIN), LIMIT),
-    "line_early": lambda t: rankings.early_lines(rankings.line_metrics(buckets_of(t), MIN), LIMIT),
+    "line_robust": lambda t: rankings.numbered(rankings.robust_lines(buckets_of(t), MIN, TOP)),
+    "line_late": lambda t: rankings.numbered(
+        rankings.late_lines(rankings.line_metrics(buckets_of(t), MIN), TOP)
+    ),
+    "line_early": lambda t: rankings.numbered(
+        rankings.early_lines(rankings.line_metrics(buckets_of(t), MIN), TOP)
+    ),
     "line_rankings": line_rankings,
     "context_metrics": lambda t: rankings.context_metrics(buckets_of(t), MIN, LIMIT),
     "context_metrics_filtered": lambda t: rankings.context_metrics(
@@ -252,9 +310,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "hourly_profile": lambda t: rankings.hourly_profile(buckets_of(t), MIN),
     "hourly_profile_line": lambda t: rankings.hourly_profile(buckets_of(t), 1, line=LINE, by="robust", limit=10),
-    "rush_impact": lambda t: rankings.rush_impact(buckets_of(t), MIN, LIMIT),
-    "rush_impact_overnight": lambda t: rankings.rush_impact(
-        buckets_of(t), MIN, LIMIT, windows=("22:00-02:00",), include_weekends=True
+    "rush_impact": lambda t: rankings.numbered(rankings.rush_impact(buckets_of(t), MIN, TOP)),
+    "rush_impact_overnight": lambda t: rankings.numbered(
+        rankings.rush_impact(buckets_of(t), MIN, TOP, windows=("22:00-02:00",), include_weekends=True)
     ),
     "line_hour_metrics": lambda t: dashboard.line_hour_metrics(buckets_of(t), MIN),
     "line_hour_grid": lambda t: dashboard.line_hour_grid(dashboard.line_hour_metrics(buckets_of(t), MIN)),
@@ -266,6 +324,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         "stop_id", "stop_name", "stop_lat", "stop_lon", "bucket_count", "heat_weight"
     ),
     "stop_heat_scaled": stop_heat_scaled,
+    "stop_heat_shapes": stop_heat_shapes,
     "stop_markers": stop_markers,
     "selection_summary": lambda t: dashboard.selection_summary(buckets_of(t)),
     "filter_options": filter_options,
@@ -278,6 +337,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "alert_targets": alert_targets,
     "alert_grouped": lambda t: alert_lift(t, False),
     "alert_by_line": lambda t: alert_lift(t, True),
+    "alert_stops": lambda t: alert_lift(t, False, "stop"),
     "alert_recent_routes": alert_recent_routes,
     "collector_blackouts": lambda t: collector.collector_blackouts(polls_with_gaps(t.polls), LIMIT),
     "collector_gaps": lambda t: success_gaps(t),
@@ -302,6 +362,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         publish.public_contexts(buckets_of(t), 1), LINE, "1", "weekday", 18, 6
     ),
     "stop_search": stop_search,
+    "results_read_back": results_read_back,
+    "csv_round_trip": csv_round_trip,
+    "json_round_trip": json_round_trip,
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from punctual.functions.times import with_local_calendar
 from punctual.operators import alerts
 from punctual.schemas import ALERT_SCHEMA
+from punctual.session import materialise
 from tests.conftest import utc
 from tests.fixtures import observation, observations
 
@@ -151,3 +152,37 @@ def test_against_brute_force(spark):
         assert (r.bucket_count_alert, r.bucket_count_control) == (len(a), len(c))
         assert r.p90_delay_min_alert == pytest.approx(np.quantile(a, 0.9) / 60)
         assert r.median_delay_min_control == pytest.approx(np.median(c) / 60)
+
+
+def test_size_of_the_cells_decides_the_join(spark):
+    """Few written cells are broadcast, many are merged; nothing is forced."""
+    table = materialise(bucket_table(spark, [("1", "3", "1", "10", 60.0, 1, "3", utc("2026-04-23T08:30:00"))]), "buckets")
+    few = materialise(alerts.day_cells(alerts.alert_targets(make(spark, alert()), None, *bounds()), *bounds()), "few")
+    keys = [c for c in few.columns if c not in ("target_ref", "cause")]
+    many = materialise(
+        few.crossJoin(spark.range(400_000)).select(
+            F.sha2(F.col("id").cast("string"), 256).alias("target_ref"), F.sha1(F.col("id").cast("string")).alias("cause"), *keys
+        ).repartition(4),
+        "many",
+    )
+    plans = [alerts.active_buckets(table, cells)._jdf.queryExecution().executedPlan().toString() for cells in (few, many)]
+    assert "BroadcastHashJoin" in plans[0]
+    # The buckets are small here, so it may be they that are broadcast; the many cells never are.
+    many_scan = plans[1][: plans[1].index("Scan")] if "BroadcastExchange" in plans[1] else plans[1]
+    assert "SortMergeJoin" in plans[1] or "BuildLeft" in many_scan
+
+
+def test_intervals_merge_over_midnight_before_they_are_cut(spark):
+    table = make(
+        spark,
+        alert("a", start="2026-04-23T08:00:00", end="2026-04-23T23:00:00"),
+        alert("b", start="2026-04-23T09:00:00", end="2026-04-24T02:00:00"),
+        alert("c", start="2026-04-24T02:00:00", end="2026-04-24T03:00:00"),
+        alert("d", start="2026-04-24T05:00:00", end="2026-04-24T06:00:00"),
+    )
+    cells = alerts.day_cells(alerts.alert_targets(table, None, *bounds()), *bounds()).orderBy("start_utc").collect()
+    assert [(r.start_utc.isoformat(), r.end_utc.isoformat()) for r in cells] == [
+        ("2026-04-23T08:00:00", "2026-04-24T00:00:00"),
+        ("2026-04-24T00:00:00", "2026-04-24T03:00:00"),
+        ("2026-04-24T05:00:00", "2026-04-24T06:00:00"),
+    ]
