@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: written member by member as a stream, read back by ranges.
 
-A package holds two stored (uncompressed) members: archive/data.warc and indexes/index.cdxj, which has
-the offset and length of every record. Readers look at the end record and the central directory
+A package holds two stored (uncompressed) members: archive/data.warc.gz, in which every record is a gzip
+member of its own, and indexes/index.cdxj, which has the offset and length of every record. Readers look at the end record and the central directory
 (with their ZIP64 forms), locate the members, read the index, and then only ranges of the archive
 member: nothing is unpacked. Files are reached through pyarrow.fs at the URI of the shared folder.
 """
@@ -9,7 +9,9 @@ member: nothing is unpacked. Files are reached through pyarrow.fs at the URI of
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import json
 import re
 import struct
@@ -29,7 +31,7 @@ END64, LOCATOR64, DESCRIPTOR = 0x06064B50, 0x07064B50, 0x08074B50
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
 #: Fixed values of the WARC format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of an archive that are read at once; a longer record is read whole.
 RANGE = 4 << 20
 _DATE = "1970-01-01T00:00:00Z"
@@ -152,7 +154,7 @@ def stored_members(file) -> dict[str, tuple[int, int]]:
 def record_ranges(file) -> Iterator[tuple[int, int]]:
     """(start, end) in the file of runs of whole records, about RANGE bytes each.
 
-    Offsets come from the index members; an archive that no index names is walked header by header.
+    Offsets come from the index members; an archive that no index names is walked record by record.
     """
     members = stored_members(file)
     places: dict[str, list[tuple[int, int]]] = {}
@@ -163,7 +165,8 @@ def record_ranges(file) -> Iterator[tuple[int, int]]:
             places.setdefault(entry["filename"], []).append((int(entry["offset"]), int(entry["length"])))
     for name in sorted(m for m in members if m.startswith("archive/")):
         base, size = members[name]
-        entries = sorted(places[name]) if name in places else _walk(file, base, size)
+        walk = _walk_gzip if name.endswith(".gz") else _walk
+        entries = sorted(places[name]) if name in places else walk(file, base, size)
         first = last = None
         for offset, length in entries:
             if first is not None and (offset != last or last - first >= RANGE):
@@ -184,6 +187,19 @@ def _walk(file, base: int, size: int) -> Iterator[tuple[int, int]]:
         at += length
 
 
+def _walk_gzip(file, base: int, size: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < size:
+        member, end = zlib.decompressobj(31), at
+        while not member.eof:
+            chunk = _range(file, base + end, min(1 << 16, size - end))
+            member.decompress(chunk)
+            end += len(chunk)
+        end -= len(member.unused_data)
+        yield at, end - at
+        at = end
+
+
 def _header(data: bytes, at: int) -> tuple[int, dict[str, str]]:
     end = data.index(b"\r\n\r\n", at)
     lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -215,7 +231,9 @@ def record_bytes(record_id, url: str | None, payload: bytes, refers_to=None, rev
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of a range: type, ids, target, payload (None for revisits), its length and digest."""
+    """Records of a range, plain or gzip members: type, ids, target, payload (None for revisits), its length and digest."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
     at = 0
     while at < len(data):
         body, fields = _header(data, at)
@@ -260,7 +278,7 @@ def _writer(folder: str):
                     out = system.open_output_stream(f"{root}/{name}")
                     package = ZipStreamWriter(out)
                     package.begin(ARCHIVE)
-                raw = record_bytes(record_id, url, payload, refers_to, revisit)
+                raw = gzip.compress(record_bytes(record_id, url, payload, refers_to, revisit), 1, mtime=0)
                 index.append((record_id, package.write(raw), len(raw)))
                 n += 1
         if package is not None:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -220,13 +221,16 @@ def test_other_packages(tmp_path):
     path = tmp_path / "plain.zip"
     with zipfile.ZipFile(path, "w") as package:
         package.writestr("archive/a.warc", b"".join(records))
+        package.writestr("archive/c.warc.gz", b"".join(gzip.compress(r * 1) for r in records))
         package.writestr("archive/b.warc.gz", b"0" * 1000, compress_type=zipfile.ZIP_DEFLATED)
         package.comment = b"a comment PK\x05\x06 with a signature"
     with open(path, "rb") as raw:
         file = pa.PythonFile(raw)
-        assert set(warczip.stored_members(file)) == {"archive/a.warc"}
-        (start, end), = warczip.record_ranges(file)
-        assert [r["id"] for r in warczip.parse_records(warczip._range(file, start, end - start))] == [0, 1, 2, 3, 4]
+        assert set(warczip.stored_members(file)) == {"archive/a.warc", "archive/c.warc.gz"}
+        ranges = list(warczip.record_ranges(file))
+        assert len(ranges) == 2
+        for start, end in ranges:
+            assert [r["id"] for r in warczip.parse_records(warczip._range(file, start, end - start))] == [0, 1, 2, 3, 4]
     (tmp_path / "bad.zip").write_bytes(b"nothing")
     with open(tmp_path / "bad.zip", "rb") as raw, pytest.raises(ValueError):
         warczip.central_directory(pa.PythonFile(raw))
