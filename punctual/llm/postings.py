@@ -251,8 +251,9 @@ def nearest_neighbours(
         scanned = right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInArrow(
             _scanner(k), "query_id long, found array<struct<loss:double,vec_id:long>>"
         )
-        merged = scanned.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-        best = F.slice(F.array_sort(F.array_distinct("found")), 1, k)
+        merged = scanned.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+        # The same row from several lists stands side by side now.
+        best = F.slice(F.filter("found", lambda x, i: (i == 0) | (x != F.get("found", i - 1))), 1, k)
         part = merged.select("query_id", F.posexplode(best).alias("place", "hit")).select(
             "query_id",
             (F.col("place") + 1).cast("int").alias("rank"),
