@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from punctual.functions.times import hour_label, is_rush
-from punctual.operators.metrics import delay_histogram, sort_robust, summarize_delay_metrics
-from punctual.schemas import DEFAULT_RUSH_WINDOWS
+from punctual.operators.metrics import (
+    delay_histogram,
+    earliest,
+    metric_aggregates,
+    metric_outputs,
+    sort_robust,
+    summarize_delay_metrics,
+)
+from punctual.schemas import DEFAULT_RUSH_WINDOWS, METRIC_COLUMNS
 
 LINE_NAME = {"line_name": "published_line_name"}
 
@@ -37,6 +44,7 @@ EARLY_COLUMNS = (
     "median_early_min_abs",
     "p90_early_min_abs",
 )
+CONTEXT_KEYS = ["line_ref", "direction_ref", "local_hour", "day_type"]
 LATE_ORDER = ("p90_delay_min", "pct_over_5_min_late", "bucket_count")
 EARLY_ORDER = ("p90_early_min_abs", "pct_over_3_min_early", "bucket_count")
 
@@ -63,6 +71,37 @@ def delay_cube(buckets: DataFrame, windows=DEFAULT_RUSH_WINDOWS, include_weekend
     return delay_histogram(marked, keys, ["published_line_name"])
 
 
+def cube_metrics(cube: DataFrame, min_observations: int = 1) -> DataFrame:
+    """Metrics per line, context, hour, and line and rush, from one pass over the cube.
+
+    One table, told apart by `grouping`; write it, as `cube_parts` reads it for each part.
+    """
+    grouped = cube.groupingSets(
+        [["line_ref"], CONTEXT_KEYS, ["local_hour"], ["line_ref", "is_rush"]], *CONTEXT_KEYS, "is_rush"
+    ).agg(
+        F.when(F.grouping("line_ref") == 1, "hour")
+        .when(F.grouping("direction_ref") == 0, "context")
+        .when(F.grouping("is_rush") == 0, "rush")
+        .otherwise("line")
+        .alias("grouping"),
+        earliest("published_line_name").alias("line_name"),
+        *[a.alias(name) for name, a in metric_aggregates().items()],
+    )
+    kept = grouped.filter(F.col("bucket_count") >= min_observations)
+    return kept.select("grouping", *CONTEXT_KEYS, "is_rush", "line_name", *metric_outputs())
+
+
+def cube_parts(metrics: DataFrame) -> dict[str, DataFrame]:
+    """The groupings of `cube_metrics`, each with its own keys and, where it has lines, their names."""
+    keys = {"line": ["line_ref"], "context": CONTEXT_KEYS, "hour": ["local_hour"], "rush": ["line_ref", "is_rush"]}
+    return {
+        name: metrics.filter(F.col("grouping") == name).select(
+            *own, *(["line_name"] if "line_ref" in own else []), *METRIC_COLUMNS
+        )
+        for name, own in keys.items()
+    }
+
+
 def line_metrics(buckets: DataFrame, min_observations: int = 1) -> DataFrame:
     return summarize_delay_metrics(buckets, ["line_ref"], min_observations=min_observations, first=LINE_NAME)
 
@@ -100,9 +139,12 @@ def context_metrics(
     for column, value in (("line_ref", line), ("direction_ref", direction), ("day_type", day_type)):
         if value is not None:
             buckets = buckets.filter(F.col(column) == value)
-    keys = ["line_ref", "direction_ref", "local_hour", "day_type"]
-    metrics = summarize_delay_metrics(buckets, keys, min_observations=min_observations, first=LINE_NAME)
-    ranked = sort_robust(metrics, keys, limit).withColumn("hour_local", hour_label())
+    metrics = summarize_delay_metrics(buckets, CONTEXT_KEYS, min_observations=min_observations, first=LINE_NAME)
+    return ranked_contexts(metrics, limit)
+
+
+def ranked_contexts(metrics: DataFrame, limit: int | None = 20) -> DataFrame:
+    ranked = sort_robust(metrics, CONTEXT_KEYS, limit).withColumn("hour_local", hour_label())
     lead = ["line_ref", "line_name", "direction_ref", "hour_local", "day_type"]
     return ranked.select(*lead, *[c for c in ranked.columns if c not in {*lead, "local_hour"}])
 
@@ -119,6 +161,10 @@ def hourly_profile(
     if line is not None:
         buckets = buckets.filter(F.col("line_ref") == line)
     metrics = summarize_delay_metrics(buckets, ["local_hour"], min_observations=min_observations)
+    return ordered_hours(metrics, by, limit)
+
+
+def ordered_hours(metrics: DataFrame, by: str = "hour", limit: int | None = None) -> DataFrame:
     if by == "robust":
         ordered = sort_robust(metrics, ["local_hour"], limit)
     else:
@@ -147,6 +193,11 @@ def rush_impact(
     metrics = summarize_delay_metrics(
         marked, ["line_ref", "is_rush"], min_observations=min_observations, first=LINE_NAME
     )
+    return compared_rush(metrics, limit)
+
+
+def compared_rush(metrics: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Both sides of each line next to each other, from metrics per line and rush."""
     compared = ("bucket_count", "raw_poll_count", "median_delay_min", "p90_delay_min", "pct_over_5_min_late")
     # At most two metric rows per line remain, so both sides come from one pass.
     paired = metrics.groupBy("line_ref").agg(

@@ -88,22 +88,23 @@ def report_results(tables: Tables, base: dict[str, DataFrame], settings: ReportS
     active = alerts.alert_active(written, alert_table, tables.routes, timezone=settings.timezone)
     shared = write_tables(
         {
-            "line_metrics": rankings.line_metrics(cube, least),
+            "delay_metrics": rankings.cube_metrics(cube, least),
             "collector_success_gaps": collector.success_gaps(polls),
             "alert_active_histogram": active,
         },
         root,
     )
     metrics, gaps, active = shared.values()
+    parts = rankings.cube_parts(metrics)
     controls = write_table(alerts.control_histogram(written, active), root, "alert_control_histogram")
     return {
         "quality_summary": quality.quality_summary(base["quality_counts"]),
         "quality_by_line": quality.quality_by_line(base["quality_counts"], least, limit),
-        "line_late_rankings": rankings.late_lines(metrics, limit),
-        "line_early_rankings": rankings.early_lines(metrics, limit),
-        "context_delay_metrics": rankings.context_metrics(cube, least, limit),
-        "hourly_delay_profile": rankings.hourly_profile(cube, least),
-        "rush_impact": rankings.rush_impact(cube, least, limit),
+        "line_late_rankings": rankings.late_lines(parts["line"], limit),
+        "line_early_rankings": rankings.early_lines(parts["line"], limit),
+        "context_delay_metrics": rankings.ranked_contexts(parts["context"], limit),
+        "hourly_delay_profile": rankings.ordered_hours(parts["hour"]),
+        "rush_impact": rankings.compared_rush(parts["rush"], limit),
         "midpoint_summary": change.midpoint_summary(written),
         "stop_midpoint_change": change.midpoint_change(written, least, limit),
         "delay_cache_summary": buckets.bucket_summary(written),

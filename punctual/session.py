@@ -19,6 +19,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Percentile and first-value states hold a few numbers per bucket. The default of 128 groups a task
+    # makes every bucket aggregation fall back to sorting; this many take some tens of megabytes.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
     return spark
 
 

@@ -215,3 +215,24 @@ def test_filters_reject_reversed_times(spark):
     assert dashboard.filter_buckets(rows, start_time=time(0, 0), end_time=time(23, 59)).count() == 3
     with pytest.raises(ValueError):
         dashboard.filter_buckets(rows, start_time=time(9, 0), end_time=time(8, 0))
+
+
+def test_one_pass_over_the_cube_equals_each_ranking(spark):
+    rng = random.Random(11)
+    rows = [
+        (f"L{rng.randrange(4)}", rng.choice("12"), hour, day, hour * 60, day == "weekday", float(rng.randrange(-300, 900)), 1,
+         f"Line {rng.randrange(3)}", utc("2026-04-23T08:00:00"), "10")
+        for _ in range(400)
+        for hour, day in [(rng.choice((7, 8, 12, 16)), rng.choice(("weekday", "weekend")))]
+    ]
+    cube = rankings.delay_cube(spark.createDataFrame(rows, BUCKET))
+    parts = rankings.cube_parts(rankings.cube_metrics(cube, 5))
+
+    def same(one, other):
+        assert one.columns == other.columns
+        assert [tuple(r) for r in one.collect()] == [tuple(r) for r in other.collect()]
+
+    same(rankings.late_lines(parts["line"], 3), rankings.late_lines(rankings.line_metrics(cube, 5), 3))
+    same(rankings.ranked_contexts(parts["context"], 9), rankings.context_metrics(cube, 5, 9))
+    same(rankings.ordered_hours(parts["hour"]), rankings.hourly_profile(cube, 5))
+    same(rankings.compared_rush(parts["rush"], 3), rankings.rush_impact(cube, 5, 3))
