@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -61,32 +62,54 @@ def require_columns(df: DataFrame, required, source: str) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, required) -> DataFrame:
-    """The required columns as text, with the position of each row in the file."""
-    table = spark.read.csv(path, header=True, escape='"')
-    return require_columns(table, required, path).select(
+def read_csv(spark: SparkSession, paths: str | list[str], required) -> DataFrame:
+    """The required columns as text, with the feed date of each row's file and its position there."""
+    table = spark.read.csv(paths, header=True, escape='"')
+    source = paths if isinstance(paths, str) else paths[0]
+    return require_columns(table, required, source).select(
         *required,
+        feed_date(F.col("_metadata.file_path")).alias("gtfs_feed_date"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
 
 
+def files_by_header(spark: SparkSession, root: str, filename: str) -> dict[str, list[str]]:
+    """The feeds' files by their first line: one short row per published timetable comes to the driver."""
+    try:
+        lines = spark.read.text(f"{root}/gtfs_*/{filename}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    firsts = (
+        lines.select(
+            "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")
+        )
+        .filter((F.col("file_block_start") == 0) & feed_date(F.col("file_path")).isNotNull())
+        .groupBy("file_path")
+        .agg(F.min_by("value", "row").alias("header"))
+    )
+    found: dict[str, list[str]] = {}
+    for path, header in sorted(map(tuple, firsts.collect())):
+        found.setdefault(header.lstrip("\ufeff").strip(), []).append(unquote(path))
+    return found
+
+
 def read_feeds(spark: SparkSession, gtfs_dir, gtfs_root, filename: str, fields, key: str, empty) -> DataFrame:
     """One forced folder without a date, or all feeds with theirs; the first row per key.
 
-    Feeds may order their columns differently, so each file is read by its own header.
+    Feeds may order their columns differently: files of one header are one scan,
+    however many they are.
     """
     if gtfs_dir is not None:
-        table, keys = read_csv(spark, f"{gtfs_dir}/{filename}", fields), [key]
+        table, keys = read_csv(spark, f"{gtfs_dir}/{filename}", fields).drop("gtfs_feed_date"), [key]
     else:
-        feeds = feed_list(spark, gtfs_root, filename)
-        if not feeds:
+        groups = files_by_header(spark, gtfs_root, filename)
+        if not groups:
             return spark.createDataFrame([], empty)
-        dated = [
-            read_csv(spark, f"{folder}/{filename}", fields).withColumn("gtfs_feed_date", F.lit(day))
-            for day, folder in feeds
-        ]
-        table, keys = reduce(DataFrame.unionByName, dated), ["gtfs_feed_date", key]
+        table = reduce(DataFrame.unionByName, [read_csv(spark, paths, fields) for paths in groups.values()])
+        keys = ["gtfs_feed_date", key]
     return first_per_key(table, keys, ["_block", "_row"]).drop("_block", "_row")
 
 

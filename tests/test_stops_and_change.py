@@ -79,6 +79,19 @@ def test_routes_by_feed_date(spark):
     assert stops.resolve_route_names(late, routes).first().target_ref == "3"
 
 
+def test_feeds_of_one_header_are_one_scan(spark, tmp_path):
+    scans = []
+    for count in (2, 30):
+        for n in range(count):
+            folder = tmp_path / str(count) / f"gtfs_20{10 + n}-01-01"
+            folder.mkdir(parents=True)
+            (folder / "stops.txt").write_text(f"stop_id,stop_name,stop_lat,stop_lon\n1,Feed {n},1,2\n", encoding="utf-8")
+        found = gtfs.read_stops(spark, gtfs_root=f"file:{tmp_path}/{count}")
+        assert {r.gtfs_stop_name for r in found.collect()} == {f"Feed {n}" for n in range(count)}
+        scans.append(found._jdf.queryExecution().analyzed().toString().count("Relation ["))
+    assert scans == [1, 1]
+
+
 def test_reading_feeds(spark, tmp_path):
     for day, header, row in (
         ("2026-04-23", "stop_id,stop_name,stop_lat,stop_lon", '10,"Old, name",60.45,22.27\n10,Again,1,1\n20,Bad,x,'),
