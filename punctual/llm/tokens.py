@@ -16,7 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces, and characters in them, that a task remembers before it starts anew.
 MEMO_PIECES, MEMO_CHARS = 400_000, 16_000_000
-_SPACES = re.compile(r"^ | $|\s | \s")
+#: Pieces that are encoded in one call.
+JOINED = 512
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -24,11 +25,13 @@ class _Memo(dict):
     """Numbers pieces in the order they are first met."""
 
     def __init__(self, prefix: str):
-        self.prefix, self.new = prefix, []
+        self.prefix, self.new, self.open = prefix, [], []
 
     def __missing__(self, piece: str) -> int:
         code = self[piece] = len(self)
         self.new.append(self.prefix + piece)
+        # White space at an end of a piece: the space next to it may not be a place to cut.
+        self.open.append(not piece or piece[0].isspace() or piece[-1].isspace())
         return code
 
 
@@ -39,15 +42,13 @@ class _Known:
         self.memo = _Memo(prefix)
         self.bounds, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
 
-    def learn(self, tokenizer) -> None:
+    def learn(self, encode) -> None:
         new, self.memo.new = self.memo.new, []
         if not new:
             return
-        found = [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids, sizes = encode(new)
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, ids])
         self.chars += sum(map(len, new))
 
     def full(self) -> bool:
@@ -62,37 +63,72 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # With a special token between them many pieces are encoded in one call.
+        self.joined = Tokenizer.from_file(path)
+        between = [
+            (i, t.content)
+            for i, t in self.joined.get_added_tokens_decoder().items()
+            if t.special and not (t.lstrip or t.rstrip or t.single_word)
+        ]
+        self.between = between[-1] if between else None
         self.keeps_spaces = keeps_spaces
         self.plain, self.spaced = _Known(""), _Known(" ")
 
+    def _each(self, pieces: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        out: list[np.ndarray] = []
+        for low in range(0, len(pieces), JOINED):
+            part = pieces[low : low + JOINED]
+            if self.between is None or any("<|" in p for p in part):
+                out += self._each(part)
+                continue
+            number, text = self.between
+            ids = np.array(self.joined.encode(text.join(part), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == number)
+            if len(cuts) != len(part) - 1:
+                out += self._each(part)
+                continue
+            starts, ends = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
+            out += [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.concatenate(out), sizes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """None counts as an empty text."""
         if self.plain.full() or self.spaced.full():
             self.plain, self.spaced = _Known(""), _Known(" ")
-        codes, counts = [], []
         # Codes of pieces with a space in front are even, of others odd.
-        plain, spaced = self.plain.memo.__getitem__, self.spaced.memo.__getitem__
+        plain, spaced = self.plain.memo, self.spaced.memo
+
+        def coded(first: str, rest: list[str]) -> np.ndarray:
+            found = np.empty(len(rest) + 1, np.int64)
+            found[0] = plain[first] * 2 + 1
+            found[1:] = np.fromiter(map(spaced.__getitem__, rest), np.int64, len(rest)) * 2
+            return found
+
+        codes = []
         for text in texts:
             if not text:
-                counts.append(0)
-                continue
-            if not self.keeps_spaces:
+                codes.append(np.zeros(0, np.int64))
+            elif self.keeps_spaces:
                 pieces = text.split(" ")
-                found = np.fromiter(map(plain, pieces), np.int64, len(pieces)) * 2 + 1
+                codes.append(coded(pieces[0], pieces[1:]))
             else:
-                pieces = text.split(" ") if not _SPACES.search(text) else None
-                if pieces is None:
-                    cut = _CUT.split(text)
-                    rest = [p[1:] for p in cut[1:]]
-                else:
-                    cut, rest = pieces, pieces[1:]
-                found = np.empty(len(cut), np.int64)
-                found[0] = plain(cut[0]) * 2 + 1
-                found[1:] = np.fromiter(map(spaced, rest), np.int64, len(rest)) * 2
-            codes.append(found)
-            counts.append(len(found))
-        self.plain.learn(self.tokenizer)
-        self.spaced.learn(self.tokenizer)
+                pieces = text.split(" ")
+                codes.append(np.fromiter(map(plain.__getitem__, pieces), np.int64, len(pieces)) * 2 + 1)
+        if self.keeps_spaces:
+            open_plain, open_spaced = np.array(plain.open, bool), np.array(spaced.open, bool)
+            for i, found in enumerate(codes):
+                if len(found) > 1 and (open_plain[found[0] >> 1] or open_spaced[found[1:] >> 1].any()):
+                    first, *rest = _CUT.split(texts[i])
+                    codes[i] = coded(first, [p[1:] for p in rest])
+        counts = [len(found) for found in codes]
+        self.plain.learn(self._pieces)
+        self.spaced.learn(self._pieces)
         code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         number, bare = code >> 1, (code & 1).astype(bool)
         low, size = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
