@@ -14,8 +14,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces, and characters in them, that a task remembers before it starts anew.
-MEMO_PIECES, MEMO_CHARS = 400_000, 16_000_000
+#: Pieces, and characters in them, that a task remembers before it forgets the rare ones.
+MEMO_PIECES, MEMO_CHARS = 900_000, 24_000_000
 #: Pieces that are encoded in one call.
 JOINED = 512
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -41,6 +41,7 @@ class _Known:
     def __init__(self, prefix: str):
         self.memo = _Memo(prefix)
         self.bounds, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+        self.uses = np.zeros(0, np.int64)
 
     def learn(self, encode) -> None:
         new, self.memo.new = self.memo.new, []
@@ -51,8 +52,29 @@ class _Known:
         self.ids = np.concatenate([self.ids, ids])
         self.chars += sum(map(len, new))
 
-    def full(self) -> bool:
-        return len(self.memo) > MEMO_PIECES or self.chars > MEMO_CHARS
+    def used(self, codes: np.ndarray) -> None:
+        counts = np.bincount(codes, minlength=len(self.memo))
+        counts[: len(self.uses)] += self.uses
+        self.uses = counts
+
+    def tidy(self) -> None:
+        """Keep the most used pieces, a third of the bounds at most, when either bound is passed."""
+        if len(self.memo) <= MEMO_PIECES and self.chars <= MEMO_CHARS:
+            return
+        order = np.argsort(-self.uses, kind="stable")
+        pieces = list(self.memo)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        fits = (np.cumsum(sizes[order]) <= MEMO_CHARS // 3) & (np.arange(len(order)) < MEMO_PIECES // 3)
+        kept = np.sort(order[fits & (self.uses[order] > 1)])
+        low, size = self.bounds[kept], self.bounds[kept + 1] - self.bounds[kept]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.bounds, self.uses = np.concatenate([[0], ends]).astype(np.int64), self.uses[kept]
+        memo = _Memo(self.memo.prefix)
+        for code, old in enumerate(kept.tolist()):
+            memo[pieces[old]] = code
+            memo.open.append(self.memo.open[old])
+        self.memo, self.chars = memo, int(sizes[kept].sum())
 
 
 class TextEncoder:
@@ -99,8 +121,8 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """None counts as an empty text."""
-        if self.plain.full() or self.spaced.full():
-            self.plain, self.spaced = _Known(""), _Known(" ")
+        self.plain.tidy()
+        self.spaced.tidy()
         # Codes of pieces with a space in front are even, of others odd.
         plain, spaced = self.plain.memo, self.spaced.memo
 
@@ -133,6 +155,7 @@ class TextEncoder:
         number, bare = code >> 1, (code & 1).astype(bool)
         low, size = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
         for known, mine, shift in ((self.spaced, ~bare, 0), (self.plain, bare, len(self.spaced.ids))):
+            known.used(number[mine])
             low[mine] = known.bounds[number[mine]] + shift
             size[mine] = known.bounds[number[mine] + 1] - known.bounds[number[mine]]
         ends = np.cumsum(size)

@@ -35,11 +35,19 @@ def test_ids_are_those_of_the_library(path, spaces):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == expect, repr(text)
 
 
-def test_memo_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_PIECES", 5)
-    own = tokens.TextEncoder(queries.BYTE_VOCABULARY, True)
-    first = own.encode(["one two three four five six seven"])[0]
-    assert (own.encode(["one two three four five six seven"])[0] == first).all()
+@pytest.mark.parametrize("path, spaces", [(queries.BYTE_VOCABULARY, True), (queries.WORD_VOCABULARY, False)])
+def test_forgetting_changes_nothing(monkeypatch, path, spaces):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.02)), 400)}é" for _ in range(50)) + rng.choice(["", "\n", " "]) for _ in range(300)]
+    whole = tokens.TextEncoder(path, spaces).encode(texts)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 60)
+    own = tokens.TextEncoder(path, spaces)
+    for i in range(0, 300, 10):
+        ids, bounds = own.encode(texts[i : i + 10])
+        for k in range(10):
+            expect = whole[0][whole[1][i + k] : whole[1][i + k + 1]]
+            assert (ids[bounds[k] : bounds[k + 1]] == expect).all() and bounds[k + 1] - bounds[k] == len(expect)
+    assert len(own.plain.memo) + len(own.spaced.memo) < 400
 
 
 def documents(spark):
