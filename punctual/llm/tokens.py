@@ -15,7 +15,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces, and characters in them, that a task remembers before it forgets the rare ones.
-MEMO_PIECES, MEMO_CHARS = 900_000, 24_000_000
+MEMO_PIECES, MEMO_CHARS = 600_000, 16_000_000
 #: Pieces that are encoded in one call.
 JOINED = 512
 _CUT = re.compile(r"(?<=\S)(?= \S)")
