@@ -35,7 +35,9 @@ END_ID = 1
 U = np.uint64
 _BITS = 12
 _ONE = 1 << _BITS
-_TABLE = 12
+_TABLE = 10
+#: Shares of the range, of 2^16, that learning tends to.
+_SURE, _NEVER = np.int32(64000), np.int32(64)
 _HEAD = struct.Struct("<4sIIQQ")
 
 
@@ -59,17 +61,15 @@ class _Mixer:
         self.id1, self.id2 = self.entry1 >> 2, self.entry2 >> 2
         context = ((self.entry2 & 3) << 3) | ((self.entry1 & 3) << 1) | (self.id1 == self.id2)
         self.context = self.row32[:n] + context
-        p2, p1 = self.share2[self.context], self.share1[self.context]
-        f2 = np.maximum(p2 >> 4, 1)
-        f1 = np.maximum((_ONE - f2) * p1 >> 16, 1)
+        self.p2, self.p1 = self.share2[self.context], self.share1[self.context]
+        f2 = np.maximum(self.p2 >> 4, 1)
+        f1 = np.maximum((_ONE - f2) * self.p1 >> 16, 1)
         return f2, f1
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """hit1 counts only where order 2 was wrong. Shares stay inside (0, 1)."""
-        was = self.share2[self.context]
-        self.share2[self.context] = was + ((np.where(hit2, 64000, 64) - was) >> 5)
-        was = self.share1[self.context]
-        self.share1[self.context] = np.where(hit2, was, was + ((np.where(hit1, 64000, 64) - was) >> 5))
+        self.share2[self.context] = self.p2 + ((np.where(hit2, _SURE, _NEVER) - self.p2) >> 5)
+        self.share1[self.context] = self.p1 + (((np.where(hit1, _SURE, _NEVER) - self.p1) >> 5) * ~hit2)
         fresh = (ids << 2).astype(np.uint32)
         for table, at, entry, own in ((self.order2, self.at2, self.entry2, self.id2), (self.order1, self.at1, self.entry1, self.id1)):
             weak = entry & 3
@@ -83,19 +83,19 @@ class _Bytes:
     """Order-0 frequencies of one byte of the ids; the coder's tables follow the counts from time to time."""
 
     def __init__(self, lanes: int, decoding: bool):
-        self.counts = np.ones((lanes, 256), np.int64)
+        self.counts = np.ones((lanes, 256), np.int32)
         self.row, self.decoding = np.arange(lanes) * 256, decoding
         self.refresh()
 
     def refresh(self) -> None:
-        share = 1 + self.counts * (_ONE - 256) // self.counts.sum(axis=1, keepdims=True)
+        share = 1 + self.counts * np.int64(_ONE - 256) // self.counts.sum(axis=1, keepdims=True)
         # What rounding left goes to the most frequent value.
         share[np.arange(len(share)), share.argmax(axis=1)] += _ONE - share.sum(axis=1)
-        self.share = share.reshape(-1)
-        self.low = (np.cumsum(share, axis=1) - share).reshape(-1)
+        # Both of a value's numbers in one array element: one look-up instead of two.
+        self.both = (((np.cumsum(share, axis=1) - share) << 16) | share).astype(np.uint32).reshape(-1)
         if self.decoding:
             values = np.tile(np.arange(256, dtype=np.uint8), len(share))
-            self.value = np.repeat(values, self.share)
+            self.value = np.repeat(values, share.reshape(-1))
 
     def add(self, n: int, values: np.ndarray, counted: np.ndarray) -> None:
         self.counts.reshape(-1)[self.row[:n] + values] += 24 * counted
@@ -111,19 +111,30 @@ class _Coder:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
 
-    def narrow(self, n: int, low: np.ndarray, share: np.ndarray) -> None:
+    def narrow(self, n: int, both: np.ndarray) -> None:
+        """To the part that begins at the upper half of `both` and is as long as its lower half."""
         step = self.range[:n] >> U(_BITS)
-        self.low[:n] += step * low.astype(U)
-        self.range[:n] = step * share.astype(U)
+        wide = both.astype(U)
+        self.low[:n] += step * (wide >> U(16))
+        self.range[:n] = step * (wide & U(0xFFFF))
 
     def due(self, n: int) -> np.ndarray:
         """Lanes that must move on by a word; narrow ranges across a boundary are cut there."""
-        low, size = self.low[:n], self.range[:n]
-        same = ((low ^ (low + size - U(1))) >> U(48)) == 0
+        # A range of 2^48 or more has several upper words.
+        small = np.flatnonzero(self.range[:n] < U(1 << 48))
+        low, size = self.low[small], self.range[small]
+        same = (low ^ (low + size - U(1))) < U(1 << 48)
         tight = ~same & (size < U(1 << 44))
         if tight.any():
-            size[tight] = (U(0) - low[tight]) & U((1 << 44) - 1)
-        return np.flatnonzero(same | tight)
+            self.range[small[tight]] = (U(0) - low[tight]) & U((1 << 44) - 1)
+            same |= tight
+        return small[same]
+
+
+def _part(hit2: np.ndarray, hit1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> np.ndarray:
+    """Begin and length of the part of the range that says which prediction was right."""
+    used = f2 + f1
+    return np.where(hit2, f2, np.where(hit1, (f2 << 16) | f1, (used << 16) | (_ONE - used)))
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
@@ -147,10 +158,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
         hit2 = mixer.id2 == x
         hit1 = ~hit2 & (mixer.id1 == x)
         miss = ~(hit2 | hit1)
-        coder.narrow(n, np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1)))
+        coder.narrow(n, _part(hit2, hit1, f2, f1))
         for part, value in ((high, x >> 8), (low, x & 255)):
             cell = part.row[:n] + value
-            coder.narrow(n, np.where(miss, part.low[cell], 0), np.where(miss, part.share[cell], _ONE))
+            coder.narrow(n, np.where(miss, part.both[cell], np.uint32(_ONE)))
             part.add(n, value, miss)
         mixer.learn(n, x, hit2, hit1)
         while len(due := coder.due(n)):
@@ -194,13 +205,13 @@ def decode_blocks(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]
         hit2 = found < f2
         hit1 = ~hit2 & (found < f2 + f1)
         miss = ~(hit2 | hit1)
-        coder.narrow(n, np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1)))
+        coder.narrow(n, _part(hit2, hit1, f2, f1))
         known = np.where(hit2, mixer.id2, mixer.id1).astype(np.int64)
         parts = []
         for part, own in ((high, known >> 8), (low, known & 255)):
             value = np.where(miss, part.value[slot_row[:n] + slot(n)], own)
             cell = part.row[:n] + value
-            coder.narrow(n, np.where(miss, part.low[cell], 0), np.where(miss, part.share[cell], _ONE))
+            coder.narrow(n, np.where(miss, part.both[cell], np.uint32(_ONE)))
             part.add(n, value, miss)
             parts.append(value)
         x = parts[0] << 8 | parts[1]
