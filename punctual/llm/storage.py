@@ -10,7 +10,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.session import materialise, shared_folder
+from punctual.session import application_folder, materialise
 
 #: Copies of the small side of a join whose large side may have a hot key.
 SALTS = 16
@@ -50,7 +50,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the cluster's shared one, for files that are not tables."""
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def salted_left_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
