@@ -41,12 +41,19 @@ class _Known:
     def __init__(self, prefix: str):
         self.memo = _Memo(prefix)
         self.bounds, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
-        self.uses = np.zeros(0, np.int64)
+        self.uses, self.open = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def open_ends(self) -> np.ndarray:
+        """For every piece met so far, whether it has white space at an end."""
+        if self.memo.open:
+            self.open, self.memo.open = np.concatenate([self.open, np.array(self.memo.open, bool)]), []
+        return self.open
 
     def learn(self, encode) -> None:
         new, self.memo.new = self.memo.new, []
         if not new:
             return
+        self.open_ends()
         ids, sizes = encode(new)
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, ids])
@@ -73,7 +80,7 @@ class _Known:
         memo = _Memo(self.memo.prefix)
         for code, old in enumerate(kept.tolist()):
             memo[pieces[old]] = code
-            memo.open.append(self.memo.open[old])
+        self.open = self.open[kept]
         self.memo, self.chars = memo, int(sizes[kept].sum())
 
 
@@ -143,7 +150,7 @@ class TextEncoder:
                 pieces = text.split(" ")
                 codes.append(np.fromiter(map(plain.__getitem__, pieces), np.int64, len(pieces)) * 2 + 1)
         if self.keeps_spaces:
-            open_plain, open_spaced = np.array(plain.open, bool), np.array(spaced.open, bool)
+            open_plain, open_spaced = self.plain.open_ends(), self.spaced.open_ends()
             for i, found in enumerate(codes):
                 if len(found) > 1 and (open_plain[found[0] >> 1] or open_spaced[found[1:] >> 1].any()):
                     first, *rest = _CUT.split(texts[i])
@@ -176,7 +183,7 @@ def encoder(path: str, keeps_spaces: bool) -> TextEncoder:
     return _encoders[key]
 
 
-def text_groups(texts: list[str | None], most: int = 1 << 20):
+def text_groups(texts: list[str | None], most: int = 1 << 22):
     """(start, end) of runs of texts with about `most` characters."""
     start, size = 0, 0
     for i, text in enumerate(texts):
