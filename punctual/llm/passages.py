@@ -1,9 +1,11 @@
 """Removal of passages that repeat within and across documents, by paragraph hashing.
 
 Words are lower-cased (A-Z) and white space between them does not count. A unit ends after a word
-that ends in . ! or ?, or whose hash is a multiple of CUT, so that texts without sentences have units
-too, and the same ones wherever they stand. A paragraph is a run of whole units, from any unit on, up
-to the first that brings it to MIN_WORDS words. Equal paragraphs are found by their 128-bit digests.
+that ends in . ! or ?, and, where CUT words in a row have no such word, after those of smallest hash
+among them. So no unit is longer than CUT words, whatever the text, and units that lie CUT words or
+more inside a passage are the same wherever it stands. A paragraph is a run of whole units, from any
+unit on, up to the first that brings it to MIN_WORDS words: every passage of 4 CUT + MIN_WORDS - 3
+words (45) holds one. Equal paragraphs are found by their 128-bit digests.
 """
 
 from __future__ import annotations
@@ -18,12 +20,36 @@ from punctual.llm.storage import stored
 from punctual.llm.words import U, Words, slices, span_hashes, text_buffers
 
 MIN_WORDS = 16
-CUT = 16
+CUT = 8
 _SECOND = 0xC2B2AE3D27D4EB4F
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".!?"]] = True
 
 
+def _over_runs(op, x: np.ndarray, size: int) -> np.ndarray:
+    """op over every run of `size` values."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = op(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _stops(words: Words, hashes: np.ndarray, cut: int) -> np.ndarray:
+    """Whether a unit ends after each word. A mark is the least of hashes; all that are least in a window are stops."""
+    marks = _MARK[words.data[words.ends - 1]]
+    if len(words) < cut:
+        return marks
+    keys = np.where(marks, U(0), hashes | U(1))
+    least = _over_runs(np.minimum, keys, cut)
+    least[words.text[: len(least)] != words.text[cut - 1 :]] = 0
+    # A word is the least of some window if it equals the largest of the minima of all windows around it.
+    around = np.zeros(len(words) + cut - 1, U)
+    around[cut - 1 : len(words)] = least
+    return _over_runs(np.maximum, around, cut) == keys
+
+
 class Paragraphs:
     """All paragraphs of some texts: first word, end word, text, digests, and whether an earlier one equals it."""
 
@@ -31,7 +57,7 @@ class Paragraphs:
         self.words = words = Words(data, bounds, lower=True)
         n = len(words)
         hashes = words.hashes() if n else np.zeros(0, U)
-        stops = _MARK[words.data[words.ends - 1]] | (hashes % U(cut) == 0) if n else np.zeros(0, bool)
+        stops = _stops(words, hashes, cut) if n else np.zeros(0, bool)
         last_words = words.first[1:][np.diff(words.first) > 0] - 1
         stops[last_words] = True
         ends = np.flatnonzero(stops) + 1
@@ -159,7 +185,8 @@ def strip_passages(
     Of equal paragraphs the earliest by id and place stays; of the others every word goes, with the
     white space between them, and `removed` keeps their [start, end) character offsets in the original
     text, in order, overlapping paragraphs as one span. Texts under min_words words have no paragraph
-    and stay. A NULL text stays NULL with no spans, an empty one empty. Rows of one id are one document:
+    and stay. Copies that overlap the earliest one, as in a run of one word, go with the words they share
+    with it. A NULL text stays NULL with no spans, an empty one empty. Rows of one id are one document:
     they don't remove each other's paragraphs, and equal rows get equal output; a NULL id comes after
     all others. Ids are integers. Other columns are passed on unread.
     """
