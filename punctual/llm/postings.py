@@ -3,7 +3,9 @@
 Inner products become distances by one more component, sqrt(M^2 - |x|^2), M the largest norm: the nearest
 rows are those of largest product with the query (0 in that component). Vectors go to the lists of the
 nearest centroids; vectors near a boundary go to several. Queries find centroids through a graph held in
-memory, keep the lists whose centroid is not much farther than the nearest one, and scan them.
+memory, keep the lists whose centroid is not much farther than the nearest one, and scan them. How much
+farther is set in every run: a bounded sample of the queries is answered over all rows, and the reach
+widened until the lists in it hold the share TARGET of these answers.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from punctual.llm.vectors import bounded_sample, matrix, usable
 SAMPLE, MOST_LISTS, PER_LIST = 16384, 4096, 512
 #: A vector goes to at most COPIES lists, those at most BOUNDARY times as far as its nearest.
 COPIES, BOUNDARY = 4, 1.05
-#: A query scans at least LEAST lists, and all at most REACH times as far as its nearest.
+#: A query scans at least LEAST lists, and all at most REACH times as far as its nearest; a run may widen both.
 LEAST, REACH = 8, 1.16
+#: Queries that are answered over all rows, and the share of their answers that must lie in the lists scanned.
+TRIALS, TARGET = 64, 0.97
 #: Members, and queries, of a list that meet in one task.
 BLOCK, QUERY_BLOCK = 8192, 1024
 _DEGREE, _BEAM = 16, 64
@@ -98,15 +102,16 @@ class CentroidGraph:
                 found.append((d, i))
 
         look(self.entries)
-        best: list[float] = []  # the nearest _BEAM distances expanded, as a max-heap
+        beam = max(_BEAM, least)
+        best: list[float] = []  # the nearest `beam` distances expanded, as a max-heap
         nearest = np.inf
         while open_:
             d, i = heapq.heappop(open_)
             nearest = min(nearest, d)
-            if len(best) >= _BEAM and d > -best[0] and d > reach * nearest:
+            if len(best) >= beam and d > -best[0] and d > reach * nearest:
                 break
             heapq.heappush(best, -d)
-            if len(best) > _BEAM:
+            if len(best) > beam:
                 heapq.heappop(best)
             look(self.links[i])
         found.sort()
@@ -114,6 +119,33 @@ class CentroidGraph:
         return [i for n, (d, i) in enumerate(found) if n < least or d <= limit]
 
 
+def recall_of(graph: CentroidGraph, queries: np.ndarray, wanted: list[list[set[int]]], least: int, reach: float) -> float:
+    """Share of the answers of which a list is found; wanted[i] has the lists of each answer of query i."""
+    found = 0
+    for query, answers in zip(queries, wanted):
+        lists = set(graph.search(query, least, reach))
+        found += sum(not lists.isdisjoint(own) for own in answers)
+    return found / max(1, sum(map(len, wanted)))
+
+
+def fitted_reach(graph: CentroidGraph, queries: np.ndarray, wanted: list[list[set[int]]]) -> tuple[int, float]:
+    """(least, reach) at which TARGET of the answers are found; all lists if nothing less does it."""
+    count, needs = len(graph.centroids), []
+    for query, answers in zip(queries, wanted):
+        distance = np.sqrt(np.square(graph.centroids - query).sum(axis=1))
+        needs += [min(distance[list(own)]) / max(distance.min(), 1e-12) for own in answers]
+    least, reach = LEAST, REACH
+    if not needs:
+        return least, reach
+    needed = float(np.sort(needs)[min(len(needs) - 1, int(TARGET * len(needs)))])
+    # A query that is a centroid itself has no ratio: `least` serves it.
+    if needed < 1e6:
+        reach = max(reach, needed * (1 + 1e-9))
+    while least < count and recall_of(graph, queries, wanted, least, reach) < TARGET:
+        least, reach = least + max(1, least // 2), 1 + (reach - 1) * 1.1
+    return least, reach
+
+
 def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
     rest = np.sqrt(np.maximum(largest * largest - np.square(x).sum(axis=1), 0))
     return np.concatenate([x, rest[:, None]], axis=1)
@@ -134,7 +166,63 @@ def _lister(centroids: np.ndarray, largest: float):
     return run
 
 
-def _prober(centroids: np.ndarray):
+def _answerer(q_ids: np.ndarray, queries: np.ndarray, depth: int):
+    """Of a task's members, the `depth` best of every query, each with its list."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int, int]]] = [[] for _ in q_ids]
+        for batch in batches:
+            m, ids, lists = matrix(batch.column("vec")), batch.column("id").to_numpy(), batch.column("list").to_numpy()
+            if not len(m):
+                continue
+            rough = queries @ m.T
+            rough[q_ids[:, None] == ids[None, :]] = -np.inf
+            for i, q in enumerate(queries):
+                at = max(0, len(m) - depth)
+                edge = np.partition(rough[i], at)[at]
+                near = np.flatnonzero((rough[i] >= edge) & (rough[i] > -np.inf))
+                loss = -(m[near] * q).sum(axis=1)
+                # Of equal vectors, which may be a whole batch, those of the smallest ids.
+                near = near[own := np.lexsort((lists[near], ids[near], loss))[:depth]]
+                hits = zip(loss[own].tolist(), ids[near].tolist(), lists[near].tolist())
+                best[i] = sorted({*best[i], *hits})[:depth]
+        kept = [i for i, own in enumerate(best) if len(own)]
+        flat = [hit for i in kept for hit in best[i]]
+        kinds = (("loss", pa.float64()), ("vec_id", pa.int64()), ("list", pa.int32()))
+        hits = pa.StructArray.from_arrays([pa.array([h[c] for h in flat], t) for c, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+        offsets = np.concatenate([[0], np.cumsum([len(best[i]) for i in kept])]).astype(np.int32)
+        yield pa.record_batch([pa.array(kept, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), hits)], names=["query", "found"])
+
+    return run
+
+
+def measured_reach(members: DataFrame, ask: DataFrame, centroids: np.ndarray, k: int) -> tuple[int, float]:
+    """(least, reach) for these rows, from the k best rows of TRIALS queries among all members."""
+    if len(centroids) <= LEAST:
+        return LEAST, REACH
+    order = (F.xxhash64(F.lit(TRIALS), F.col("id")), F.col("id"))
+    trial = ask.dropDuplicates(["id"]).orderBy(*order).limit(TRIALS).toArrow()
+    if not trial.num_rows:
+        return LEAST, REACH
+    queries, q_ids = matrix(trial.column("vec")), trial.column("id").to_numpy()
+    # A row is in COPIES lists at most.
+    depth = k * COPIES
+    each = members.mapInArrow(
+        _answerer(q_ids, queries, depth), "query int, found array<struct<loss:double,vec_id:long,list:int>>"
+    )
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, depth)
+    wanted: list[list[set[int]]] = [[] for _ in q_ids]
+    for query, found in each.groupBy("query").agg(merged).collect():
+        answers: dict[int, set[int]] = {}
+        for hit in found:
+            if hit.vec_id in answers or len(answers) < k:
+                answers.setdefault(hit.vec_id, set()).add(hit.list)
+        wanted[query] = list(answers.values())
+    lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+    return fitted_reach(CentroidGraph(centroids), lifted, wanted)
+
+
+def _prober(centroids: np.ndarray, least: int, reach: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(centroids)
         for batch in batches:
@@ -142,7 +230,7 @@ def _prober(centroids: np.ndarray):
             lifted = np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1)
             rows, lists = [], []
             for i, query in enumerate(lifted):
-                chosen = graph.search(query, LEAST, REACH)
+                chosen = graph.search(query, least, reach)
                 rows += [i] * len(chosen)
                 lists += chosen
             at = pa.array(rows, pa.int64())
@@ -208,7 +296,8 @@ def nearest_neighbours(
     non-finite component take no part, nor do rows with a NULL id; queries and rows of different length
     do not meet. Rows that repeat an id count once if their vectors are equal. Other columns are not read.
 
-    Centroids are fitted on about SAMPLE rows; every row is indexed. Lists are cut into blocks, and a
+    Centroids are fitted on about SAMPLE rows; every row is indexed. The reach is measured in every run on
+    TRIALS queries. Lists are cut into blocks, and a
     query's best of each block are merged, so neither a long list nor a popular one meets in one task.
     """
 
@@ -236,7 +325,8 @@ def nearest_neighbours(
         schema = f"id long, vec {kind}, list int"
         members = stored(own.mapInArrow(_lister(centroids, largest), schema), "members")
         ask_kind = dict(ask.dtypes)["vec"]
-        probes = stored(ask.mapInArrow(_prober(centroids), f"id long, vec {ask_kind}, list int"), "probes")
+        least, reach = measured_reach(members, ask, centroids, k)
+        probes = stored(ask.mapInArrow(_prober(centroids, least, reach), f"id long, vec {ask_kind}, list int"), "probes")
         m_blocks = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
         q_blocks = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
         blocks = stored(m_blocks.join(q_blocks, "list"), "blocks")

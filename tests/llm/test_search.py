@@ -68,3 +68,26 @@ def test_blocks_of_lists_and_queries_meet(spark, monkeypatch):
     found = {(r.query_id, r.rank): r.vec_id for r in got}
     expect = {(q, n + 1): i for q, own in exact(x, range(0, 500, 5), 7).items() for n, (i, _) in enumerate(own)}
     assert found == expect
+
+
+def test_reach_widens_with_the_number_of_lists(spark, monkeypatch):
+    """Many small lists over vectors without clusters: the fixed reach misses neighbours."""
+    monkeypatch.setattr(postings, "PER_LIST", 4)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (4000, 24)).astype(np.float32).astype(np.float64)
+    x /= np.sqrt(np.square(x).sum(axis=1))[:, None]
+    rows = table(spark, x)
+    x = x.astype(np.float32).astype(np.float64)
+    got = postings.nearest_neighbours(rows, rows.where("vec_id % 20 = 0")).collect()
+    expect = exact(x, range(0, 4000, 20), 20)
+    assert sum(r.vec_id in {i for i, _ in expect[r.query_id]} for r in got) / (20 * len(expect)) >= 0.94
+
+
+def test_a_reach_is_found_for_queries_that_are_centroids():
+    rng = np.random.default_rng(3)
+    centroids = rng.normal(0, 1, (300, 5))
+    graph = postings.CentroidGraph(centroids)
+    wanted = [[{int(i)} for i in rng.integers(0, 300, 20)] for _ in range(30)]
+    least, reach = postings.fitted_reach(graph, centroids[:30], wanted)
+    assert postings.recall_of(graph, centroids[:30], wanted, least, reach) >= postings.TARGET
+    assert postings.fitted_reach(graph, centroids[:0], []) == (postings.LEAST, postings.REACH)
