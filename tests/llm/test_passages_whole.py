@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from punctual.llm import passages
+from tests.llm.plain import plain_passages
 
 SCHEMA = "doc_id long, text string"
 
@@ -54,3 +55,22 @@ def test_units_are_short_in_every_text():
         found = passages.Paragraphs(raw, np.array([0, len(raw)]), passages.MIN_WORDS)
         assert (found.end - found.start).max() < passages.MIN_WORDS + passages.CUT
         assert np.diff(np.unique(found.start)).max() <= passages.CUT
+
+
+def test_production_parameters_against_the_plain_rule(spark):
+    rng = random.Random(12)
+    pool = [[rng.choice([f"é{rng.randrange(60)}", f"W{rng.randrange(900)}"]) for _ in range(rng.randrange(5, 90))] for _ in range(40)]
+    docs = [(500, None), (501, ""), (502, "  "), (503, "and " * 200), (504, "Ab. " * 300), (505, "an and or " * 90)]
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(7)):
+            own = [f"own{i}x{rng.randrange(99)}" for _ in range(rng.randrange(1, 40))]
+            parts += rng.choice([own, rng.choice(pool)])
+            if parts and rng.random() < 0.4:
+                parts[-1] += rng.choice(".!?,")
+        text = rng.choice([" ", "\n", "  "]).join(parts)
+        docs.append((i, text.upper() if i % 7 == 0 else text))
+    got = passages.remove_repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    expect = plain_passages(docs)
+    assert {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in got} == expect
+    assert sum(len(spans) > 0 for _, spans in expect.values()) > 50
