@@ -85,13 +85,19 @@ class _Known:
 
 
 class TextEncoder:
-    """encode(texts): all ids, and the bounds of each text's ids in them. Special tokens' strings are ordinary text."""
+    """encode(texts): all ids, and the bounds of each text's ids in them.
 
-    def __init__(self, path: str, keeps_spaces: bool):
+    Strings of added tokens are ordinary text, or, unless added_as_text, have the token's one id as the
+    library gives by default; a text that holds one is then encoded whole.
+    """
+
+    def __init__(self, path: str, keeps_spaces: bool, added_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added and not added_as_text else None
         # With a special token between them many pieces are encoded in one call.
         self.joined = Tokenizer.from_file(path)
         between = [
@@ -112,7 +118,7 @@ class TextEncoder:
         out: list[np.ndarray] = []
         for low in range(0, len(pieces), JOINED):
             part = pieces[low : low + JOINED]
-            if self.between is None or any("<|" in p for p in part):
+            if self.between is None or any("<|" in p or self.added and self.added.search(p) for p in part):
                 out += self._each(part)
                 continue
             number, text = self.between
@@ -143,6 +149,8 @@ class TextEncoder:
         for text in texts:
             if not text:
                 codes.append(np.zeros(0, np.int64))
+            elif self.added and self.added.search(text):
+                codes.append(coded(text, []))
             elif self.keeps_spaces:
                 pieces = text.split(" ")
                 codes.append(coded(pieces[0], pieces[1:]))
@@ -179,7 +187,7 @@ def encoder(path: str, keeps_spaces: bool) -> TextEncoder:
     """This process's encoder of a vocabulary file; what it has met stays for the next task."""
     key = (path, keeps_spaces)
     if key not in _encoders:
-        _encoders[key] = TextEncoder(path, keeps_spaces)
+        _encoders[key] = TextEncoder(path, keeps_spaces, added_as_text=False)
     return _encoders[key]
 
 
