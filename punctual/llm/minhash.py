@@ -145,7 +145,7 @@ def _block_links(words: int, percent: int):
         code, text = (np.cumsum(shared) - 1)[code[shared[code]]], text[shared[code]]
         order = np.argsort(code, kind="stable")
         code, text = code[order], text[order]
-        both = np.zeros((len(ids), len(ids)), np.float32)  # exact below 2^24
+        both = np.zeros((len(ids), len(ids)))  # a product is exact below 2^24, their sum and 100 times it below 2^53
         for low in range(0, int(shared.sum()), COLUMNS):
             at, to = np.searchsorted(code, [low, low + COLUMNS])
             ones = np.zeros((len(ids), COLUMNS), np.float32)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from punctual.llm import graph, minhash, pivots
@@ -158,3 +159,19 @@ def test_one_dense_cluster_in_blocks(spark, monkeypatch):
         (rows[i][0], int(linked[i].sum()), 0) for i in range(151)
     )
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_block_comparison_of_very_long_texts_is_exact():
+    """100 times the shared words is no single-precision number, and the union lies just above what it rounds to."""
+    percent = 81
+    both, union = next(
+        (i, 100 * i // percent + 1)
+        for i in range(700_001, 800_000, 2)
+        if 100 * i < percent * (100 * i // percent + 1) <= int(np.float32(100 * i))
+    )
+    shared = [f"w{i}" for i in range(both)]
+    own = [f"o{i}" for i in range(union - both)]
+    rows = {"b": [1, 2], "component": [1, 2], "side": [0, 0], "_text": [" ".join(shared), " ".join(shared + own)]}
+    assert minhash._block_links(1, percent)(pa.table(rows)).num_rows == 0
+    rows["_text"][1] = " ".join(shared + own[:-1])
+    assert minhash._block_links(1, percent)(pa.table(rows)).num_rows == 1
