@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import idfiles, lines, minhash, packing, passages, pieces, pivots, postings, quality, warczip
+from punctual.llm import idfiles, lines, minhash, packing, passages, periodic, pieces, pivots, postings, quality, warczip
 from punctual.llm.storage import ship, table
 
 #: Vocabulary files; every operator takes its path as a parameter.
@@ -70,6 +70,45 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one document of ten, chosen by its id, the words from one on repeat the next p."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def planted(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
+
+        def word(i):
+            return F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+
+        moved = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word)
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    # The words are bound once: as a plain column they would be split anew for every place.
+    text = F.when(F.pmod(h, F.lit(10)) == 0, F.transform(F.array(words), planted)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words of every document, and digests of them and of what is left without the repeats."""
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ranked = F.array_sort("runs", periodic.larger_exponent_first)
+    top = F.get(ranked, F.lit(0))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_pivots": op1_pivots,
     "op2_minhash": op2_minhash,
@@ -81,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_postings": op9_postings,
     "op10_passages": op10_passages,
+    "op13_periodic": op13_periodic,
 }
 ORACLES: dict[str, str] = {
     "op3_lines": """
