@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import idfiles, lines, minhash, packing, passages, periodic, pieces, pivots, postings, quality, warczip
+from punctual.llm import idfiles, lines, minhash, packing, passages, periodic, pieces, pivots, postings, quality, spelling, warczip
 from punctual.llm.storage import ship, table
 
 #: Vocabulary files; every operator takes its path as a parameter.
@@ -70,6 +70,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their near words, forms and roots; one occurrence of 199 has a letter less."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=199)
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in one document of ten, chosen by its id, the words from one on repeat the next p."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_postings": op9_postings,
     "op10_passages": op10_passages,
+    "op11_spelling": op11_spelling,
     "op13_periodic": op13_periodic,
 }
 ORACLES: dict[str, str] = {
