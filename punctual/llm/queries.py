@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import idfiles, lines, minhash, packing, passages, periodic, pieces, pivots, postings, quality, spelling, warczip
+from punctual.llm import idfiles, lines, minhash, packing, passages, periodic, pieces, pivots, postings, quality, repeats, spelling, warczip
 from punctual.llm.storage import ship, table
 
 #: Vocabulary files; every operator takes its path as a parameter.
@@ -75,6 +75,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=199)
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that stand anywhere else too."""
+    left = repeats.strip_repeats(table(spark, sf_dir, "documents"))
+    spans = F.size("removed").cast("long").alias("n_spans")
+    return left.select("doc_id", "n_bytes", "n_removed", spans, "kept_sha256")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in one document of ten, chosen by its id, the words from one on repeat the next p."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -126,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op9_postings": op9_postings,
     "op10_passages": op10_passages,
     "op11_spelling": op11_spelling,
+    "op12_repeats": op12_repeats,
     "op13_periodic": op13_periodic,
 }
 ORACLES: dict[str, str] = {
