@@ -585,6 +585,35 @@ PREPARED = f"""
     FROM bs WHERE recorded_at_utc IS NOT NULL"""
 
 
+def watermark(times: str, source: str, sliced_by: str, sliced: str) -> str:
+    """Where a stream of 20 slices ends: its latest time, in milliseconds, less three slices."""
+    width = f"(SELECT (epoch_us(MAX({sliced_by})) - epoch_us(MIN({sliced_by}))) // 20 + 1 FROM {sliced})"
+    return f"""
+        SELECT date_trunc('milliseconds', MAX({times})) - to_seconds(3 * {width} // 1000000 + 1) AS mark FROM {source}"""
+
+
+STREAM_POLLS = f"""
+    SELECT id, source, {text('attempted_at_utc')} AS attempted_at_utc, {text('collected_at_utc')} AS collected_at_utc,
+        status, ok::BIGINT AS ok, {r6('row_count')} AS row_count FROM polls0"""
+
+SILENCES = """
+    SELECT source, gap_start, LEAD(gap_start) OVER (PARTITION BY source ORDER BY gap_start) AS gap_end,
+        LEAD(status) OVER (PARTITION BY source ORDER BY gap_start) AS next_success_status
+    FROM (SELECT source, collected_at_utc AS gap_start, MIN(status) AS status FROM polls0 WHERE ok = 1 GROUP BY ALL)"""
+# A silence counts from its 601st second on; it ends, or is noticed, before the stream's last watermark.
+ALARMS = f"""
+    SELECT source, 'closed' AS state, {text('gap_start')} AS gap_start_utc, {text('gap_end')} AS gap_end_utc,
+        date_diff('second', gap_start, gap_end) AS gap_seconds,
+        (SELECT COUNT(*) FROM polls0 f WHERE f.source = s.source AND f.ok = 0
+            AND f.attempted_at_utc > gap_start AND f.attempted_at_utc < gap_end) AS failed_attempt_count, next_success_status
+    FROM silences s, final WHERE date_diff('second', gap_start, gap_end) > 600 AND gap_end < mark
+    UNION ALL
+    SELECT source, 'open', {text('gap_start')}, NULL, NULL, NULL, NULL FROM silences, final
+    WHERE gap_start < mark AND ((date_diff('second', gap_start, gap_end) > 600 AND gap_end < mark)
+        OR ((gap_end IS NULL OR date_diff('second', gap_start, gap_end) > 600)
+            AND date_trunc('second', gap_start) + INTERVAL 601 SECOND <= mark))"""
+
+
 def all_oracles() -> dict[str, str]:
     analysis = "is_gtfs_matchable = 1 AND delay_seconds IS NOT NULL AND line_ref IS NOT NULL"
     ws, we = "TIMESTAMP '2024-01-10 04:00:00'", "TIMESTAMP '2024-01-24 16:00:00'"
@@ -895,6 +924,23 @@ def all_oracles() -> dict[str, str]:
             + ")",
             "bk",
         ),
+        "stream_polls_once": sql(STREAM_POLLS, "polls0"),
+        "stream_quality_rows": sql(quality_rows("NOT excluded"), "q"),
+        "stream_line_hours": sql(
+            f"SELECT line_ref, local_hour, line_name, {ALL_METRICS} FROM ({by('line_ref, local_hour', source='closed')})",
+            "br",
+            final=watermark("representative_time_utc", "br", "created_at_utc", "obs"),
+            closed=calendar(
+                "SELECT br.*, 1 AS raw_poll_count FROM br, final"
+                " WHERE date_trunc('hour', representative_time_utc) + INTERVAL 1 HOUR <= mark"
+            ),
+        ),
+        "stream_cadence_alarms": sql(
+            ALARMS,
+            "polls0",
+            final=watermark("COALESCE(collected_at_utc, attempted_at_utc)", "polls0", "attempted_at_utc", "polls0"),
+            silences=SILENCES,
+        ),
         "json_round_trip": sql(
             f"SELECT line_ref, line_name, bucket_count, raw_poll_count, 1::BIGINT AS schema_version FROM ({LINES})", "bk"
         ),

@@ -138,9 +138,16 @@ def collector_blackouts(polls: DataFrame, limit: int | None = None) -> DataFrame
     return result.limit(limit) if limit is not None else result
 
 
-def success_gaps(polls: DataFrame, gap_multiplier: float = 2.0, min_missing_minutes: float = 0.0) -> DataFrame:
+def success_gaps(
+    polls: DataFrame,
+    gap_multiplier: float = 2.0,
+    min_missing_minutes: float = 0.0,
+    cadence_seconds: float | None = None,
+) -> DataFrame:
     """Success-to-success gaps above the multiple of the cadence, with the failures inside.
 
+    The cadence is each source's own, its median gap, unless one for all is given.
+
     All that follows a success up to the next one shares its time as
     `_previous_success`, so one grouping finds both the end of the gap and its
     failures, without a time range join. What happens at that very time is
@@ -151,6 +158,8 @@ def success_gaps(polls: DataFrame, gap_multiplier: float = 2.0, min_missing_minu
     profile = source_profile(gap_histogram(polls)).select(
         "source", "expected_cadence_seconds", "avg_rows_per_success"
     )
+    if cadence_seconds is not None:
+        profile = profile.withColumn("expected_cadence_seconds", F.lit(float(cadence_seconds)))
     at = F.when(is_success(), F.col("collected_at_utc")).otherwise(F.col("attempted_at_utc"))
     ending = F.when(is_success(), F.struct(F.col("collected_at_utc").alias("at"), "status"))
     gaps = (

@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from punctual.functions.values import json_scalars
 from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, stops
 from punctual.plans.adapter import polls_with_gaps, tables
+from punctual.plans.replay import Replay, new_folder
 from punctual.plans.tables import Tables
 from punctual.session import application_folder, materialise
 from punctual.sources.readers import read_result, source_summary
 from punctual.sources.sinks import labelled_union, write_csv, write_json, write_tables
+from punctual.streaming import polls as streams
 
 MIN = 5
 LIMIT = 20
 # The data have 12 lines, 8 stops and 5 city parts: these limits cut, so that the order decides what stays.
 TOP, TOP_PARTS = 5, 3
 
+#: The cadence that the alarms on a stream go by, as no median is known there.
+CADENCE_SECONDS = 300.0
+
 # The windows, lines and filters of the registered queries.
 PERIODS = ("2024-01-02", "2024-01-12", "2024-01-12", "2024-01-22")
 WINDOW = ("2024-01-10T06:00:00", "2024-01-24T18:00:00")
@@ -242,6 +247,38 @@ def long_spots(t: Tables) -> DataFrame:
     return collector.missing_spots(collector.success_gaps(polls, 3.0, 2.0))
 
 
+def stream_polls_once(t: Tables) -> DataFrame:
+    """Collector polls that arrive late and twice, each once."""
+    replay = Replay(t.polls, "attempted_at_utc").deliver()
+    stream = streams.once(replay.stream(), "attempted_at_utc", replay.lateness)
+    folder = new_folder(t.polls, "once")
+    return streams.drain(stream, f"{folder}/rows", f"{folder}/checkpoint")[0]
+
+
+def stream_quality_rows(t: Tables) -> DataFrame:
+    """Quality of observations as they arrive, stopped half-way and gone on with from the checkpoint."""
+    replay, folder = Replay(t.observations, "created_at_utc"), new_folder(t.observations, "quality")
+    for until in (replay.slices // 2, None):
+        arrived = streams.once(replay.deliver(until).stream(), "created_at_utc", replay.lateness)
+        rows, _ = streams.drain(streams.flagged(arrived, t.polls), f"{folder}/rows", f"{folder}/checkpoint")
+    return quality_columns(rows)
+
+
+def stream_line_hours(t: Tables) -> DataFrame:
+    """Metrics by line and hour of the day over the hours that a stream has closed."""
+    replay, folder = Replay(t.observations, "created_at_utc").deliver(), new_folder(t.observations, "hours")
+    counted = streams.hour_histogram(streams.flagged(replay.stream(), t.polls), replay.lateness)
+    closed, _ = streams.drain(counted, f"{folder}/rows", f"{folder}/checkpoint")
+    return dashboard.line_hour_metrics(streams.with_hour_calendar(closed), MIN)
+
+
+def stream_cadence_alarms(t: Tables) -> DataFrame:
+    """Alarms of sources without a success for ten minutes, raised and ended on a stream."""
+    replay, folder = Replay(t.polls, "attempted_at_utc").deliver(), new_folder(t.polls, "alarms")
+    alarms = streams.cadence_alarms(replay.stream(), CADENCE_SECONDS, replay.lateness)
+    return streams.drain(alarms, f"{folder}/rows", f"{folder}/checkpoint")[0]
+
+
 def overview(t: Tables) -> DataFrame:
     """From a written histogram: small, and read for the metrics and for the span."""
     return publish.overview(materialise(publish.daily_histogram(buckets_of(t)), "daily_histogram"), MIN)
@@ -365,6 +402,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "results_read_back": results_read_back,
     "csv_round_trip": csv_round_trip,
     "json_round_trip": json_round_trip,
+    "stream_polls_once": stream_polls_once,
+    "stream_quality_rows": stream_quality_rows,
+    "stream_line_hours": stream_line_hours,
+    "stream_cadence_alarms": stream_cadence_alarms,
 }
 
 
