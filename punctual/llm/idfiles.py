@@ -23,19 +23,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from punctual.llm.storage import new_folder, stored
+from punctual.llm.storage import dealt, freeing, new_folder, stored
 from punctual.llm.tokens import encoder, text_groups
 from punctual.llm.warczip import _open
 
 MAGIC, VERSION = b"PIDF", 1
-BLOCK_IDS = 4096
+BLOCK_IDS = 1024
 #: Ids after which a file ends (with the document that reaches it), and blocks coded side by side.
 FILE_IDS, LANES = 1 << 23, 2048
 END_ID = 1
 U = np.uint64
 _BITS = 12
 _ONE = 1 << _BITS
-_TABLE = 10
+_TABLE = 9
 #: Shares of the range, of 2^16, that learning tends to.
 _SURE, _NEVER = np.int32(64000), np.int32(64)
 _HEAD = struct.Struct("<4sIIQQ")
@@ -332,13 +332,15 @@ def write_ids(
 
     Documents are in ascending order of id over the files in order of (part, number), NULL ids first and
     rows of one id by their text. NULL and empty texts have end_id alone. keeps_spaces says that words of
-    the vocabulary carry the space in front of them. An empty table writes nothing.
+    the vocabulary carry the space in front of them. An empty table writes nothing. Vocabularies have less
+    than 65,536 ids: larger ids are an error, as none would come back. A text of n ids takes some 40 bytes
+    an id of one task's memory; a file ends with the document that fills it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc").sortWithinPartitions("doc", "text")
     schema = "path string, part long, number long, n_docs long, n_ids long"
-    return stored(rows.mapInArrow(_writer(folder, vocabulary, keeps_spaces, end_id), schema), "id-files")
+    return stored(rows.mapInArrow(freeing(_writer(folder, vocabulary, keeps_spaces, end_id)), schema), "id-files")
 
 
 def _reader(with_ids: bool):
@@ -370,13 +372,13 @@ def _reader(with_ids: bool):
 def read_ids(files: DataFrame, with_ids: bool = True, id_col: str = "doc_id") -> DataFrame:
     """One row per document of the files: id, start, n_tokens, ids_crc32 and its ids.
 
-    start counts the ids of all documents before it. Files are read whole, one by one, in any order.
+    A task reads a file or a few. start counts the ids of all documents before it. Files are read whole, one by one, in any order.
     """
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each file of eight million ids: a single sorted pass over these is small.
     placed = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
     schema = "doc long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return placed.repartition("path").mapInArrow(_reader(with_ids), schema).withColumnRenamed("doc", id_col)
+    return dealt(placed, files.count(), "path").mapInArrow(freeing(_reader(with_ids)), schema).withColumnRenamed("doc", id_col)
 
 
 def id_file_round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

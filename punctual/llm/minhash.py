@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from punctual.llm.graph import components
-from punctual.llm.storage import salted_left_join, stored
+from punctual.llm.storage import freeing, salted_left_join, stored
 from punctual.llm.words import U, Words, distinct_per_text, mix, slices, text_buffers
 
 BANDS, ROWS = 64, 8
@@ -118,7 +118,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name
     b = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
     a = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
     both = b.join(pairs.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_verifier(words, percent), "a long, b long"), f"{name}-links")
+    return stored(both.mapInArrow(freeing(_verifier(words, percent)), "a long, b long"), f"{name}-links")
 
 
 def _block_links(words: int, percent: int):
@@ -216,7 +216,7 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = "_id long, n_shingles long, digest binary, keys array<long>"
-    sketches = stored(texts.mapInArrow(_sketcher(words, bands, rows, pa.int64()), schema), "sketches")
+    sketches = stored(texts.mapInArrow(freeing(_sketcher(words, bands, rows, pa.int64())), schema), "sketches")
     usable = sketches.where("n_shingles > 0 and _id is not null")
 
     grouped = usable.groupBy("digest").agg(F.min("_id").alias("rep"), F.count("*").alias("n"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from punctual.llm.storage import stored
+from punctual.llm.storage import freeing, stored
 from punctual.llm.tokens import encoder, text_groups
 
 SEQUENCE = 2048
@@ -141,7 +141,7 @@ def pack_documents(
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stored(texts.mapInArrow(_cutter(vocabulary, size, end_id), schema), "pieces")
+    pieces = stored(texts.mapInArrow(freeing(_cutter(vocabulary, size, end_id)), schema), "pieces")
 
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     table = placement(pack_histogram(histogram, size))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from punctual.llm.storage import stored
+from punctual.llm.storage import freeing, stored
 from punctual.llm.words import U, Words, slices, span_hashes, text_buffers
 
 MIN_WORDS = 16
@@ -199,7 +199,7 @@ def strip_passages(
         text.alias("text"),
     )
     schema = "k1 long, k2 long, doc long, place long, h1 long, h2 long"
-    found = rows.select("k1", "k2", "doc", "text").mapInArrow(_emitter(min_words, cut), schema)
+    found = rows.select("k1", "k2", "doc", "text").mapInArrow(freeing(_emitter(min_words, cut)), schema)
     grouped = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     repeated = stored(grouped.where("first < last").select("h1", "h2", "first"), "repeated-paragraphs")
     gone = found.join(repeated, ["h1", "h2"]).where("doc > first")
@@ -212,7 +212,7 @@ def strip_passages(
             T.StructField("removed", T.ArrayType(T.StructType.fromDDL("start long, end long"))),
         ]
     )
-    return joined.mapInArrow(_remover(min_words, cut), out)
+    return joined.mapInArrow(freeing(_remover(min_words, cut)), out)
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

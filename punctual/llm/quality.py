@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from punctual.llm.storage import stored
+from punctual.llm.storage import freeing, stored
 from punctual.llm.words import Words, slices, text_buffers
 
 #: Labelled rows the model is fitted on, at most about, chosen by the hash of their id.
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen = F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     sample = texts.where(chosen).hint("merge").join(known.where(chosen), "doc")
     fields = [T.StructField("label", T.IntegerType()), T.StructField("found", T.ArrayType(T.IntegerType()))]
-    sample = sample.mapInArrow(_extractor, T.StructType([texts.schema["doc"], *fields]))
+    sample = sample.mapInArrow(freeing(_extractor), T.StructType([texts.schema["doc"], *fields]))
     got = sample.toArrow().sort_by("doc")
     rows = [np.asarray(r.values, np.int64) for r in got.column("found")]
     return fit(rows, got.column("label").to_numpy())
@@ -232,5 +232,5 @@ def score_documents(
         F.col(text_col).cast("string").alias("text"),
         held_out.alias("held_out"),
     )
-    scored = rows.mapInArrow(_scorer(model), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(freeing(_scorer(model)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", F.when(F.col("score") >= good, 1).otherwise(0))

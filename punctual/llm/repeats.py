@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm.storage import new_folder, salted_left_join, stored
+from punctual.llm.storage import freeing, new_folder, salted_left_join, stored
 from punctual.llm.words import _BYTE_VALUE, U, mix, span_hashes, text_buffers
 
 LENGTH, ANCHOR = 200, 64
@@ -410,12 +410,12 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     `texts` is a written table of (k1, k2, text) without equal texts.
     """
-    keys = texts.select("k1", "k2", "text").mapInArrow(_key_finder(length, anchor), "k1 long, k2 long, key long, n long")
+    keys = texts.select("k1", "k2", "text").mapInArrow(freeing(_key_finder(length, anchor)), "k1 long, k2 long, key long, n long")
     repeated = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", F.lit(True).alias("again"))
     listed = salted_left_join(keys.select("k1", "k2", "key"), stored(repeated, "repeated-anchors"), ["key"], "k1")
     listed = listed.where("again").groupBy("k1", "k2").agg(F.collect_set("key").alias("keys"))
     with_keys = texts.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "keys")
-    fragments = stored(with_keys.mapInArrow(_fragment_finder(length, anchor), _FRAGMENT), "fragments")
+    fragments = stored(with_keys.mapInArrow(freeing(_fragment_finder(length, anchor)), _FRAGMENT), "fragments")
     # Equal neighbours repeat each other.
     found = fragments.where("times > 1").select(
         "k1", "k2", F.col("at").alias("low"), (F.col("at") + F.col("n") * F.col("times")).alias("high")
@@ -467,7 +467,7 @@ def strip_repeats(
         " kept_sha256 string, kept binary"
     )
     marked = texts.join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "marks")
-    left = marked.mapInArrow(_remover(length), schema)
+    left = marked.mapInArrow(freeing(_remover(length)), schema)
     own = rows.select("doc", "k1", "k2", F.monotonically_increasing_id().alias("_row"))
     out = _spread_join(own, left, ["k1", "k2"], "copies", "_row")
     return out.select(F.col("doc").alias(id_col), "n_bytes", "n_removed", "removed", "kept_sha256", "kept")

@@ -2,23 +2,43 @@
 
 Texts are cut where no token can cross: before a space between two characters that are not white
 space (byte-level vocabularies, whose words carry the space in front of them) or at every space
-(vocabularies that drop white space). A task keeps the ids of the pieces it has met, up to a bound.
+(vocabularies that drop white space). A task keeps the ids of the pieces it has met, up to a bound, and
+forgets them when it ends. A new piece of nothing but letters and marks goes to the library's model part
+by part: that its rules cut such pieces between letters and marks, as here, is tested on examples.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces, and characters in them, that a task remembers before it forgets the rare ones.
-MEMO_PIECES, MEMO_CHARS = 600_000, 16_000_000
+MEMO_PIECES, MEMO_CHARS = 400_000, 12_000_000
 #: Pieces that are encoded in one call.
 JOINED = 512
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Words of letters and runs of marks (no apostrophe, nor "<", which begins added tokens), single line ends between.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:;=-@\[-`{-~]+"
+_WORDS = re.compile(f"( ?)({_LETTERS}|{_MARKS})((?:(?<={_LETTERS[:-1]}){_MARKS})?)((?:\n?(?:{_LETTERS}|{_MARKS}))*)")
+_PARTS = re.compile(f"{_LETTERS}|{_MARKS}|\n")
+_EXAMPLES = ["a", "Zebra", "été", "Ünter", "ÿ", "Øl", "internationalisation", "don", "S", "THSTINNT", "end.\nNext", "(a-b)", "x/y_z", "#\n#", "été!!\nÀ"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+_BYTE_LETTERS = _byte_letters()
+_SPACE, _LINE_END = _BYTE_LETTERS.pop(32), _BYTE_LETTERS[10]
 
 
 class _Memo(dict):
@@ -107,14 +127,59 @@ class TextEncoder:
         ]
         self.between = between[-1] if between else None
         self.keeps_spaces = keeps_spaces
+        self.forget()
+        examples = [space + word + mark for word in _EXAMPLES for mark in ("", ".", "?!", "##") for space in ("", " ")]
+        examples = examples if keeps_spaces else [e for e in examples if e[0] != " "]
+        found = self._words([_WORDS.fullmatch(e).groups() for e in examples])
+        self.knows_words = found == [list(x) for x in self._each(examples)]
+
+    def forget(self) -> None:
+        """The pieces met so far."""
         self.plain, self.spaced = _Known(""), _Known(" ")
 
+    def _byte_letters(self, words: Iterable[str]) -> list[str]:
+        """Words as the model takes them: normalised, each byte as its letter."""
+        text = " ".join(words)
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return (text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)).split(" ")
+
+    def _words(self, pieces: list[tuple[str, str, str, str]]) -> list[list[int]]:
+        """Ids of (space or nothing, first word, marks, rest) by the model alone; marks and rests are often the same."""
+        tokenize, space = self.tokenizer.model.tokenize, _SPACE
+        parts = dict.fromkeys(chain.from_iterable(_PARTS.findall(mark + rest) for _, _, mark, rest in pieces if mark or rest))
+        # A line end between two words is a token where spaces are kept.
+        line_end = [t.id for t in tokenize(_LINE_END)] if self.keeps_spaces else []
+        parts.pop("\n", None)
+        for part, own in zip(list(parts), self._byte_letters(parts)):
+            parts[part] = [t.id for t in tokenize(own)]
+        parts["\n"] = line_end
+        out = []
+        for (before, _, mark, rest), own in zip(pieces, self._byte_letters([word for _, word, _, _ in pieces])):
+            ids = [t.id for t in tokenize(space + own if before else own)]
+            if rest:
+                for part in _PARTS.findall(mark + rest):
+                    ids += parts[part]
+            elif mark:
+                ids += parts[mark]
+            out.append(ids)
+        return out
+
     def _each(self, pieces: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has."""
+        parts = [_WORDS.fullmatch(p) for p in pieces] if self.knows_words else [None] * len(pieces)
+        words = iter(self._words([m.groups() for m in parts if m]))
+        others = iter(self._others([p for p, m in zip(pieces, parts) if not m]))
+        out = [next(words) if m else next(others) for m in parts]
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+
+    def _others(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces that the library must look at as text."""
         out: list[np.ndarray] = []
         for low in range(0, len(pieces), JOINED):
             part = pieces[low : low + JOINED]
@@ -129,11 +194,20 @@ class TextEncoder:
                 continue
             starts, ends = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
             out += [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate(out), sizes
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """None counts as an empty text."""
+        # Hundreds of thousands of small lists are made here, and none in a circle.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self.plain.tidy()
         self.spaced.tidy()
         # Codes of pieces with a space in front are even, of others odd.
@@ -184,13 +258,19 @@ _encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
 def encoder(path: str, keeps_spaces: bool) -> TextEncoder:
-    """This process's encoder of a vocabulary file; what it has met stays for the next task."""
+    """This process's encoder of a vocabulary file; a task that ends has it forget what it has met."""
     key = (path, keeps_spaces)
     if key not in _encoders:
         _encoders[key] = TextEncoder(path, keeps_spaces, added_as_text=False)
     return _encoders[key]
 
 
+def forget() -> None:
+    """The pieces that this process's encoders have met."""
+    for code in _encoders.values():
+        code.forget()
+
+
 def text_groups(texts: list[str | None], most: int = 1 << 22):
     """(start, end) of runs of texts with about `most` characters."""
     start, size = 0, 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm.storage import new_folder, salted_left_join, stored
+from punctual.llm.storage import dealt, new_folder, salted_left_join, stored
 
 #: Fixed values of the ZIP format: signatures of its records, and the value that points to ZIP64 fields.
 LOCAL, CENTRAL, END = 0x04034B50, 0x02014B50, 0x06054B50
@@ -151,6 +151,11 @@ def stored_members(file) -> dict[str, tuple[int, int]]:
     return found
 
 
+def compressed_archives(file) -> list[str]:
+    """Archives that are compressed as members, whose records no range holds."""
+    return [name for name, method, *_ in central_directory(file) if method and name.startswith("archive/")]
+
+
 def record_ranges(file) -> Iterator[tuple[int, int]]:
     """(start, end) in the file of runs of whole records, about RANGE bytes each.
 
@@ -323,6 +328,8 @@ def _locator(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column("path").to_pylist():
             system, own = _open(path)
             with system.open_input_file(own) as file:
+                if lost := compressed_archives(file):
+                    raise ValueError(f"{path}: {', '.join(lost)} is compressed, not stored: its records can't be read")
                 found = list(record_ranges(file))
             if found:
                 starts, ends = zip(*found)
@@ -352,12 +359,12 @@ def read_archives(packages: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of the packages in the column path: id, target, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     First the packages are located in (directories and indexes only), then their ranges are dealt out
-    and read. Payloads are checked against their digests. Revisits have a NULL payload; its length and
+    and read. A package with a compressed archive is an error. Payloads are checked against their digests. Revisits have a NULL payload; its length and
     digest are those of the payload they stand for.
     """
     ranges = stored(packages.select("path").mapInArrow(_locator, "path string, start long, end long"), "ranges")
     schema = "id long, target string, record_type string, refers_to long, payload_bytes long, payload_digest string"
-    return ranges.repartition("path", "start").mapInArrow(_reader(with_payload), schema + (", payload binary" if with_payload else ""))
+    return dealt(ranges, ranges.count(), "path", "start").mapInArrow(_reader(with_payload), schema + (", payload binary" if with_payload else ""))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -41,11 +41,16 @@ def _powers(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = tuple(
             np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, p, U), dtype=U)]) for p in (prime, inverse)
         )
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _weights[prime] = have
     return have
 
 
+def forget() -> None:
+    """The weights that this process has worked out."""
+    _weights.clear()
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, prime: int = _PRIME) -> np.ndarray:
     """A 64-bit hash of every span values[start:end], its length included."""
     n = len(values)

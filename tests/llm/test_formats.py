@@ -239,6 +239,9 @@ def test_other_packages(tmp_path):
         assert len(ranges) == 2
         for start, end in ranges:
             assert [r["id"] for r in warczip.parse_records(warczip._range(file, start, end - start))] == [0, 1, 2, 3, 4]
+    # Reading packages doesn't pass over the compressed archive: its records would be missing.
+    with pytest.raises(ValueError, match="b.warc.gz"):
+        list(warczip._locator([pa.record_batch([pa.array([str(path)])], names=["path"])]))
     (tmp_path / "bad.zip").write_bytes(b"nothing")
     with open(tmp_path / "bad.zip", "rb") as raw, pytest.raises(ValueError):
         warczip.central_directory(pa.PythonFile(raw))
@@ -249,3 +252,16 @@ def test_damaged_payload_is_refused():
     record[record.index(b"payload")] ^= 1
     with pytest.raises(ValueError):
         list(warczip.parse_records(bytes(record)))
+
+
+def test_files_and_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """A short list of files is small; joined into one partition, one task would read all of them."""
+    docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(400)], "doc_id long, text string")
+    files = idfiles.write_ids(docs, str(tmp_path / "ids"), queries.WORD_VOCABULARY)
+    assert files.count() == 4
+    read = idfiles.read_ids(files, with_ids=False)
+    assert read.rdd.getNumPartitions() == 4 and read.count() == 400
+    pages = docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    parts = [warczip.write_archives(pages.where(f"page_id % 3 = {i}"), str(tmp_path / "warc")) for i in range(3)]
+    records = warczip.read_archives(parts[0].union(parts[1]).union(parts[2]), with_payload=False)
+    assert records.rdd.getNumPartitions() == 3 and records.count() == 400
