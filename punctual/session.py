@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,9 +36,18 @@ def build_session(app_name: str = "punctual", master: str | None = None, **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset, a folder of the warehouse, as shared as its tables."""
+    """The cluster's spark.checkpoint.dir; where that is unset, a folder of the warehouse, as shared as its tables.
+
+    A warehouse on a machine's own disk serves one machine only: on a cluster each executor would write to its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+    if not one_machine and re.match(r"file:|/|(?![a-z0-9+.-]+:)", warehouse):
+        raise RuntimeError(f"set spark.checkpoint.dir: executors do not share {warehouse}")
+    return f"{warehouse}/scratch".rstrip("/")
 
 
 def delete(spark: SparkSession, path: str) -> None:
