@@ -592,6 +592,21 @@ def watermark(times: str, source: str, sliced_by: str, sliced: str) -> str:
         SELECT date_trunc('milliseconds', MAX({times})) - to_seconds(3 * {width} // 1000000 + 1) AS mark FROM {source}"""
 
 
+def two_digits(column: str) -> str:
+    """Half away from zero on the decimal digits that a double shows."""
+    return f"CAST(ROUND(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) + 0.0::DOUBLE"
+
+
+FEEDS_READ_BACK = f"""
+    SELECT 'feed' AS kind, CAST(feed AS VARCHAR) AS gtfs_feed_date, 'gtfs_' || feed AS ref, NULL::VARCHAR AS name,
+        NULL::DOUBLE AS lat, NULL::DOUBLE AS lon FROM feeds
+    UNION ALL SELECT 'latest', NULL, stop_id, gtfs_stop_name, {r6('stop_lat')}, {r6('stop_lon')} FROM stops
+        WHERE gtfs_feed_date = (SELECT MAX(feed) FROM feeds)
+    UNION ALL SELECT 'stop', CAST(gtfs_feed_date AS VARCHAR), stop_id, gtfs_stop_name, {r6('stop_lat')}, {r6('stop_lon')} FROM stops
+    UNION ALL SELECT 'route', CAST(gtfs_feed_date AS VARCHAR), route_id, route_short_name, NULL, NULL FROM routes
+    UNION ALL SELECT 'part', NULL, stop_id, city_part, NULL, NULL FROM city"""
+
+
 STREAM_POLLS = f"""
     SELECT id, source, {text('attempted_at_utc')} AS attempted_at_utc, {text('collected_at_utc')} AS collected_at_utc,
         status, ok::BIGINT AS ok, {r6('row_count')} AS row_count FROM polls0"""
@@ -942,7 +957,16 @@ def all_oracles() -> dict[str, str]:
             silences=SILENCES,
         ),
         "json_round_trip": sql(
-            f"SELECT line_ref, line_name, bucket_count, raw_poll_count, 1::BIGINT AS schema_version FROM ({LINES})", "bk"
+            f"SELECT line_ref, line_name, {', '.join(c if c in COUNTS else f'{two_digits(c)} AS {c}' for c in METRICS)},"
+            f" 1::BIGINT AS schema_version FROM ({LINES})",
+            "bk",
+        ),
+        "feeds_read_back": sql(FEEDS_READ_BACK, "stops", "routes", "city"),
+        "stops_asof_files": sql(
+            f"""SELECT bucket_id, stop_id, CAST(gtfs_feed_date AS VARCHAR) AS gtfs_feed_date, stop_name,
+            {r6('stop_lat')} AS stop_lat, {r6('stop_lon')} AS stop_lon,
+            (gtfs_stop_name IS NOT NULL)::INT::BIGINT AS has_gtfs_stop_metadata FROM bs""",
+            "bs",
         ),
         "public_lines": sql(f"SELECT line_ref, line_name, {ALL_METRICS} FROM ({LINES})", "bk"),
         "public_contexts": sql(

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from punctual.functions.values import json_scalars
 from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, stops
-from punctual.plans.adapter import polls_with_gaps, tables
+from punctual.plans.adapter import FEEDS, polls_with_gaps, tables
 from punctual.plans.replay import Replay, new_folder
 from punctual.plans.tables import Tables
 from punctual.session import application_folder, materialise
+from punctual.sources import gtfs
 from punctual.sources.readers import read_result, source_summary
-from punctual.sources.sinks import labelled_union, write_csv, write_json, write_tables
+from punctual.sources.sinks import labelled_union, write_csv, write_csv_file, write_json, write_tables
 from punctual.streaming import polls as streams
 
 MIN = 5
@@ -154,11 +155,57 @@ def csv_round_trip(t: Tables) -> DataFrame:
 def json_round_trip(t: Tables) -> DataFrame:
     """Published lines as JSON, with their schema version, read back."""
     path = f"{application_folder(t.observations.sparkSession)}/lines-{uuid.uuid4().hex}"
-    write_json(publish.public_lines(buckets_of(t), MIN), path, name="lines/lines", required=publish.REQUIRED["lines"])
-    schema = "line_ref string, line_name string, bucket_count long, raw_poll_count long, schema_version long"
+    lines = publish.public_lines(buckets_of(t), MIN)
+    write_json(lines, path, name="lines/lines", required=publish.REQUIRED["lines"])
+    schema = T.StructType([*lines.schema.fields, T.StructField("schema_version", T.LongType())])
     return t.observations.sparkSession.read.schema(schema).json(path)
 
 
+def written_feeds(t: Tables) -> str:
+    """Stops, routes and city parts as timetable folders and a CSV file, below a folder of their own."""
+    root = new_folder(t.observations, "feeds")
+    for day, _ in FEEDS:
+        for table, fields, name in ((t.stops, gtfs.STOP_FIELDS, "stops.txt"), (t.routes, gtfs.ROUTE_FIELDS, "routes.txt")):
+            rows = table.where(F.col("gtfs_feed_date") == F.lit(day).cast("date"))
+            rows = rows.withColumnRenamed("gtfs_stop_name", "stop_name").select(*fields)
+            write_csv_file(rows, f"{root}/gtfs_{day}/{name}")
+    write_csv_file(t.city_parts, f"{root}/city_parts.csv")
+    return root
+
+
+def feeds_read_back(t: Tables) -> DataFrame:
+    """Feeds found, the latest of them, and all rows of their files and of the city parts."""
+    spark, root = t.observations.sparkSession, written_feeds(t)
+    nothing, no_name = F.lit(None).cast("double"), F.lit(None).cast("string")
+    folder = F.substring_index("gtfs_dir", "/", -1)
+    latest = gtfs.latest_feed(spark, root)
+    views = {
+        "feed": gtfs.discover_feeds(spark, root, "stops.txt").select("gtfs_feed_date", folder, no_name, nothing, nothing),
+        "latest": gtfs.read_stops(spark, gtfs_dir=latest).select(
+            F.lit(None).cast("date"), "stop_id", "gtfs_stop_name", "stop_lat", "stop_lon"
+        ),
+        "stop": gtfs.read_stops(spark, gtfs_root=root).select(
+            "gtfs_feed_date", "stop_id", "gtfs_stop_name", "stop_lat", "stop_lon"
+        ),
+        "route": gtfs.read_routes(spark, gtfs_root=root).select(
+            "gtfs_feed_date", "route_id", "route_short_name", nothing, nothing
+        ),
+        "part": gtfs.read_city_parts(spark, f"{root}/city_parts.csv").select(
+            F.lit(None).cast("date"), "stop_id", "city_part", nothing, nothing
+        ),
+    }
+    columns = ("gtfs_feed_date", "ref", "name", "lat", "lon")
+    return labelled_union({kind: rows.toDF(*columns) for kind, rows in views.items()}, "kind")
+
+
+def stops_asof_files(t: Tables) -> DataFrame:
+    """Buckets with the metadata of their stop, from the feed files that held on their day."""
+    found = gtfs.read_stops(t.observations.sparkSession, gtfs_root=written_feeds(t))
+    return stops.with_stop_metadata(buckets_of(t), found).select(
+        "bucket_id", "stop_id", "gtfs_feed_date", "stop_name", "stop_lat", "stop_lon", "has_gtfs_stop_metadata"
+    )
+
+
 def stop_markers(t: Tables) -> DataFrame:
     metrics = materialise(stop_metrics(t), "stop_metrics")
     sized = dashboard.marker_sizes(metrics)
@@ -402,6 +449,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "results_read_back": results_read_back,
     "csv_round_trip": csv_round_trip,
     "json_round_trip": json_round_trip,
+    "feeds_read_back": feeds_read_back,
+    "stops_asof_files": stops_asof_files,
     "stream_polls_once": stream_polls_once,
     "stream_quality_rows": stream_quality_rows,
     "stream_line_hours": stream_line_hours,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from punctual.functions.values import round_doubles
 from punctual.operators.publish import SCHEMA_VERSION, validate_public
-from punctual.session import materialise
+from punctual.session import delete, materialise
 
 
 def write_table(df: DataFrame, root: str, name: str, by_day: str | None = None) -> DataFrame:
@@ -40,6 +41,19 @@ def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
     table.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file of a small table, at exactly this path: timetable files have fixed names."""
+    spark, parts = df.sparkSession, f"{path}.parts"
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(parts)
+    source = spark.read.text(parts).inputFiles()
+    names = spark._jvm.org.apache.hadoop.fs
+    target = names.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not source or not store.rename(names.Path(unquote(source[0])), target):
+        raise OSError(f"could not write {path}")
+    delete(spark, parts)
+
+
 def labelled_union(views: Mapping[str, DataFrame], label: str = "view") -> DataFrame:
     """Several views in one table, told apart by a leading label column."""
     result = None
