@@ -81,11 +81,10 @@ def active_alerts(alerts: DataFrame, start: datetime | None = None, end: datetim
 
 
 def observation_bounds(buckets: DataFrame) -> tuple[Column, Column]:
-    """First and last bucket time as literals: one row read from the written buckets."""
+    """First and last bucket time, found by the query that uses them; no job of its own."""
     at = "representative_time_utc"
-    span = buckets.agg(F.unix_micros(F.min(at)).alias("first"), F.unix_micros(F.max(at)).alias("last")).first()
-    first, last = (F.lit(None if v is None else from_micros(v)).cast("timestamp") for v in span)
-    return first, last
+    span = buckets.agg(F.struct(F.min(at).alias("first"), F.max(at).alias("last"))).scalar()
+    return span.getField("first"), span.getField("last")
 
 
 def alert_targets(
@@ -144,43 +143,59 @@ def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_island")
 
 
-def day_cells(targets: DataFrame, observed_from: Column, observed_to: Column) -> DataFrame:
-    """Disjoint (group, target, day, start, end) pieces of the alert intervals.
+def day_cells(
+    targets: DataFrame, observed_from: Column, observed_to: Column, timezone: str = DEFAULT_TIMEZONE
+) -> DataFrame:
+    """Disjoint (group, target, local day, start, end) pieces of the alert intervals.
 
     Intervals are clipped to the observed time and merged before they are cut
     into days: first among those that start on the same day, then over all that
     is left of a target, which is at most a few islands for each day.
     """
     key = [*GROUP, "target_ref"]
+
+    def local_day(time: str) -> Column:
+        return F.to_date(F.from_utc_timestamp(time, timezone))
+
+    def midnight(day: Column) -> Column:
+        return F.to_utc_timestamp(day.cast("timestamp"), timezone)
+
     clipped = targets.select(
         *key,
         F.greatest("start_utc", observed_from).alias("start_utc"),
         F.least("end_utc", observed_to).alias("end_utc"),
     ).filter(F.col("start_utc") <= F.col("end_utc"))
-    by_day = merged(clipped.withColumn("_starts", F.to_date("start_utc")), [*key, "_starts"])
+    by_day = merged(clipped.withColumn("_starts", local_day("start_utc")), [*key, "_starts"])
     islands = merged(by_day, key)
     day = F.col("day")
-    return islands.withColumn("day", F.explode(F.sequence(F.to_date("start_utc"), F.to_date("end_utc")))).select(
+    return islands.withColumn("day", F.explode(F.sequence(local_day("start_utc"), local_day("end_utc")))).select(
         *key,
         "day",
-        F.greatest(F.col("start_utc"), day.cast("timestamp")).alias("start_utc"),
-        F.least(F.col("end_utc"), F.date_add(day, 1).cast("timestamp")).alias("end_utc"),
+        F.greatest(F.col("start_utc"), midnight(day)).alias("start_utc"),
+        F.least(F.col("end_utc"), midnight(F.date_add(day, 1))).alias("end_utc"),
     )
 
 
 def alert_span(cells: DataFrame) -> Column:
-    """Whether a bucket lies between the first and the last alerted moment; read from written cells."""
-    at = F.col("representative_time_utc")
-    span = cells.agg(F.struct(F.min("start_utc").alias("low"), F.max("end_utc").alias("high"))).scalar()
-    return (at >= span.getField("low")) & (at <= span.getField("high"))
+    """Whether a bucket lies between the first and the last alerted moment, by day and by time.
+
+    Read from written cells when the buckets are scanned: days outside the span are never opened.
+    """
+    at, day = F.col("representative_time_utc"), F.col("local_date")
+    bounds = {"first": F.min("day"), "last": F.max("day"), "low": F.min("start_utc"), "high": F.max("end_utc")}
+    span = cells.agg(F.struct(*[bound.alias(name) for name, bound in bounds.items()])).scalar()
+    within_days = (day >= span.getField("first")) & (day <= span.getField("last"))
+    return within_days & (at >= span.getField("low")) & (at <= span.getField("high"))
 
 
 def active_buckets(buckets: DataFrame, cells: DataFrame) -> DataFrame:
     """Each bucket once per group whose alert covers it, through its line or its stop.
 
-    Both scopes are keys of one equality join on (scope, target, day). Pass
-    written cells: the size of their files then decides between a broadcast and
-    a merge, and buckets outside the alerted span are dropped before they are doubled.
+    Both scopes are keys of one equality join on (scope, target, local day).
+    Pass written cells: the size of their files then decides between a broadcast
+    and a merge. Buckets outside the alerted span are dropped before they are
+    doubled, and of buckets with a folder per local day a broadcast opens the
+    alerted days alone.
     """
     at = F.col("representative_time_utc")
     keyed = buckets.filter(alert_span(cells)).select(
@@ -189,7 +204,7 @@ def active_buckets(buckets: DataFrame, cells: DataFrame) -> DataFrame:
         DELAY,
         POLLS,
         "representative_time_utc",
-        F.to_date(at).alias("day"),
+        F.col("local_date").alias("day"),
         F.explode(
             F.array(
                 F.struct(F.lit("route").alias("alert_scope"), F.col("line_ref").alias("target_ref")),
@@ -197,7 +212,8 @@ def active_buckets(buckets: DataFrame, cells: DataFrame) -> DataFrame:
             )
         ).alias("_target"),
     ).select("*", "_target.*").filter(F.col("target_ref").isNotNull())
-    joined = keyed.join(cells, ["alert_scope", "target_ref", "day"])
+    # The optimizer derives a filter on the days from a side only if that side is itself filtered.
+    joined = keyed.join(cells.filter(F.col("start_utc") <= F.col("end_utc")), ["alert_scope", "target_ref", "day"])
     # Adjacent cells share midnight itself, so the day of the bucket decides.
     return joined.filter((at >= F.col("start_utc")) & (at <= F.col("end_utc")))
 
@@ -274,4 +290,4 @@ def alert_active(
     """
     bounds = observation_bounds(buckets)
     targets = alert_targets(active_alerts(alerts, start, end), routes, *bounds, kind=kind, timezone=timezone)
-    return active_histogram(buckets, materialise(day_cells(targets, *bounds), "alert_cells"))
+    return active_histogram(buckets, materialise(day_cells(targets, *bounds, timezone), "alert_cells"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 _ending: set[str] = set()
@@ -83,14 +83,26 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         delete(spark, folder)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, path: str, by_day: str | None = None) -> DataFrame:
+    """Write Parquet and return it read back, so that later steps start from the file.
+
+    With `by_day` there is a folder for each value of that column, so that a
+    range of days reads its own files only; a day too large for one task is
+    rebalanced over several.
+    """
+    if by_day is None:
+        df.write.mode("overwrite").parquet(path)
+    else:
+        df.hint("rebalance", F.col(by_day)).write.mode("overwrite").partitionBy(by_day).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def materialise(df: DataFrame, name: str, by_day: str | None = None) -> DataFrame:
     """Write a table several later steps read, and return it read back.
 
     Unlike a checkpointed RDD the Parquet copy keeps column pruning, filter
     pushdown and size statistics, and it survives the loss of executors. It
     lives as long as the enclosing `scratch` block, or else the application.
     """
-    spark = df.sparkSession
-    path = f"{_job_folder.get() or application_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = _job_folder.get() or application_folder(df.sparkSession)
+    return written(df, f"{folder}/{name}-{uuid.uuid4().hex}", by_day)

@@ -10,22 +10,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from punctual.functions.values import round_doubles
 from punctual.operators.publish import SCHEMA_VERSION, validate_public
-from punctual.session import delete, materialise
+from punctual.session import delete, materialise, written
 
 
 def write_table(df: DataFrame, root: str, name: str, by_day: str | None = None) -> DataFrame:
-    """Write a table and return it read back, so that later steps start from the file.
-
-    With `by_day` there is a folder for each value of that column, so that a
-    range of days reads its own files only; a day too large for one task is
-    rebalanced over several.
-    """
-    path = f"{root}/{name}"
-    if by_day is None:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        df.hint("rebalance", F.col(by_day)).write.mode("overwrite").partitionBy(by_day).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    """Write a table of a result folder and return it read back; `by_day` as in `session.written`."""
+    return written(df, f"{root}/{name}", by_day)
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, at_once: int = 4) -> dict[str, DataFrame]:
