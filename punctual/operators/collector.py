@@ -40,18 +40,18 @@ def with_previous_success(polls: DataFrame) -> DataFrame:
     polls = polls.withColumns(
         {"_slice": F.date_trunc("hour", "_at"), "_success_at": F.when(is_success(), F.col("_at"))}
     )
-    # Polls without a time precede and follow nothing; in a window they would be one partition.
-    untimed = polls.filter(F.col("_slice").isNull()).withColumn("_previous_success", F.lit(None).cast("timestamp"))
-    timed = polls.filter(F.col("_slice").isNotNull())
+    # Polls without a time precede and follow nothing; each is a slice of its own, not all of them one.
+    untimed = F.when(F.col("_slice").isNull(), F.xxhash64("id"))
     within_slice = (
-        Window.partitionBy("source", "_slice")
+        Window.partitionBy("source", "_slice", "_untimed")
         .orderBy("_at", F.desc(is_success().cast("int")), "id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     earlier_hours = Window.partitionBy("_source").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     # One row per source and hour: its size depends on the time span, not on the polls.
     carried = (
-        timed.groupBy(F.col("source").alias("_source"), F.col("_slice").alias("_hour"))
+        polls.filter(F.col("_slice").isNotNull())
+        .groupBy(F.col("source").alias("_source"), F.col("_slice").alias("_hour"))
         .agg(F.max("_success_at").alias("_last"))
         .select(
             "_source",
@@ -59,13 +59,14 @@ def with_previous_success(polls: DataFrame) -> DataFrame:
             F.max("_last").over(earlier_hours).alias("_carried"),
         )
     )
-    ordered = timed.withColumn("_in_slice", F.last("_success_at", ignorenulls=True).over(within_slice))
+    ordered = polls.withColumn("_untimed", untimed).withColumn(
+        "_in_slice", F.last("_success_at", ignorenulls=True).over(within_slice)
+    )
     matched = ordered.join(
         carried, ordered["source"].eqNullSafe(carried["_source"]) & (ordered["_slice"] == carried["_hour"]), "left"
     )
-    found = matched.withColumn("_previous_success", F.coalesce("_in_slice", "_carried"))
-    return found.unionByName(untimed, allowMissingColumns=True).drop(
-        "_at", "_slice", "_success_at", "_in_slice", "_carried", "_source", "_hour", "_last"
+    return matched.withColumn("_previous_success", F.coalesce("_in_slice", "_carried")).drop(
+        "_at", "_slice", "_success_at", "_untimed", "_in_slice", "_carried", "_source", "_hour", "_last"
     )
 
 

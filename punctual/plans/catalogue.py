@@ -78,7 +78,7 @@ def buckets_of(t: Tables, bucket: str = "trip-stop") -> DataFrame:
 
 def written_buckets(t: Tables) -> DataFrame:
     """Trip-stop buckets as a table, for queries that read them more than once."""
-    return materialise(buckets_of(t), "delay_buckets")
+    return materialise(buckets_of(t), "delay_buckets", by_day="local_date")
 
 
 def windowed_buckets(t: Tables, **selection) -> DataFrame:
@@ -267,7 +267,7 @@ def alert_lift(t: Tables, by_line: bool, kind: str = "any") -> DataFrame:
 def alert_recent_routes(t: Tables) -> DataFrame:
     """The latest two days only, route alerts only; the window precedes bucketing."""
     start, end = alerts.analysis_window(t.observations)
-    recent = materialise(windowed_buckets(t, start=start, end=end), "recent_buckets")
+    recent = materialise(windowed_buckets(t, start=start, end=end), "recent_buckets", by_day="local_date")
     active = alerts.alert_active(recent, t.alerts, t.routes, start=start, end=end, kind="route")
     return lift(recent, active, min_observations=1)
 
@@ -280,17 +280,22 @@ def routes_asof(t: Tables) -> DataFrame:
     return stops.resolve_route_names(listed, t.routes)
 
 
+def followed_polls(t: Tables) -> DataFrame:
+    """Polls with what precedes them, written once: gaps and cadence both read them."""
+    return materialise(polls_with_gaps(t.polls), "collector_polls")
+
+
 def success_gaps(t: Tables) -> DataFrame:
-    return collector.success_gaps(polls_with_gaps(t.polls))
+    return collector.success_gaps(followed_polls(t))
 
 
 def missing_summary(t: Tables) -> DataFrame:
-    polls = materialise(polls_with_gaps(t.polls), "collector_polls")
+    polls = followed_polls(t)
     return collector.missing_summary(polls, collector.success_gaps(polls))
 
 
 def long_spots(t: Tables) -> DataFrame:
-    polls = collector.collector_polls(polls_with_gaps(t.polls), "view")
+    polls = collector.collector_polls(followed_polls(t), "view")
     return collector.missing_spots(collector.success_gaps(polls, 3.0, 2.0))
 
 

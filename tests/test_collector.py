@@ -77,3 +77,16 @@ def test_a_null_source_is_a_source(spark):
     summary = collector.missing_summary(polls, gaps).first()
     assert (blackout.source, blackout.blackout_count, gaps.count(), summary.missing_spot_count) == (None, 1, 1, 1)
     assert collector.with_previous_success(polls).filter("id >= 100 and _previous_success is not null").count() == 0
+
+
+def test_polls_are_followed_in_two_scans(spark, tmp_path):
+    """Polls without a time are no scan of their own, and each is alone in its window partition."""
+    rows = [poll(i, "ab"[i % 2], i, gap=120.0) for i in range(40)]
+    rows += [poll(100 + i, "a", 0, collected=False) for i in range(40)]
+    spark.createDataFrame(rows, POLL_SCHEMA).write.parquet(str(tmp_path / "polls"))
+    followed = collector.with_previous_success(spark.read.schema(POLL_SCHEMA).parquet(str(tmp_path / "polls")))
+    plan = followed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2 and plan.count("Window [") == 2
+    found = {r.id: r["_previous_success"] for r in followed.collect()}
+    assert len(found) == 80 and all(found[100 + i] is None for i in range(40))
+    assert all(found[i] is not None for i in range(2, 40))
