@@ -658,6 +658,11 @@ def all_oracles() -> dict[str, str]:
             "obs",
         ),
         "quality_rows": sql(quality_rows("NOT excluded"), "q"),
+        "quality_rows_colocated": sql(quality_rows("NOT excluded"), "q"),
+        "line_metrics_raw": sql(
+            f"SELECT line_ref, line_name, {ALL_METRICS} FROM ({by('line_ref', source='raw')})", "q",
+            raw=CTES["br"].replace("NOT excluded AND ", "").replace("SELECT id,", "SELECT id, 1::BIGINT AS raw_poll_count,"),
+        ),
         "quality_rows_strict": sql(quality_rows("quality_issue_count = 0"), "q"),
         "quality_rows_without_polls": sql(quality_rows("NOT excluded"), "q").replace(
             "FROM obs o LEFT JOIN polls0 p ON p.id = o.poll_id", "FROM obs o LEFT JOIN polls0 p ON FALSE"

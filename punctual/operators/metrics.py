@@ -5,7 +5,8 @@ distribution. So rows are first counted per (group, delay): plain hash
 aggregation that combines before its shuffle and whose shuffle key includes the
 delay, so no task receives a whole hot group. The percentiles are then taken
 over (delay, count) pairs. Accepted delays are whole or half seconds within two
-hours, so a group has at most 28,801 of them however many rows it holds.
+hours, so a group has at most 28,801 of them however many rows it holds. Where
+nothing bounds them, `selection.wide_metrics` gives the same set.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ DELAY = "delay_seconds"
 COUNT = "bucket_count"
 POLLS = "raw_poll_count"
 SEEN = "_first_seen"
+QUANTILES = [0.5, 0.75, 0.9, 0.95]
+EARLY_QUANTILES = [0.5, 0.9]
 
 
 def delay_histogram(rows: DataFrame, keys: Sequence[str], names: Sequence[str] = ()) -> DataFrame:
@@ -59,14 +62,14 @@ def metric_aggregates() -> dict[str, Column]:
         "bucket_count": F.coalesce(F.sum(count), F.lit(0)),
         "raw_poll_count": F.coalesce(F.sum(POLLS), F.lit(0)),
         "avg_delay_min": F.try_divide(F.sum(delay * count), known) / 60.0,
-        "_quantiles": F.percentile(delay, [0.5, 0.75, 0.9, 0.95], count),
+        "_quantiles": F.percentile(delay, QUANTILES, count),
         "pct_late": share(delay > 0),
         "pct_over_3_min_late": share(delay > 180),
         "pct_over_5_min_late": share(delay > 300),
         "pct_early": share(delay < 0),
         "pct_over_1_min_early": share(delay < -60),
         "pct_over_3_min_early": share(delay < -180),
-        "_early": F.percentile(F.when(delay < 0, -delay), [0.5, 0.9], count),
+        "_early": F.percentile(F.when(delay < 0, -delay), EARLY_QUANTILES, count),
     }
 
 

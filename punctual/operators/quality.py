@@ -21,6 +21,10 @@ from punctual.schemas import (
 )
 
 
+#: Which part of its poll an observation is stored with.
+POLL_PART = "poll_part"
+
+
 def any_of(columns) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c) if isinstance(c, str) else c for c in columns])
 
@@ -37,14 +41,17 @@ def analysis_rows(observations: DataFrame, polls: DataFrame | None = None) -> Da
     """Rows that can be analysed, with the collection time of their poll.
 
     The filter precedes the join. No broadcast hint: polls grow with the data,
-    so the optimizer decides on their size and AQE splits a skewed poll.
+    so the optimizer decides on their size and AQE splits a skewed poll. Tables
+    of `write_colocated` meet in their buckets, by poll and part.
     """
+    parted = polls is not None and POLL_PART in observations.columns and POLL_PART in polls.columns
+    part = [POLL_PART] if parted else []
     rows = conform(observations, OBSERVATION_SCHEMA).filter(is_analysis_row())
-    rows = rows.select([f.name for f in OBSERVATION_SCHEMA if f.name != "is_gtfs_matchable"])
+    rows = rows.select([*[f.name for f in OBSERVATION_SCHEMA if f.name != "is_gtfs_matchable"], *part])
     if polls is None:
         return rows.withColumn("collected_at_utc", F.lit(None).cast("timestamp"))
-    poll_times = polls.select(F.col("id").alias("poll_id"), "collected_at_utc")
-    return rows.join(poll_times, "poll_id", "left")
+    poll_times = polls.select(F.col("id").alias("poll_id"), "collected_at_utc", *part)
+    return rows.join(poll_times, ["poll_id", *part], "left").drop(*part)
 
 
 def with_quality_flags(

@@ -9,12 +9,14 @@ from datetime import date, time
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from punctual.functions.values import json_scalars
-from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, stops
+from punctual.operators import alerts, buckets, change, collector, dashboard, publish, quality, rankings, selection, stops
+from punctual.operators.metrics import delay_histogram
 from punctual.plans.adapter import FEEDS, polls_with_gaps, tables
 from punctual.plans.replay import Replay, new_folder
 from punctual.plans.tables import Tables
 from punctual.session import application_folder, materialise
 from punctual.sources import gtfs
+from punctual.sources.colocated import write_colocated
 from punctual.sources.readers import read_result, source_summary
 from punctual.sources.sinks import labelled_union, write_csv, write_csv_file, write_json, write_tables
 from punctual.streaming import polls as streams
@@ -103,6 +105,20 @@ def quality_columns(rows: DataFrame) -> DataFrame:
     )
 
 
+def quality_rows_colocated(t: Tables) -> DataFrame:
+    """Quality of observations that are stored in the same buckets as their polls."""
+    name = f"colocated_{uuid.uuid4().hex}"
+    stored = write_colocated(t.observations, t.polls, f"{application_folder(t.polls.sparkSession)}/{name}", name)
+    return quality_columns(quality.quality_rows(*stored))
+
+
+def line_metrics_raw(t: Tables) -> DataFrame:
+    """Metrics by line over every raw poll, whose delays may be any number."""
+    polls = buckets.delay_buckets(rows_of(t, mode="raw"), "poll")
+    counted = materialise(delay_histogram(polls, ["line_ref"], ["published_line_name"]), "raw_histogram")
+    return selection.wide_metrics(counted, ["line_ref"], min_observations=MIN, first=rankings.LINE_NAME)
+
+
 def bucket_modes(mode: str) -> Callable[[Tables], DataFrame]:
     return lambda t: buckets_of(t, mode)
 
@@ -375,6 +391,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "quality_rows_diagnostic": lambda t: quality_columns(rows_of(t, mode="diagnostic")),
     "quality_rows_raw": lambda t: quality_columns(rows_of(t, mode="raw")),
     "quality_rows_thresholds": lambda t: quality_columns(rows_of(t, **THRESHOLDS)),
+    "quality_rows_colocated": quality_rows_colocated,
+    "line_metrics_raw": line_metrics_raw,
     "quality_by_line": lambda t: rankings.numbered(
         quality.quality_by_line(quality.quality_counts(rows_of(t)), MIN, TOP)
     ),
