@@ -593,8 +593,8 @@ def watermark(times: str, source: str, sliced_by: str, sliced: str) -> str:
 
 
 def two_digits(column: str) -> str:
-    """Half away from zero on the decimal digits that a double shows."""
-    return f"CAST(ROUND(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) + 0.0::DOUBLE"
+    """Half away from zero on eight decimal digits, so that the last bit of a sum decides no tie."""
+    return f"CAST(ROUND(ROUND(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 18)), 8), 2) AS DOUBLE) + 0.0::DOUBLE"
 
 
 FEEDS_READ_BACK = f"""
@@ -966,6 +966,24 @@ def all_oracles() -> dict[str, str]:
             f" 1::BIGINT AS schema_version FROM ({LINES})",
             "bk",
         ),
+        "line_documents": sql(
+            f"""SELECT line_ref, line_p90_delay_min, direction_ref, day_type, local_hour,
+            CASE WHEN local_hour IS NOT NULL THEN
+                ROW_NUMBER() OVER (PARTITION BY line_ref ORDER BY direction_ref, day_type, local_hour) - 1 END AS position,
+            {', '.join(c if c in COUNTS else f'{two_digits(c)} AS {c}' for c in METRICS)}
+            FROM ({PUBLIC_CONTEXTS}) RIGHT JOIN (SELECT line_ref, {two_digits('p90_delay_min')} AS line_p90_delay_min FROM ({LINES}))
+            USING (line_ref)""",
+            "bk",
+        ),
+        "publication_checks": sql(
+            f"""SELECT section || ', ' || fault AS "check", COUNT(*)::BIGINT AS row_count,
+            {', '.join(f"COUNT(*) FILTER (WHERE few AND fault = '{fault}')::BIGINT AS {column}" for fault, column in (
+                ('version', 'other_version_rows'), ('number', 'non_finite_rows'), ('path', 'local_path_rows')))}
+            FROM (SELECT 'lines' AS section, bucket_count % 2 = 0 AS few FROM ({LINES})
+                UNION ALL SELECT 'contexts', bucket_count % 2 = 0 FROM ({PUBLIC_CONTEXTS})),
+                (SELECT UNNEST(['none', 'version', 'number', 'path']) AS fault) GROUP BY section, fault""",
+            "bk",
+        ),
         "feeds_read_back": sql(FEEDS_READ_BACK, "stops", "routes", "city"),
         "stops_asof_files": sql(
             f"""SELECT bucket_id, stop_id, CAST(gtfs_feed_date AS VARCHAR) AS gtfs_feed_date, stop_name,

@@ -48,6 +48,9 @@ def natural_key(column: str) -> Column:
 
 
 def round_doubles(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Round the floating-point columns; used by sinks, never inside operators."""
+    """Round the floating-point columns; used by sinks, never inside operators.
+
+    First to six digits more, so that a tie is not decided by the last bit of an interpolation.
+    """
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({name: F.round(name, digits) for name in doubles}) if doubles else df
+    return df.withColumns({name: F.round(F.round(name, digits + 6), digits) for name in doubles}) if doubles else df

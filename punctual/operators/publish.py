@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from punctual.functions.times import hour_label, minute_text
-from punctual.functions.values import natural_key
+from punctual.functions.values import natural_key, round_doubles
 from punctual.operators.metrics import delay_histogram, metric_aggregates, metric_outputs, summarize_delay_metrics
 from punctual.operators.rankings import LINE_NAME
 
@@ -182,39 +183,70 @@ def field_names(schema: T.DataType) -> Iterable[str]:
         yield from field_names(schema.valueType)
 
 
-def validate_public(name: str, df: DataFrame, required: Iterable[str] = (), local_paths: Iterable[str] = ()) -> None:
-    """Raise if a table breaks the publication contract.
-
-    Names are checked on the schema; one aggregation counts rows of another
-    schema version, non-finite numbers and texts that hold a local path.
-    """
-    if "schema_version" not in df.columns:
+def check_fields(name: str, schema: T.StructType, required: Iterable[str] = ()) -> None:
+    """Raise if the names of a published table break the contract, at any depth."""
+    if "schema_version" not in schema.names:
         raise ValueError(f"{name}: no schema version")
-    names = set(field_names(df.schema))
-    forbidden = sorted(FORBIDDEN_KEYS & names)
+    forbidden = sorted(FORBIDDEN_KEYS & set(field_names(schema)))
     if forbidden:
         raise ValueError(f"{name}: forbidden public keys: {', '.join(forbidden)}")
-    missing = sorted(set(required) - set(df.columns))
+    missing = sorted(set(required) - set(schema.names))
     if missing:
         raise ValueError(f"{name}: missing required columns: {', '.join(missing)}")
-    other = ~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))
-    bad = []
-    for field in df.schema.fields:
+
+
+def contract_counts(schema: T.StructType, local_paths: Iterable[str] = ()) -> dict[str, Column]:
+    """Aggregates: rows, and rows of another schema version, with a non-finite number, with a local path."""
+    endless, located = [], []
+    for field in schema.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            bad.append(F.isnan(column) | (F.abs(column) == float("inf")))
+            endless.append(F.isnan(column) | (F.abs(column) == float("inf")))
         elif isinstance(field.dataType, T.StringType):
-            bad += [column.contains(path) for path in local_paths]
+            located += [column.contains(path) for path in local_paths]
         elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            bad += [F.to_json(column).contains(path) for path in local_paths]
-            bad.append(F.to_json(column).rlike(r'"(NaN|-?Infinity)"|:(NaN|-?Infinity)\b'))
-    counts = df.agg(*[F.count_if(b).alias(f"c{i}") for i, b in enumerate([other, *bad])]).first()
-    if counts[0]:
+            endless.append(F.to_json(column).rlike(r'"(NaN|-?Infinity)"|:(NaN|-?Infinity)\b'))
+            located += [F.to_json(column).contains(path) for path in local_paths]
+
+    def rows_with(conditions: list[Column]) -> Column:
+        return F.count_if(reduce(lambda one, other: one | other, conditions, F.lit(False)))
+
+    return {
+        "row_count": F.count(F.lit(1)),
+        "other_version_rows": F.count_if(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))),
+        "non_finite_rows": rows_with(endless),
+        "local_path_rows": rows_with(located),
+    }
+
+
+def check_counts(name: str, counts: Mapping[str, int]) -> None:
+    """Raise if the counts of `contract_counts` tell of rows that must not be published."""
+    if counts["other_version_rows"]:
         raise ValueError(f"{name}: unsupported schema version")
-    if any(counts):
+    if counts["non_finite_rows"] or counts["local_path_rows"]:
         raise ValueError(f"{name}: non-finite numbers or local paths must not be published")
 
 
+def validate_public(name: str, df: DataFrame, required: Iterable[str] = (), local_paths: Iterable[str] = ()) -> None:
+    """Raise if a table breaks the publication contract; `sinks.write_json` checks while it writes."""
+    check_fields(name, df.schema, required)
+    counts = contract_counts(df.schema, local_paths)
+    check_counts(name, df.agg(*[c.alias(n) for n, c in counts.items()]).first().asDict())
+
+
+def line_documents(lines: DataFrame, contexts: DataFrame, digits: int = 2) -> DataFrame:
+    """One nested record per line: its metrics and, in order, its contexts.
+
+    A line has at most two day types and 24 hours for each direction. Numbers
+    within the contexts are rounded here, as sinks round columns only.
+    """
+    keys = ["direction_ref", "day_type", "local_hour"]
+    values = sorted(c for c in contexts.columns if c not in (*keys, "line_ref", "line_name"))
+    rounded = round_doubles(contexts, digits)
+    listed = rounded.groupBy("line_ref").agg(F.sort_array(F.collect_list(F.struct(*keys, *values))).alias("contexts"))
+    return lines.join(listed, "line_ref", "left")
+
+
 # Columns each published table must carry.
 REQUIRED = {
     "meta": ("schema_version", "timezone", "bucket_mode", "quality_mode", "minimum_bucket_count"),

@@ -177,6 +177,36 @@ def json_round_trip(t: Tables) -> DataFrame:
     return t.observations.sparkSession.read.schema(schema).json(path)
 
 
+def line_documents(t: Tables) -> DataFrame:
+    """Lines published as nested records, read back whole, with a row for each context."""
+    path = f"{application_folder(t.observations.sparkSession)}/documents-{uuid.uuid4().hex}"
+    cube = materialise(rankings.delay_cube(buckets_of(t)), "delay_cube")
+    documents = publish.line_documents(publish.public_lines(cube, MIN), publish.public_contexts(cube, MIN))
+    write_json(documents, path, name="lines/documents", required=publish.REQUIRED["lines"])
+    back = t.observations.sparkSession.read.schema(documents.schema).json(path)
+    spread = back.select("line_ref", F.col("p90_delay_min").alias("line_p90_delay_min"), F.posexplode_outer("contexts"))
+    return spread.select("line_ref", "line_p90_delay_min", F.col("pos").alias("position"), "col.*")
+
+
+def publication_checks(t: Tables) -> DataFrame:
+    """What the contract finds in the published lines and contexts, and in the same rows with faults."""
+    cube = materialise(rankings.delay_cube(buckets_of(t)), "delay_cube")
+    few = F.col("bucket_count") % 2 == 0
+    faults = {
+        "version": ("schema_version", F.when(few, publish.SCHEMA_VERSION + 1).otherwise(publish.SCHEMA_VERSION)),
+        "number": ("p90_delay_min", F.when(few, float("nan")).otherwise(F.col("p90_delay_min"))),
+        "path": ("line_name", F.when(few, F.concat(F.lit("/srv/data/"), "line_name")).otherwise(F.col("line_name"))),
+    }
+    views = {}
+    for section, table in (("lines", publish.public_lines(cube, MIN)), ("contexts", publish.public_contexts(cube, MIN))):
+        good = table.withColumn("schema_version", F.lit(publish.SCHEMA_VERSION))
+        for fault, (column, value) in {"none": ("line_name", F.col("line_name")), **faults}.items():
+            rows = good.withColumn(column, value)
+            counts = publish.contract_counts(rows.schema, ["/srv/data/"])
+            views[f"{section}, {fault}"] = rows.agg(*[c.alias(n) for n, c in counts.items()])
+    return labelled_union(views, "check")
+
+
 def written_feeds(t: Tables) -> str:
     """Stops, routes and city parts as timetable folders and a CSV file, below a folder of their own."""
     root = new_folder(t.observations, "feeds")
@@ -472,6 +502,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "results_read_back": results_read_back,
     "csv_round_trip": csv_round_trip,
     "json_round_trip": json_round_trip,
+    "line_documents": line_documents,
+    "publication_checks": publication_checks,
     "feeds_read_back": feeds_read_back,
     "stops_asof_files": stops_asof_files,
     "stream_polls_once": stream_polls_once,

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from punctual.functions.values import round_doubles
-from punctual.operators.publish import SCHEMA_VERSION, validate_public
-from punctual.session import delete, materialise, written
+from punctual.operators.publish import SCHEMA_VERSION, check_counts, check_fields, contract_counts
+from punctual.session import delete, written
 
 
 def write_table(df: DataFrame, root: str, name: str, by_day: str | None = None) -> DataFrame:
@@ -65,12 +66,31 @@ def publishable(df: DataFrame, digits: int = 2) -> DataFrame:
 
 def write_json(
     df: DataFrame, path: str, *, name: str, required: Iterable[str] = (), local_paths: Iterable[str] = ()
-) -> None:
-    """Check the publication contract, then write JSON lines with NULLs kept.
+) -> dict[str, int]:
+    """Write JSON lines with NULLs kept and check the publication contract on the way; returns its counts.
 
-    The table is written once first: the check and the output both read it.
+    One job: the rows are counted as they are written, beside the target, and
+    the folder takes its name only if the counts allow it. A task that runs
+    twice can raise a count, but not from zero.
     """
-    versioned = df.withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    table = materialise(publishable(versioned), name.replace("/", "_"))
-    validate_public(name, table, required, local_paths)
-    table.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    table = publishable(df.withColumn("schema_version", F.lit(SCHEMA_VERSION)))
+    check_fields(name, table.schema, required)
+    return write_checked(table, path, name, local_paths)
+
+
+def write_checked(table: DataFrame, path: str, name: str, local_paths: Iterable[str] = ()) -> dict[str, int]:
+    spark, aside = table.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    seen = Observation(f"publish-{uuid.uuid4().hex}")
+    counts = [count.alias(key) for key, count in contract_counts(table.schema, local_paths).items()]
+    try:
+        table.observe(seen, *counts).write.option("ignoreNullFields", False).json(aside)
+        check_counts(name, seen.get)
+    except BaseException:
+        delete(spark, aside)
+        raise
+    delete(spark, path)
+    names = spark._jvm.org.apache.hadoop.fs
+    target = names.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).rename(names.Path(aside), target):
+        raise OSError(f"could not write {path}")
+    return seen.get

@@ -142,6 +142,30 @@ def test_json_is_sorted_rounded_and_utf8(spark, tmp_path):
     assert text == '{"a":null,"b":1.23,"day":"2026-04-23","name":"Ålesund","schema_version":1}\n'
 
 
+def test_checks_run_while_writing(spark, tmp_path):
+    """One job writes and counts; rows that break the contract leave nothing, not even beside the target."""
+    good = spark.range(40).select((F.col("id") * 1.5).alias("n"), F.lit(1).alias("schema_version"))
+    faults = {
+        "unsupported schema version": good.withColumn("schema_version", F.when(F.col("n") > 50, 2).otherwise(1)),
+        "non-finite": good.withColumn("n", F.when(F.col("n") > 50, float("nan")).otherwise(F.col("n"))),
+        "local paths": good.withColumn("rows", F.array(F.struct(F.lit("/srv/data/x").alias("file")))),
+    }
+    for message, bad in faults.items():
+        with pytest.raises(ValueError, match=message):
+            sinks.write_checked(bad, str(tmp_path / "out"), "bad", ["/srv/data"])
+    assert os.listdir(tmp_path) == []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("publish", "one section")
+    counts = sinks.write_json(good, str(tmp_path / "out"), name="out")
+    jobs = len(tracker.getJobIdsForGroup("publish"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs == 1 and counts["row_count"] == 40 and os.listdir(tmp_path) == ["out"]
+    with pytest.raises(ValueError, match="non-finite"):
+        sinks.write_json(faults["non-finite"], str(tmp_path / "out"), name="out")
+    assert spark.read.json(str(tmp_path / "out")).count() == 40
+    assert sinks.write_json(good.filter("false"), str(tmp_path / "empty"), name="empty")["row_count"] == 0
+
+
 def test_csv_and_labelled_views(spark, tmp_path):
     late, early = spark.sql("select 1 as a, 2.345D as b"), spark.sql("select 1 as a, 'x' as c")
     both = sinks.labelled_union({"late": late, "early": early})
