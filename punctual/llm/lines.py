@@ -61,8 +61,8 @@ def strip_boilerplate(
 
     A line is what stands between newlines, compared without leading and trailing spaces, tabs and
     carriage returns. One that stands on min_sites or more distinct sites is boilerplate: its first
-    occurrence, by id and position, stays, all others go. Blank lines are never boilerplate. NULL is a
-    site of its own. A NULL id comes before all others. A NULL text stays NULL with NULL counts, an
+    occurrence, by id and position, stays, all others go. Blank lines are never boilerplate. NULL and the
+    empty text are one site. A NULL id comes before all others. A NULL text stays NULL with NULL counts, an
     empty text is one blank line. Repeated rows of one id and text get the same output. An empty table
     gives an empty table; columns are only read through the three names given.
     """
