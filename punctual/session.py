@@ -90,11 +90,12 @@ def written(df: DataFrame, path: str, by_day: str | None = None) -> DataFrame:
     range of days reads its own files only; a day too large for one task is
     rebalanced over several.
     """
+    stored = df.sparkSession.read.schema(df.schema)
     if by_day is None:
         df.write.mode("overwrite").parquet(path)
-    else:
-        df.hint("rebalance", F.col(by_day)).write.mode("overwrite").partitionBy(by_day).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+        return stored.parquet(path)
+    df.hint("rebalance", F.col(by_day)).write.mode("overwrite").partitionBy(by_day).parquet(path)
+    return stored.parquet(path).select(*df.columns)
 
 
 def materialise(df: DataFrame, name: str, by_day: str | None = None) -> DataFrame:
