@@ -3,13 +3,16 @@
 Every vector is described by the ordered list of its nearest reference points (pivots). Inverted lists,
 one for each label and pivot, hold the vectors that have the pivot among their first PREFIX. Two vectors
 are compared if they share at least SHARED pivots; the list of the smallest pivot they share does it, so
-that a pair is counted once. Candidates are verified by their cosine in double precision.
+that a pair is counted once. A list that is too long is replaced by lists of two pivots, and then of
+SHARED, which hold the same pairs: a vector stands in C(PREFIX, SHARED) lists at most, however many rows
+there are. Candidates are verified by their cosine in double precision.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ PREFIX, SHARED = 8, 3
 SAMPLE, MOST_PIVOTS = 8192, 4096
 #: Pivots are no nearer to each other than this cosine, so that a dense cluster has one.
 APART = 0.9
-#: Members of a list that are compared in one task.
+#: Members of a list that are compared in one task; longer lists are split by the next pivot.
 BLOCK = 2048
 
 
@@ -61,7 +64,7 @@ def _describer(pivots: dict[int, np.ndarray]):
                 points = pivots.get(int(d))
                 if points is None or not len(points):
                     # A length that the sample has not met: one list for all of its vectors.
-                    prefix[rows, :] = np.arange(PREFIX)
+                    prefix[rows, 0] = 0
                     continue
                 near = found @ points.T
                 k = min(PREFIX, near.shape[1])
@@ -88,17 +91,20 @@ def _block_links(threshold: float):
     """For the vectors of a block, or of two, of one list: links found here, and the smallest id reached by them."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, copies, side, pivot = (group.column(c).to_numpy() for c in ("id", "n", "side", "pivot"))
+        ids, copies, side = (group.column(c).to_numpy() for c in ("id", "n", "side"))
+        key = group.column("key")[0].as_py()
+        lengths = group.column("pivots").combine_chunks().value_lengths().to_numpy()
+        flat = np.asarray(group.column("pivots").combine_chunks().flatten())
+        known, code = np.unique(flat, return_inverse=True)
+        ones = np.zeros((len(ids), len(known)), np.float32)
+        ones[np.repeat(np.arange(len(ids)), lengths), code] = 1
+        # The key must be the smallest pivots that a pair shares: any other smaller one makes it another list's.
+        smaller = ones[:, (known < key[-1]) & ~np.isin(known, key)]
+        if (smaller.sum(axis=0) == len(ids)).any():
+            return pa.table({"id": ids[:0], "links": np.zeros(0, np.int64), "root": ids[:0]})
         unit = matrix(group.column("vec"))
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-        prefix = np.asarray(group.column("prefix").combine_chunks().flatten()).reshape(len(ids), PREFIX)
-        known, code = np.unique(prefix, return_inverse=True)
-        code = code.reshape(prefix.shape)
-        ones = np.zeros((len(ids), len(known)), np.float32)
-        np.put_along_axis(ones, code, 1, axis=1)
-        ones[:, known < 0] = 0
-        smaller = ones[:, known < pivot[0]]
-        needed = min(SHARED, int((known >= 0).sum()))
+        needed = min(SHARED, len(known))
         linked = (ones @ ones.T >= needed) & (smaller @ smaller.T == 0)
         if side.min() != side.max():
             linked &= side[:, None] != side[None, :]
@@ -117,6 +123,59 @@ def _block_links(threshold: float):
     return run
 
 
+def _lists(heads: DataFrame) -> DataFrame:
+    """Heads in the lists of their pivots: key (pivots of the list) and at (place of its last pivot, from 0).
+
+    The smallest of `needed` shared pivots has as many after it, so the last places open no list.
+    """
+    last = F.size("pivots") - F.col("needed")
+    return heads.withColumn("at", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "key", F.array(F.get("pivots", F.col("at")))
+    )
+
+
+def _split(listed: DataFrame) -> DataFrame:
+    """The same members in lists of one pivot more, if the pairs that count share one more."""
+    depth = F.size("key")
+    more = depth < F.col("needed")
+    places = F.when(more, F.sequence(F.col("at") + 1, F.size("pivots") - F.col("needed") + depth))
+    moved = listed.withColumn("to", F.explode(F.coalesce(places, F.array("at"))))
+    key = F.when(more, F.array_append("key", F.get("pivots", F.col("to")))).otherwise(F.col("key"))
+    return moved.withColumn("key", key).withColumn("at", F.col("to")).drop("to")
+
+
+def _blocked(heads: DataFrame) -> DataFrame:
+    """Members of lists, each in the blocks (low, high) of its list that it meets, one if the list is short.
+
+    A list of more than BLOCK members is split by the next pivot until its key has all the pivots that a pair
+    must share. What is still longer are vectors alike, which meet block by block. Long lists in which all
+    members share a smaller pivot outside the key have no pair of their own and are dropped.
+    """
+    lists = ["label", "dim", "key"]
+    listed, done = stored(_lists(heads), "postings"), []
+    for depth in range(1, SHARED + 1):
+        other = F.when(F.col("at") >= F.size("key"), F.get(F.array_except("pivots", "key"), F.lit(0)))
+        sizes = listed.withColumn("other", other).groupBy(*lists).agg(
+            F.count("*").alias("members"),
+            (F.coalesce(F.min("other") == F.max("other"), F.lit(False)) & (F.count("other") == F.count("*"))).alias("dead"),
+        )
+        long = stored(sizes.where(F.col("members") > BLOCK), "long-lists")
+        if long.isEmpty():
+            done.append(listed.withColumn("blocks", F.lit(1)))
+            break
+        marked = salted_left_join(listed, long, lists, "id").where(~F.coalesce("dead", F.lit(False))).drop("dead")
+        if depth == SHARED:
+            blocks = F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
+            done.append(marked.withColumn("blocks", blocks).drop("members"))
+        else:
+            done.append(marked.where("members is null").drop("members").withColumn("blocks", F.lit(1)))
+            listed = stored(_split(marked.where("members is not null").drop("members")), "postings")
+    placed = reduce(DataFrame.unionByName, done)
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+
+
 def near_vectors(
     table: DataFrame,
     id_col: str = "vec_id",
@@ -134,7 +193,8 @@ def near_vectors(
     graph, and each counts as a row. Other columns are not read; an empty table gives no rows.
 
     The pivots are the only bounded part: they are chosen from about SAMPLE rows. Every row is indexed.
-    Lists longer than BLOCK are compared block by block; each task returns sums, never pairs.
+    Lists longer than BLOCK are split by further shared pivots; only vectors that share SHARED pivots with more
+    than BLOCK others meet them block by block. Each task returns sums, never pairs.
     """
     kind = dict(table.dtypes)[vector_col]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -156,18 +216,11 @@ def near_vectors(
     # One row stands for a class, also where rows repeat.
     alone = named.where("rep is null").withColumn("n", F.lit(1).cast("long"))
     many = named.where("rep = id").dropDuplicates(["label", "digest"])
-    heads = alone.unionByName(many).select("id", "label", "vec", "prefix", "n", F.size("vec").alias("dim"))
-    listed = heads.withColumn("pivot", F.explode("prefix")).where("pivot >= 0")
-    listed = stored(listed, "postings")
-
-    lists = ["label", "dim", "pivot"]
-    sizes = listed.groupBy(*lists).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = salted_left_join(listed, sizes.where("blocks > 1"), lists, "id")
-    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
-    found = placed.groupBy(*lists, "low", "high").applyInArrow(_block_links(threshold), "id long, links long, root long")
+    heads = alone.unionByName(many).select(
+        "id", "label", "vec", "n", F.size("vec").alias("dim"), F.array_sort(F.filter("prefix", lambda p: p >= 0)).alias("pivots")
+    )
+    placed = _blocked(heads.withColumn("needed", F.least(F.size("pivots"), F.lit(SHARED))))
+    found = placed.groupBy("label", "dim", "key", "low", "high").applyInArrow(_block_links(threshold), "id long, links long, root long")
     found = stored(found, "vector-links")
 
     comp = components(found, "id", "root", "vector-components")

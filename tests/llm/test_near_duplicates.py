@@ -175,3 +175,40 @@ def test_block_comparison_of_very_long_texts_is_exact():
     assert minhash._block_links(1, percent)(pa.table(rows)).num_rows == 0
     rows["_text"][1] = " ".join(shared + own[:-1])
     assert minhash._block_links(1, percent)(pa.table(rows)).num_rows == 1
+
+
+@pytest.mark.parametrize("block", [4, 24])
+def test_long_lists_are_split_by_further_pivots(spark, monkeypatch, block):
+    """With long lists at every depth, links are those of all pairs, and a pair is counted in one list only."""
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    test_vectors_against_all_pairs(spark)
+
+
+def test_lists_of_pairs_and_triples_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 5)
+    rng = np.random.default_rng(4)
+    sets = [sorted(rng.choice(12, 8, replace=False).tolist()) for _ in range(60)]
+    rows = [(i, "a", 4, s, 3) for i, s in enumerate(sets)]
+    heads = spark.createDataFrame(rows, "id long, label string, dim int, pivots array<int>, needed int")
+    placed = pivots._blocked(heads).select("id", "key", "pivots", "low", "high", "side").collect()
+    lists = {}
+    for r in placed:
+        lists.setdefault((tuple(r.key), r.low, r.high), []).append(r)
+    assert max(len(key) for key, _, _ in lists) == 3
+    counts = {}
+    for (key, low, high), members in lists.items():
+        for a in members:
+            for b in members:
+                shared = sorted(set(a.pivots) & set(b.pivots))
+                if a.id < b.id and {a.side, b.side} == {low, high} and len(shared) >= 3 and shared[: len(key)] == list(key):
+                    counts[a.id, b.id] = counts.get((a.id, b.id), 0) + 1
+    assert counts == {
+        (i, j): 1 for i in range(60) for j in range(i + 1, 60) if len(set(sets[i]) & set(sets[j])) >= 3
+    }
+
+
+def test_vectors_with_null_ids_and_clashing_columns(spark):
+    rows = [(5, [1.0, 2.0], 1, 9, 9), (None, [1.0, 2.0], 1, 9, 9), (7, [1.0, 2.001], 1, 9, 9), (8, [2.0, -1.0], 1, 9, 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, links long, root long")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(table).collect())
+    assert got == [(-1, 0, None, True), (5, 1, 5, True), (7, 1, 5, False), (8, 0, 8, True)]
