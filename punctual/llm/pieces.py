@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words, and characters in them, that a task remembers before it starts anew.
 MEMO_WORDS, MEMO_CHARS = 400_000, 16_000_000
+#: Positions of a word that are held until ids that no longer change are emitted.
+WINDOW = 1 << 16
 
 
 class _Memo(dict):
@@ -65,6 +68,7 @@ class PieceCodec:
                 spoken.append(piece.replace(SPACE, " ").encode())
         automaton.make_automaton()
         self.automaton, self.by_words = automaton, not inner
+        self.longest = max(length for length, _, _ in automaton.values())
         self.unknown_score = min(scores) - UNKNOWN_PENALTY
         self.spoken_bounds = np.concatenate([[0], np.cumsum([len(s) for s in spoken])])
         self.spoken = np.frombuffer(b"".join(spoken), np.uint8)
@@ -75,41 +79,69 @@ class PieceCodec:
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def segment(self, text: str) -> list[int]:
-        """Ids of the best segmentation; of equal ones, that whose last piece is longest, and so on."""
-        n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+        """Ids of the best segmentation; of equal ones, that whose last piece is longest, and so on.
+
+        Positions count from `base`. When `room` of them are used, what all segmentations still open have in
+        common is emitted and base moves on, so a word of any length takes little memory.
+        """
+        n, base, out = len(text), 0, []
+        room = min(n, WINDOW)
+        best, back = [0.0] + [-np.inf] * room, [(0, -1)] * (room + 1)
         done, single = 0, False
-        for at, (length, score, i) in self.automaton.iter(text):
-            end = at + 1
+        # After the last match, one that changes nothing at the end of the text.
+        for at, (length, score, i) in chain(self.automaton.iter(text), [(n - 1, (0, -np.inf, -1))]):
+            end = at + 1 - base
+            while end > room:
+                while done < room:
+                    done = self._close(done, single, best, back)
+                    single = False
+                common = self._common(done, back)
+                out += self._ids(text, base, common, back)
+                base, end, done = base + common, end - common, done - common
+                room = min(n - base, done + WINDOW)
+                best = best[common:] + [-np.inf] * (room - done)
+                back = back[common:] + [(0, -1)] * (room - done)
             while done < end - 1:
                 # Positions passed: a character that is no piece by itself may be unknown.
                 done = self._close(done, single, best, back)
                 single = False
-            start = end - length
-            total = best[start] + score
+            total = best[end - length] + score
             if total > best[end]:
-                best[end], back[end] = total, (start, i)
+                best[end], back[end] = total, (length, i)
             single = single or length == 1
-        while done < n:
+        while done < n - base:
             done = self._close(done, single, best, back)
             single = False
-        out, end = [], n
+        return out + self._ids(text, base, done, back)
+
+    def _close(self, done: int, single: bool, best: list, back: list) -> int:
+        end = done + 1
+        if not single and best[done] + self.unknown_score > best[end]:
+            best[end], back[end] = best[done] + self.unknown_score, (1, -1)
+        return end
+
+    def _common(self, done: int, back: list) -> int:
+        """The last position on the best ways to all positions where a piece that ends after `done` may start."""
+        ways = set(range(max(0, done - self.longest), done + 1))
+        while len(ways) > 1:
+            latest = max(ways)
+            ways.remove(latest)
+            ways.add(latest - back[latest][0])
+        return ways.pop()
+
+    def _ids(self, text: str, base: int, end: int, back: list) -> list[int]:
+        """Ids of the best way from base to the position `end` after it."""
+        out = []
         while end:
-            start, i = back[end]
+            length, i = back[end]
             if i >= 0:
                 out.append(i)
             else:
-                raw = self.bytes[list(text[start:end].encode())]
+                raw = self.bytes[list(text[base + end - 1].encode())]
                 out.extend(raw[::-1].tolist() if (raw >= 0).all() else [self.unknown])
-            end = start
+            end -= length
         return out[::-1]
 
-    def _close(self, done: int, single: bool, best: list, back: list) -> int:
-        end = done + 1
-        if not single and best[done] + self.unknown_score > best[end]:
-            best[end], back[end] = best[done] + self.unknown_score, (done, -1)
-        return end
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """None and the empty text have no ids. A space is put before every other text."""
         if len(self.memo) > MEMO_WORDS or self.chars > MEMO_CHARS:
@@ -199,6 +231,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     no piece has become byte pieces, or the unknown id in vocabularies without them (then round_trip is
     false). U+2581 stands for a space and decodes to one. NULL and empty texts have no ids. Rows are
     independent: repeated and NULL ids are kept. An empty table gives no rows; other columns are not read.
+    A very long text takes some 30 bytes a character of one task's memory, also if it holds no space.
     """
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()

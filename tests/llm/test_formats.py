@@ -6,6 +6,7 @@ import hashlib
 import io
 import json
 import random
+import tracemalloc
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -171,6 +172,32 @@ def test_segmentation_is_the_best_one():
         assert codec.decode(ids, bounds) == [text]
 
 
+@pytest.mark.parametrize("window", [1, 7, 1000])
+@pytest.mark.parametrize("letters", ["a", "ab", "the of and", "日本語の文章をé", "aaab=\U0001f642"])
+def test_long_words_in_windows(monkeypatch, window, letters):
+    """Ids do not depend on where a long word is cut, and have the best score of any segmentation."""
+    codec, rng = pieces.codec(queries.PIECE_VOCABULARY), random.Random(window)
+    for n in (1, 2, 60, 3000):
+        text = pieces.SPACE + "".join(rng.choices(letters, k=n)).replace(" ", pieces.SPACE)
+        monkeypatch.setattr(pieces, "WINDOW", 1 << 30)
+        whole = codec.segment(text)
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        assert codec.segment(text) == whole
+
+
+def test_a_very_long_word_decodes_and_takes_bounded_memory():
+    codec = pieces.codec(queries.PIECE_VOCABULARY)
+    text = "".join(random.Random(2).choices("abcdefgh日本語é=", k=300_000))
+    ids, bounds = codec.encode([text])
+    assert codec.decode(ids, bounds) == [text]
+    tracemalloc.start()
+    short = codec.segment(text[: 1 << 17])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 65,536 positions are held, whatever the length; the ids found are the rest.
+    assert held < 144 * pieces.WINDOW + 64 * len(short)
+
+
 def test_pieces_decode_to_the_text(spark):
     rows = [(i, t) for i, t in enumerate(ODD + [None, "y " * 50_000])] + [(None, "z"), (3, ODD[3])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids int")

@@ -189,6 +189,22 @@ def test_quality_without_two_classes(spark, labels, share):
     assert quality.score_documents(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    rows, labels = quality_rows(200, 2)
+    columns = "doc_id long, text string, row long, score double, label int, held_out int, predicted int"
+    table = spark.createDataFrame([(*r, 7, -1.0, i % 2, 3, 4) for i, r in enumerate(rows + rows[:20])], columns)
+    marks = spark.createDataFrame([(*r, "x") for r in labels + labels[:20]], "doc_id long, quality int, text string")
+    got = quality.score_documents(table, marks).collect()
+    assert len(got) == 220 and {(r.row.row, r.row.score, r.row.held_out, r.row.predicted) for r in got} == {(7, -1.0, 3, 4)}
+    scores = {}
+    for r in got:
+        scores.setdefault(r.row.doc_id, set()).add((r.score, r.held_out, r.predicted))
+    assert len(scores) == 200 and all(len(own) == 1 for own in scores.values())
+    truth = dict(labels)
+    held = [(d, own) for d, own in scores.items() if d in truth and next(iter(own))[1]]
+    assert held and np.mean([next(iter(own))[2] == truth[d] for d, own in held]) >= 0.9
+
+
 def test_descent_reaches_the_optimum():
     """The dual solution satisfies the optimality conditions of the hinge-loss problem."""
     rng = np.random.default_rng(0)
