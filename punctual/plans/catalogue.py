@@ -16,7 +16,7 @@ from punctual.plans.replay import Replay, new_folder
 from punctual.plans.tables import Tables
 from punctual.session import application_folder, materialise
 from punctual.sources import gtfs
-from punctual.sources.colocated import write_colocated
+from punctual.sources.colocated import write_colocated, write_poll_times
 from punctual.sources.readers import read_result, source_summary
 from punctual.sources.sinks import labelled_union, write_csv, write_csv_file, write_json, write_tables
 from punctual.streaming import polls as streams
@@ -353,6 +353,12 @@ def stream_polls_once(t: Tables) -> DataFrame:
     return streams.drain(stream, f"{folder}/rows", f"{folder}/checkpoint")[0]
 
 
+def poll_times(t: Tables) -> DataFrame:
+    """Polls by id, written once for all batches of a stream."""
+    spark, name = t.polls.sparkSession, f"poll_times_{uuid.uuid4().hex}"
+    return write_poll_times(t.polls, f"{application_folder(spark)}/{name}", name, streams.state_partitions(spark))
+
+
 def stream_quality_rows(t: Tables) -> DataFrame:
     """Quality of observations as they arrive, stopped half-way and gone on with from the checkpoint."""
     replay, folder = Replay(t.observations, "created_at_utc"), new_folder(t.observations, "quality")
@@ -365,7 +371,7 @@ def stream_quality_rows(t: Tables) -> DataFrame:
 def stream_line_hours(t: Tables) -> DataFrame:
     """Metrics by line and hour of the day over the hours that a stream has closed."""
     replay, folder = Replay(t.observations, "created_at_utc").deliver(), new_folder(t.observations, "hours")
-    counted = streams.hour_histogram(streams.flagged(replay.stream(), t.polls), replay.lateness)
+    counted = streams.hour_histogram(streams.flagged(replay.stream(), poll_times(t)), replay.lateness)
     closed, _ = streams.drain(counted, f"{folder}/rows", f"{folder}/checkpoint")
     return dashboard.line_hour_metrics(streams.with_hour_calendar(closed), MIN)
 

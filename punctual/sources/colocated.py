@@ -37,3 +37,15 @@ def write_colocated(
         placed = table.repartition(buckets, key, POLL_PART).write.mode("overwrite").format("parquet")
         placed.option("path", f"{root}/{kind}").bucketBy(buckets, key, POLL_PART).saveAsTable(f"{name}_{kind}")
     return spark.table(f"{name}_observations"), spark.table(f"{name}_polls")
+
+
+def write_poll_times(polls: DataFrame, root: str, name: str, buckets: int) -> DataFrame:
+    """Write the table `name`, ids and collection times of polls, bucketed by id, with its files in `root`.
+
+    For joins that come again and again, as one in every batch of a stream: the polls are neither worked
+    out nor shuffled again there, if `buckets` are no fewer than that query's shuffle partitions.
+    """
+    timed = polls.filter(F.col("id").isNotNull()).select("id", "collected_at_utc")
+    placed = timed.repartition(buckets, "id").write.mode("overwrite").format("parquet")
+    placed.option("path", root).bucketBy(buckets, "id").saveAsTable(name)
+    return polls.sparkSession.table(name)

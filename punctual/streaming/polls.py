@@ -30,22 +30,39 @@ def arriving(spark: SparkSession, folder: str, schema: T.StructType, files_per_b
     return reader.parquet(folder)
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state: one for each core, 8 at least, and never more than a shuffle has.
+
+    Each is a store of its own, with files to write for every batch however few rows came, so a number
+    that suits a shuffle of all rows costs more than the rows of one batch.
+    """
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(shuffled, max(8, spark.sparkContext.defaultParallelism))
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, list]:
     """Append all that has arrived to a table; (the table, the progress of each batch).
 
     Another call with the same checkpoint goes on where this one ended. Read through the table's own
     log, files of batches that failed half-way do not count.
     """
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    # A query takes the settings as they are when it starts; its checkpoint keeps the partitions for good.
+    spark, name = stream.sparkSession, "spark.sql.shuffle.partitions"
+    shuffled = spark.conf.get(name)
+    spark.conf.set(name, str(state_partitions(spark)))
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(name, shuffled)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path), query.recentProgress
+    return spark.read.schema(stream.schema).parquet(path), query.recentProgress
 
 
 def once(stream: DataFrame, time: str, lateness: str, key: str = "id") -> DataFrame:

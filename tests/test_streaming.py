@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from punctual.operators import buckets, collector, dashboard, quality
+from punctual.plans import catalogue
 from punctual.plans.adapter import tables
 from punctual.plans.replay import Replay, new_folder
+from punctual.plans.tables import Tables
 from punctual.schemas import POLL_SCHEMA
 from punctual.streaming import polls as streams
 from tests.conftest import utc
@@ -85,6 +87,31 @@ def test_closed_hours_have_the_batch_metrics(driver):
     assert all(p.stateOperators[0].numRowsTotal < rows.count() for p in progress)
 
 
+def test_state_follows_the_cores_not_the_shuffles(spark, driver):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        replay = Replay(driver.polls, "attempted_at_utc", 3).deliver()
+        found, progress = drained(streams.once(replay.stream(), "attempted_at_utc", replay.lateness))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {p.stateOperators[0].numShufflePartitions for p in progress} == {max(8, spark.sparkContext.defaultParallelism)}
+    assert rows_of(found) == rows_of(driver.polls)
+
+
+def test_polls_written_once_are_not_moved_in_a_batch(spark, driver):
+    known = driver.polls.unionByName(driver.polls.limit(2).withColumn("id", F.lit(None).cast("long")))
+    known = known.unionByName(driver.polls.where("id % 10 = 4"))
+    stored = catalogue.poll_times(Tables(driver.observations, polls=known))
+    hinted = driver.observations.hint("merge")
+    plan = quality.quality_rows(hinted, stored)._jdf.queryExecution().sparkPlan().toString()
+    prepared = quality.quality_rows(hinted, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and prepared.count("Exchange hashpartitioning") == 1
+    wanted = quality.quality_rows(driver.observations, known)
+    assert rows_of(quality.quality_rows(driver.observations, stored)) == rows_of(wanted)
+
+
 def polls_of(rng, source, n):
     at, rows = START, []
     for _ in range(n):
