@@ -361,10 +361,11 @@ def poll_times(t: Tables) -> DataFrame:
 
 def stream_quality_rows(t: Tables) -> DataFrame:
     """Quality of observations as they arrive, stopped half-way and gone on with from the checkpoint."""
+    polls = poll_times(t)
     replay, folder = Replay(t.observations, "created_at_utc"), new_folder(t.observations, "quality")
     for until in (replay.slices // 2, None):
         arrived = streams.once(replay.deliver(until).stream(), "created_at_utc", replay.lateness)
-        rows, _ = streams.drain(streams.flagged(arrived, t.polls), f"{folder}/rows", f"{folder}/checkpoint")
+        rows, _ = streams.drain(streams.flagged(arrived, polls), f"{folder}/rows", f"{folder}/checkpoint")
     return quality_columns(rows)
 
 
