@@ -1,14 +1,15 @@
 """Token-id files: ids of documents in ascending order, packed by an adaptive context-mixing range coder.
 
-A block of ids is coded from its own ids only. The last two ids, and the last one, each predict an id
-through a small table with confidences; the mixture of both, learnt as the block goes, shares out the
-coder's range between "as order 2 says", "as order 1 says" and neither. An id that neither predicts is
-coded by order-0 frequencies of its high and low byte. All blocks of a file run side by side, one array
-element each, in whole-number arithmetic, so that every machine decodes the same.
+The blocks of a file run side by side, one array element each, and learn together: what one step tells
+of all blocks is known to all in the next. The last two ids, and the last one, each predict an id through a
+table with confidences; the mixture of both, learnt as the blocks go, shares out the coder's range between
+"as order 2 says", "as order 1 says" and neither. An id that neither predicts is coded by order-0
+frequencies of such ids. Arithmetic is in whole numbers, so that every machine decodes the same.
 
 File, little-endian: magic, version, ids per block, number of documents and ids; for each document its
 id, whether it has one, and its number of ids; for each block its number of ids and words, the CRC-32 of
-its ids and of its words; the CRC-32 of all that; then the words of the blocks.
+its ids and of its words; the CRC-32 of all that; then the words of the blocks. Blocks are decoded in
+groups of 8,192, as they were coded.
 """
 
 from __future__ import annotations
@@ -27,202 +28,217 @@ from punctual.llm.storage import dealt, freeing, new_folder, stored
 from punctual.llm.tokens import encoder, text_groups
 from punctual.llm.warczip import _open
 
-MAGIC, VERSION = b"PIDF", 1
+MAGIC, VERSION = b"PIDF", 2
 BLOCK_IDS = 1024
 #: Ids after which a file ends (with the document that reaches it), and blocks coded side by side.
-FILE_IDS, LANES = 1 << 23, 2048
+FILE_IDS, LANES = 1 << 23, 8192
 END_ID = 1
-U = np.uint64
-_BITS = 12
-_ONE = 1 << _BITS
-_TABLE = 9
-#: Shares of the range, of 2^16, that learning tends to.
-_SURE, _NEVER = np.int32(64000), np.int32(64)
+#: Ids that there may be, bits of the table of order 2, how sure a prediction can be.
+_IDS, _TABLE, _SURE = 1 << 16, 16, 15
+#: Parts of the range for the predictions, and of each of these for the ids.
+_ONE, _SLOTS = 1 << 12, 1 << 18
+#: The coder's numbers are whole and below 2^48, exact as floats, which are divided faster than integers.
+_TOP, _LEAST, _WORD, _SHARE = float(1 << 48), float(1 << 32), float(1 << 16), 1 / (_ONE * _SLOTS)
 _HEAD = struct.Struct("<4sIIQQ")
 
 
 class _Mixer:
-    """Predictions for one id of every lane, and what they learn from it."""
+    """What the ids coded so far, of all blocks side by side, say about the next id of each block."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes) << _TABLE
-        self.order2, self.order1 = (np.zeros(lanes << _TABLE, np.uint32) for _ in range(2))
-        self.share2, self.share1 = (np.full(lanes * 32, 1 << 14, np.int32) for _ in range(2))
-        self.row32 = np.arange(lanes) * 32
+        # A prediction and how sure it is (four bits), for each last id and for each hash of the last two.
+        self.order1, self.order2 = np.zeros(_IDS, np.int32), np.zeros(1 << _TABLE, np.int32)
         self.last = np.zeros((2, lanes), np.int64)
-
-    def predict(self, n: int):
-        """Two ids for each of the first n lanes, and the shares of the range that they get."""
+        self.seen, self.counts = _PRIOR.copy(), np.zeros(_IDS + 1, np.int64)
+        self.fresh: list[np.ndarray] = []
+
+    def _order0(self) -> None:
+        """Places of the ids, in 2^18, by how often they came unpredicted; every id has one."""
+        if self.fresh:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=_IDS + 1)
+            self.fresh = []
+        counts = self.counts[:_IDS]
+        size = 1 + counts * (_SLOTS - _IDS) // max(int(counts.sum()), 1)
+        # What rounding left goes to the most frequent id.
+        size[size.argmax()] += _SLOTS - size.sum()
+        self.value = np.repeat(np.arange(_IDS, dtype=np.uint16), size)
+        # The last element stands for predicted ids, which need no place.
+        # Begin and size in one array element: one look-up instead of two.
+        self.places = np.empty(_IDS + 1, np.complex64)
+        self.places.real, self.places.imag = np.append(np.cumsum(size) - size, 0), np.append(size, _SLOTS)
+
+    def _mix(self) -> None:
+        """How the range is shared out in each context: order 2 first, then order 1, then the rest."""
+        total = self.seen.sum(axis=1)
+        f2 = np.clip(self.seen[:, 0] * _ONE // total, 1, _ONE - 2)
+        f1 = np.clip(self.seen[:, 1] * _ONE // total, 1, _ONE - 1 - f2)
+        self.end2, self.end1 = (f2 * _SLOTS).astype(float), ((f2 + f1) * _SLOTS).astype(float)
+        begin = np.stack([0 * f2, f2, f2 + f1, 0 * f2], axis=1) * _SLOTS
+        self.part_begin, self.part_size = (x.astype(float).reshape(-1) for x in (begin, np.stack([f2, f1, _ONE - f2 - f1, f2], axis=1)))
+
+    def predict(self, n: int, step: int) -> np.ndarray:
+        """Two ids for each of the first n blocks; the contexts, in which shares of the range are learnt."""
+        if step & (step - 1) == 0 or step % 128 == 0:
+            self._order0()
+        if step < 32 or step % 16 == 0:
+            self._mix()
+        self.step = step
         a, b = self.last[0, :n], self.last[1, :n]
-        mask = (1 << _TABLE) - 1
-        self.at1 = self.row[:n] + ((a * 0x9E3779B1 >> 8) & mask)
-        self.at2 = self.row[:n] + (((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 9) & mask)
-        self.entry1, self.entry2 = self.order1[self.at1], self.order2[self.at2]
-        self.id1, self.id2 = self.entry1 >> 2, self.entry2 >> 2
-        context = ((self.entry2 & 3) << 3) | ((self.entry1 & 3) << 1) | (self.id1 == self.id2)
-        self.context = self.row32[:n] + context
-        self.p2, self.p1 = self.share2[self.context], self.share1[self.context]
-        f2 = np.maximum(self.p2 >> 4, 1)
-        f1 = np.maximum((_ONE - f2) * self.p1 >> 16, 1)
-        return f2, f1
-
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """hit1 counts only where order 2 was wrong. Shares stay inside (0, 1)."""
-        self.share2[self.context] = self.p2 + ((np.where(hit2, _SURE, _NEVER) - self.p2) >> 5)
-        self.share1[self.context] = self.p1 + (((np.where(hit1, _SURE, _NEVER) - self.p1) >> 5) * ~hit2)
-        fresh = (ids << 2).astype(np.uint32)
-        for table, at, entry, own in ((self.order2, self.at2, self.entry2, self.id2), (self.order1, self.at1, self.entry1, self.id1)):
-            weak = entry & 3
-            right = entry + (weak < 3)
-            table[at] = np.where(own == ids, right, np.where(weak > 0, entry - 1, fresh))
+        self.at1, self.at2 = a, ((a * 0x9E3779B1 >> 20) ^ b) & ((1 << _TABLE) - 1)
+        self.entry1, self.entry2 = self.order1.take(a, mode="clip"), self.order2.take(self.at2, mode="clip")
+        self.id1, self.id2 = self.entry1 >> 4, self.entry2 >> 4
+        context = ((self.entry2 & _SURE) << 5) | ((self.entry1 & _SURE) << 1)
+        context += self.id1 == self.id2
+        return context.astype(np.int64)
+
+    def place(self, part: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length, in 2^30, of the parts of the range: which prediction was right, and else the id."""
+        size, places = self.part_size.take(part, mode="clip"), self.places.take(coded, mode="clip")
+        begin = places.real * size
+        begin += self.part_begin.take(part, mode="clip")
+        size *= places.imag
+        return begin, size
+
+    def learn(self, n: int, ids: np.ndarray, part: np.ndarray, coded: np.ndarray) -> None:
+        """A prediction that was wrong loses half of its sureness, or its place to the id that came."""
+        # Later on every fourth step tells enough.
+        if self.step < 64 or self.step % 4 == 0:
+            self.seen.reshape(-1)[:] += np.bincount(part, minlength=self.seen.size)
+            self.fresh.append(coded)
+        new = ids.astype(np.int32) << 4
+        for table, at, entry, (kept, change) in ((self.order2, self.at2, self.entry2, _LEARN2), (self.order1, self.at1, self.entry1, _LEARN1)):
+            entry ^= new
+            entry &= kept.take(part, mode="clip")
+            entry ^= new
+            entry += change.take(part, mode="clip")
+            # Of blocks that meet in an element the last one counts.
+            table[at] = entry
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
 
-class _Bytes:
-    """Order-0 frequencies of one byte of the ids; the coder's tables follow the counts from time to time."""
-
-    def __init__(self, lanes: int, decoding: bool):
-        self.counts = np.ones((lanes, 256), np.int32)
-        self.row, self.decoding = np.arange(lanes) * 256, decoding
-        self.refresh()
+def _learning() -> tuple[np.ndarray, tuple, tuple]:
+    """For each part (context, which prediction was right): numbers to begin with, and what happens to both predictions."""
+    context = np.arange(512)
+    sure2, sure1, same = context >> 5, context >> 1 & _SURE, context & 1
+    prior = np.stack([1 + 2 * sure2, 1 + (1 - same) * sure1 * (_SURE - sure2) // 8, 31 - 2 * np.maximum(sure2, sure1), 0 * context], axis=1)
+    nothing = np.zeros(512, bool)
 
-    def refresh(self) -> None:
-        share = 1 + self.counts * np.int64(_ONE - 256) // self.counts.sum(axis=1, keepdims=True)
-        # What rounding left goes to the most frequent value.
-        share[np.arange(len(share)), share.argmax(axis=1)] += _ONE - share.sum(axis=1)
-        # Both of a value's numbers in one array element: one look-up instead of two.
-        self.both = (((np.cumsum(share, axis=1) - share) << 16) | share).astype(np.uint32).reshape(-1)
-        if self.decoding:
-            values = np.tile(np.arange(256, dtype=np.uint8), len(share))
-            self.value = np.repeat(values, share.reshape(-1))
+    def rules(sure: np.ndarray, right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        was = np.stack(right, axis=1)
+        sure = sure[:, None]
+        kept = np.where(was | (sure > 0), -1, 0)
+        change = np.where(was, sure < _SURE, -(sure + 1 >> 1))
+        return kept.astype(np.int32).reshape(-1), change.astype(np.int32).reshape(-1)
 
-    def add(self, n: int, values: np.ndarray, counted: np.ndarray) -> None:
-        self.counts.reshape(-1)[self.row[:n] + values] += 24 * counted
+    return prior, rules(sure2, [~nothing, nothing, nothing, nothing]), rules(sure1, [same == 1, ~nothing, nothing, nothing])
 
 
-def _refreshing(step: int) -> bool:
-    return step in (16, 32, 64, 128) or (step and step % 256 == 0)
+_PRIOR, _LEARN2, _LEARN1 = _learning()
 
 
-class _Coder:
-    """Carry-less range coders, one for each lane: 64-bit low and range, 16-bit words."""
-
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-
-    def narrow(self, n: int, both: np.ndarray) -> None:
-        """To the part that begins at the upper half of `both` and is as long as its lower half."""
-        step = self.range[:n] >> U(_BITS)
-        wide = both.astype(U)
-        self.low[:n] += step * (wide >> U(16))
-        self.range[:n] = step * (wide & U(0xFFFF))
-
-    def due(self, n: int) -> np.ndarray:
-        """Lanes that must move on by a word; narrow ranges across a boundary are cut there."""
-        # A range of 2^48 or more has several upper words.
-        small = np.flatnonzero(self.range[:n] < U(1 << 48))
-        low, size = self.low[small], self.range[small]
-        same = (low ^ (low + size - U(1))) < U(1 << 48)
-        tight = ~same & (size < U(1 << 44))
-        if tight.any():
-            self.range[small[tight]] = (U(0) - low[tight]) & U((1 << 44) - 1)
-            same |= tight
-        return small[same]
-
-
-def _part(hit2: np.ndarray, hit1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> np.ndarray:
-    """Begin and length of the part of the range that says which prediction was right."""
-    used = f2 + f1
-    return np.where(hit2, f2, np.where(hit1, (f2 << 16) | f1, (used << 16) | (_ONE - used)))
+def _running(sizes: np.ndarray) -> list[int]:
+    """For each step, how many blocks have an id there; blocks come longest first."""
+    return np.searchsorted(-sizes, -np.arange(sizes[0]), "left").tolist()
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """Words of every block; blocks come longest first."""
     lanes, most = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((most, lanes), np.int64)
+    ids = np.zeros((lanes, most), np.uint16)
     for i, block in enumerate(blocks):
-        ids[: len(block), i] = block
-    mixer, coder = _Mixer(lanes), _Coder(lanes)
-    high, low = _Bytes(lanes, False), _Bytes(lanes, False)
-    room = most * 9 // 4 + 8
-    words, at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-    for step in range(most):
-        n = int(np.searchsorted(-sizes, -step, "left"))
-        if _refreshing(step):
-            high.refresh()
-            low.refresh()
-        x = ids[step, :n]
-        f2, f1 = mixer.predict(n)
-        hit2 = mixer.id2 == x
-        hit1 = ~hit2 & (mixer.id1 == x)
-        miss = ~(hit2 | hit1)
-        coder.narrow(n, _part(hit2, hit1, f2, f1))
-        for part, value in ((high, x >> 8), (low, x & 255)):
-            cell = part.row[:n] + value
-            coder.narrow(n, np.where(miss, part.both[cell], np.uint32(_ONE)))
-            part.add(n, value, miss)
-        mixer.learn(n, x, hit2, hit1)
-        while len(due := coder.due(n)):
-            words[due, at[due]] = (coder.low[due] >> U(48)).astype(np.uint16)
-            at[due] += 1
-            coder.low[due] <<= U(16)
-            coder.range[due] <<= U(16)
-    for i in range(4):
-        words[np.arange(lanes), at + i] = (coder.low >> U(48 - 16 * i)).astype(np.uint16)
-    return [words[i, : at[i] + 4] for i in range(lanes)]
+        ids[i, : len(block)] = block
+    ids = np.ascontiguousarray(ids.T)
+    mixer = _Mixer(lanes)
+    low, size = np.zeros(lanes), np.full(lanes, _TOP - 1)
+    # Carries wait in the place of the next word until all words are there.
+    words, carries = np.zeros((2 * most + 4) * lanes, np.uint16), np.zeros((2 * most + 4) * lanes, np.uint8)
+    at = np.arange(lanes)
+    for step, n in enumerate(_running(sizes)):
+        context = mixer.predict(n, step)
+        x = ids[step, :n].astype(np.int64)
+        wrong2, wrong1 = mixer.id2 != x, mixer.id1 != x
+        missed = (wrong2 & wrong1).astype(np.int64)
+        part = (context << 2) + wrong2 + missed
+        coded = (x & -missed) | ((1 - missed) << 16)
+        begin, length = mixer.place(part, coded)
+        mixer.learn(n, x, part, coded)
+        unit = np.floor(size[:n] * _SHARE)
+        low[:n] += unit * begin
+        over = np.flatnonzero(low[:n] >= _TOP)
+        carries[at[over]] += 1
+        low[over] -= _TOP
+        size[:n] = unit * length
+        due = np.flatnonzero(size[:n] < _LEAST)
+        while len(due):
+            word = np.floor(low[due] * (1 / _LEAST))
+            place = at[due]
+            words[place] = word
+            at[due] = place + lanes
+            low[due] = (low[due] - word * _LEAST) * _WORD
+            size[due] *= _WORD
+            due = due[size[due] < _LEAST]
+    for _ in range(3):
+        word = np.floor(low * (1 / _LEAST))
+        words[at] = word
+        at += lanes
+        low = (low - word * _LEAST) * _WORD
+    words, carries, at = words.reshape(-1, lanes), carries.reshape(-1, lanes), at // lanes
+    carry = np.zeros(lanes, np.int32)
+    for k in range(int(at.max()) - 1, -1, -1):
+        carry += words[k]
+        carry += carries[k + 1]
+        words[k] = carry & 0xFFFF
+        carry >>= 16
+    words = np.ascontiguousarray(words[: at.max()].T)
+    return [words[i, :n].copy() for i, n in enumerate(at.tolist())]
 
 
 def decode_blocks(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
     """Ids of blocks from their words and numbers of ids; blocks come longest first."""
     lanes, most = len(words), sizes[0]
     counts = np.array(sizes)
-    width = max(len(w) for w in words) + 8
-    code_words = np.zeros((lanes, width), np.uint16)
-    for i, w in enumerate(words):
-        code_words[i, : len(w)] = w
-    mixer, coder = _Mixer(lanes), _Coder(lanes)
-    high, low = _Bytes(lanes, True), _Bytes(lanes, True)
-    code = np.zeros(lanes, U)
-    for i in range(4):
-        code = (code << U(16)) | code_words[:, i].astype(U)
-    at = np.full(lanes, 4, np.int64)
-    ids = np.zeros((most, lanes), np.int64)
-    slot_row = np.arange(lanes) * _ONE
-
-    def slot(n: int) -> np.ndarray:
-        step = coder.range[:n] >> U(_BITS)
-        return np.minimum((code[:n] - coder.low[:n]) // step, U(_ONE - 1)).astype(np.int64)
-
-    for step in range(most):
-        n = int(np.searchsorted(-counts, -step, "left"))
-        if _refreshing(step):
-            high.refresh()
-            low.refresh()
-        f2, f1 = mixer.predict(n)
-        found = slot(n)
-        hit2 = found < f2
-        hit1 = ~hit2 & (found < f2 + f1)
-        miss = ~(hit2 | hit1)
-        coder.narrow(n, _part(hit2, hit1, f2, f1))
-        known = np.where(hit2, mixer.id2, mixer.id1).astype(np.int64)
-        parts = []
-        for part, own in ((high, known >> 8), (low, known & 255)):
-            value = np.where(miss, part.value[slot_row[:n] + slot(n)], own)
-            cell = part.row[:n] + value
-            coder.narrow(n, np.where(miss, part.both[cell], np.uint32(_ONE)))
-            part.add(n, value, miss)
-            parts.append(value)
-        x = parts[0] << 8 | parts[1]
+    width = max(map(len, words)) + 1
+    code = np.zeros((lanes, width), np.uint16)
+    for i, own in enumerate(words):
+        code[i, : len(own)] = own
+    code = code.reshape(-1)
+    mixer = _Mixer(lanes)
+    # How far the code lies above the low end of the range.
+    at, above, size = np.arange(lanes) * width, np.zeros(lanes), np.full(lanes, _TOP - 1)
+    for _ in range(3):
+        above = above * _WORD + code[at]
+        at += 1
+    ids = np.zeros((most, lanes), np.uint16)
+    for step, n in enumerate(_running(counts)):
+        context = mixer.predict(n, step)
+        unit = np.floor(size[:n] * _SHARE)
+        slot = np.minimum(np.floor(above[:n] / unit), _ONE * _SLOTS - 1)
+        wrong2 = slot >= mixer.end2.take(context, mode="clip")
+        missed = (slot >= mixer.end1.take(context, mode="clip")).astype(np.int64)
+        part = (context << 2) + wrong2 + missed
+        # For predicted ids this finds some id, which the masks leave out.
+        slot -= mixer.part_begin.take(part, mode="clip")
+        slot /= mixer.part_size.take(part, mode="clip")
+        found = mixer.value.take(slot.astype(np.int64), mode="clip").astype(np.int64) & -missed
+        said = mixer.id2 ^ ((mixer.id1 ^ mixer.id2) & -wrong2.astype(np.int32))
+        x = found | (said & (missed - 1))
+        coded = found | ((1 - missed) << 16)
+        begin, length = mixer.place(part, coded)
+        mixer.learn(n, x, part, coded)
         ids[step, :n] = x
-        mixer.learn(n, x, hit2, hit1)
-        while len(due := coder.due(n)):
-            code[due] = (code[due] << U(16)) | code_words[due, at[due]].astype(U)
-            at[due] += 1
-            coder.low[due] <<= U(16)
-            coder.range[due] <<= U(16)
-    return [ids[:n, i].astype(np.uint32) for i, n in enumerate(sizes)]
+        above[:n] -= unit * begin
+        size[:n] = unit * length
+        due = np.flatnonzero(size[:n] < _LEAST)
+        while len(due):
+            place = at[due]
+            above[due] = above[due] * _WORD + code[place]
+            at[due] = place + 1
+            size[due] *= _WORD
+            due = due[size[due] < _LEAST]
+    ids = np.ascontiguousarray(ids.T)
+    return [ids[i, :n].astype(np.uint32) for i, n in enumerate(counts.tolist())]
 
 
 def file_bytes(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block_ids: int = BLOCK_IDS) -> Iterator[bytes]:

@@ -10,12 +10,17 @@ by part: that its rules cut such pieces between letters and marks, as here, is t
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
-from collections.abc import Iterable
-from itertools import chain
+from array import array
+from collections import defaultdict
+from collections.abc import Callable
+from itertools import chain, count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -41,39 +46,44 @@ _BYTE_LETTERS = _byte_letters()
 _SPACE, _LINE_END = _BYTE_LETTERS.pop(32), _BYTE_LETTERS[10]
 
 
-class _Memo(dict):
-    """Numbers pieces in the order they are first met."""
+def _normaliser(tokenizer) -> Callable[[str], str]:
+    """The vocabulary's normalizer for words of _LETTERS or _MARKS with spaces between.
 
-    def __init__(self, prefix: str):
-        self.prefix, self.new, self.open = prefix, [], []
-
-    def __missing__(self, piece: str) -> int:
-        code = self[piece] = len(self)
-        self.new.append(self.prefix + piece)
-        # White space at an end of a piece: the space next to it may not be a place to cut.
-        self.open.append(not piece or piece[0].isspace() or piece[-1].isspace())
-        return code
+    Nothing in them can be composed, and there is no other white space; steps that do not come down to lower
+    case or nothing then go through the library.
+    """
+    if tokenizer.normalizer is None:
+        return str
+    steps = [json.loads(tokenizer.normalizer.__getstate__())]
+    while any(s["type"] == "Sequence" for s in steps):
+        steps = [inner for s in steps for inner in (s["normalizers"] if s["type"] == "Sequence" else [s])]
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if all(s["type"] in ("NFC", "Lowercase") or s == spaces for s in steps):
+        return str.lower if any(s["type"] == "Lowercase" for s in steps) else str
+    return tokenizer.normalizer.normalize_str
 
 
 class _Known:
     """Ids of the pieces of one memo, one after another."""
 
     def __init__(self, prefix: str):
-        self.memo = _Memo(prefix)
+        # Pieces are numbered in the order they are first met.
+        self.prefix, self.memo = prefix, defaultdict(count().__next__)
         self.bounds, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
         self.uses, self.open = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def open_ends(self) -> np.ndarray:
         """For every piece met so far, whether it has white space at an end."""
-        if self.memo.open:
-            self.open, self.memo.open = np.concatenate([self.open, np.array(self.memo.open, bool)]), []
+        if len(self.open) < len(self.memo):
+            # White space at an end of a piece: the space next to it may not be a place to cut.
+            new = [not p or p[0].isspace() or p[-1].isspace() for p in islice(self.memo, len(self.open), None)]
+            self.open = np.concatenate([self.open, np.array(new, bool)])
         return self.open
 
     def learn(self, encode) -> None:
-        new, self.memo.new = self.memo.new, []
+        new = [self.prefix + piece for piece in islice(self.memo, len(self.bounds) - 1, None)]
         if not new:
             return
-        self.open_ends()
         ids, sizes = encode(new)
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, ids])
@@ -97,11 +107,10 @@ class _Known:
         ends = np.cumsum(size)
         self.ids = self.ids[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         self.bounds, self.uses = np.concatenate([[0], ends]).astype(np.int64), self.uses[kept]
-        memo = _Memo(self.memo.prefix)
-        for code, old in enumerate(kept.tolist()):
-            memo[pieces[old]] = code
-        self.open = self.open[kept]
-        self.memo, self.chars = memo, int(sizes[kept].sum())
+        if len(self.open):
+            self.open = self.open_ends()[kept]
+        self.memo = defaultdict(count(len(kept)).__next__, zip((pieces[old] for old in kept.tolist()), count()))
+        self.chars = int(sizes[kept].sum())
 
 
 class TextEncoder:
@@ -127,43 +136,48 @@ class TextEncoder:
         ]
         self.between = between[-1] if between else None
         self.keeps_spaces = keeps_spaces
+        self.normalise = _normaliser(self.tokenizer)
         self.forget()
         examples = [space + word + mark for word in _EXAMPLES for mark in ("", ".", "?!", "##") for space in ("", " ")]
         examples = examples if keeps_spaces else [e for e in examples if e[0] != " "]
         found = self._words([_WORDS.fullmatch(e).groups() for e in examples])
-        self.knows_words = found == [list(x) for x in self._each(examples)]
+        self.knows_words = found == [x.tobytes() for x in self._each(examples)]
 
     def forget(self) -> None:
         """The pieces met so far."""
-        self.plain, self.spaced = _Known(""), _Known(" ")
-
-    def _byte_letters(self, words: Iterable[str]) -> list[str]:
-        """Words as the model takes them: normalised, each byte as its letter."""
-        text = " ".join(words)
-        if self.tokenizer.normalizer:
-            text = self.tokenizer.normalizer.normalize_str(text)
-        return (text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)).split(" ")
-
-    def _words(self, pieces: list[tuple[str, str, str, str]]) -> list[list[int]]:
-        """Ids of (space or nothing, first word, marks, rest) by the model alone; marks and rests are often the same."""
-        tokenize, space = self.tokenizer.model.tokenize, _SPACE
+        self.plain, self.spaced, self.words = _Known(""), _Known(" "), {}
+
+    def _normalised(self, words: list[str]) -> list[str]:
+        """Words of _LETTERS or _MARKS."""
+        return self.normalise(" ".join(words)).split(" ")
+
+    def _model_ids(self, words: list[str]) -> list[bytes]:
+        """Ids, as 32-bit numbers, of normalised words by the model alone; a space in front is a letter to it. Each word is looked up once."""
+        known, tokenize = self.words, self.tokenizer.model.tokenize
+        new = [word for word in dict.fromkeys(words) if word not in known]
+        if new:
+            text = " ".join([word.lstrip(" ") for word in new])
+            # As the model takes them: each byte as its letter.
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            for word, own in zip(new, letters.split(" ")):
+                known[word] = array("I", [t.id for t in tokenize(_SPACE + own if word[:1] == " " else own)]).tobytes()
+        return [known[word] for word in words]
+
+    def _words(self, pieces: list[tuple[str, str, str, str]]) -> list[bytes]:
+        """Ids of (space or nothing, first word, marks, rest); marks and rests are often the same."""
+        if len(self.words) > MEMO_PIECES:
+            self.words.clear()
         parts = dict.fromkeys(chain.from_iterable(_PARTS.findall(mark + rest) for _, _, mark, rest in pieces if mark or rest))
-        # A line end between two words is a token where spaces are kept.
-        line_end = [t.id for t in tokenize(_LINE_END)] if self.keeps_spaces else []
         parts.pop("\n", None)
-        for part, own in zip(list(parts), self._byte_letters(parts)):
-            parts[part] = [t.id for t in tokenize(own)]
-        parts["\n"] = line_end
-        out = []
-        for (before, _, mark, rest), own in zip(pieces, self._byte_letters([word for _, word, _, _ in pieces])):
-            ids = [t.id for t in tokenize(space + own if before else own)]
-            if rest:
-                for part in _PARTS.findall(mark + rest):
-                    ids += parts[part]
-            elif mark:
-                ids += parts[mark]
-            out.append(ids)
-        return out
+        ids = dict(zip(parts, self._model_ids(self._normalised(list(parts)))))
+        # A line end between two words is a token where spaces are kept.
+        ids["\n"] = array("I", [t.id for t in self.tokenizer.model.tokenize(_LINE_END)] if self.keeps_spaces else []).tobytes()
+        firsts = self._normalised([word for _, word, _, _ in pieces])
+        firsts = self._model_ids([before + word for (before, _, _, _), word in zip(pieces, firsts)])
+        return [
+            own + b"".join([ids[part] for part in _PARTS.findall(mark + rest)]) if rest else own + ids[mark] if mark else own
+            for own, (_, _, mark, rest) in zip(firsts, pieces)
+        ]
 
     def _each(self, pieces: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
@@ -174,9 +188,8 @@ class TextEncoder:
         parts = [_WORDS.fullmatch(p) for p in pieces] if self.knows_words else [None] * len(pieces)
         words = iter(self._words([m.groups() for m in parts if m]))
         others = iter(self._others([p for p, m in zip(pieces, parts) if not m]))
-        out = [next(words) if m else next(others) for m in parts]
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+        out = [next(words) if m else next(others).tobytes() for m in parts]
+        return np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def _others(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of pieces that the library must look at as text."""
@@ -207,6 +220,21 @@ class TextEncoder:
             if collects:
                 gc.enable()
 
+    def _coded_at_spaces(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Odd codes of the pieces between any two spaces of each text; pieces that are the same meet before they are looked up."""
+        whole = [bool(text and self.added and self.added.search(text)) for text in texts]
+        cut = pc.split_pattern(pa.array([None if w else t or None for t, w in zip(texts, whole)], pa.large_string()), " ")
+        met = cut.flatten().dictionary_encode()
+        find = self.plain.memo.__getitem__
+        pieces = met.dictionary.to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(find, pieces), np.int64, len(pieces)) * 2 + 1
+        found = found[met.indices.to_numpy()]
+        bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy())])
+        return [
+            np.array([find(text) * 2 + 1]) if w else found[a:b]
+            for text, w, a, b in zip(texts, whole, bounds[:-1].tolist(), bounds[1:].tolist())
+        ]
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         self.plain.tidy()
         self.spaced.tidy()
@@ -219,18 +247,15 @@ class TextEncoder:
             found[1:] = np.fromiter(map(spaced.__getitem__, rest), np.int64, len(rest)) * 2
             return found
 
-        codes = []
-        for text in texts:
+        codes = [] if self.keeps_spaces else self._coded_at_spaces(texts)
+        for text in texts if self.keeps_spaces else []:
             if not text:
                 codes.append(np.zeros(0, np.int64))
             elif self.added and self.added.search(text):
                 codes.append(coded(text, []))
-            elif self.keeps_spaces:
-                pieces = text.split(" ")
-                codes.append(coded(pieces[0], pieces[1:]))
             else:
                 pieces = text.split(" ")
-                codes.append(np.fromiter(map(plain.__getitem__, pieces), np.int64, len(pieces)) * 2 + 1)
+                codes.append(coded(pieces[0], pieces[1:]))
         if self.keeps_spaces:
             open_plain, open_spaced = self.plain.open_ends(), self.spaced.open_ends()
             for i, found in enumerate(codes):

@@ -119,6 +119,33 @@ def test_random_ids_and_extremes_round_trip():
     assert all((a == b).all() for a, b in zip(blocks, idfiles.decode_blocks(words, [2000] * 6)))
 
 
+def test_blocks_learn_from_each_other():
+    rng = np.random.default_rng(6)
+    first = rng.integers(0, 5000, 400).astype(np.uint32)
+    # Each block is the one before, ten ids later, so that nothing repeats within a block.
+    many = [np.roll(first, 10 * i)[:300] for i in range(30)]
+    alone, together = (sum(map(len, idfiles.encode_blocks(b))) for b in ([many[0]], many))
+    assert together < 0.5 * alone * len(many)
+
+
+def test_blocks_that_end_at_any_length_round_trip():
+    rng = np.random.default_rng(8)
+    blocks = [rng.integers(0, 50, n).astype(np.uint32) for n in (200, 130, 129, 128, 2, 1, 1)]
+    words = idfiles.encode_blocks(blocks)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, idfiles.decode_blocks(words, [len(b) for b in blocks])))
+
+
+@pytest.mark.parametrize("path, spaces", [(queries.BYTE_VOCABULARY, True), (queries.WORD_VOCABULARY, False)])
+def test_a_word_goes_to_the_model_once(path, spaces):
+    own, library = tokens.TextEncoder(path, spaces), Tokenizer.from_file(path)
+    texts = ["a tree, tree. tree! Tree", "tree; (tree) tree\nTree, TREE?"]
+    ids, bounds = own.encode(texts)
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    met = [word for word in own.words if word.strip().lower() == "tree"]
+    assert 0 < len(met) <= (6 if spaces else 1)
+
+
 def test_damaged_files_are_refused():
     ids = np.arange(1000, dtype=np.uint32) % 50
     data = b"".join(idfiles.file_bytes([3, None], [600, 400], ids))
