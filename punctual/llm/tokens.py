@@ -4,7 +4,8 @@ Texts are cut where no token can cross: before a space between two characters th
 space (byte-level vocabularies, whose words carry the space in front of them) or at every space
 (vocabularies that drop white space). A task keeps the ids of the pieces it has met, up to a bound, and
 forgets them when it ends. A new piece of nothing but letters and marks goes to the library's model part
-by part: that its rules cut such pieces between letters and marks, as here, is tested on examples.
+by part, each part once: that its rules cut such pieces between letters and marks, as here, is tested on
+examples.
 """
 
 from __future__ import annotations
@@ -166,18 +167,17 @@ class TextEncoder:
     def _words(self, pieces: list[tuple[str, str, str, str]]) -> list[bytes]:
         """Ids of (space or nothing, first word, marks, rest); marks and rests are often the same."""
         if len(self.words) > MEMO_PIECES:
-            self.words.clear()
-        parts = dict.fromkeys(chain.from_iterable(_PARTS.findall(mark + rest) for _, _, mark, rest in pieces if mark or rest))
+            # Frequent words are met early.
+            self.words = dict(islice(self.words.items(), MEMO_PIECES // 2))
+        after = [_PARTS.findall(mark + rest) if rest else (mark,) if mark else () for _, _, mark, rest in pieces]
+        parts = dict.fromkeys(chain.from_iterable(after))
         parts.pop("\n", None)
         ids = dict(zip(parts, self._model_ids(self._normalised(list(parts)))))
         # A line end between two words is a token where spaces are kept.
         ids["\n"] = array("I", [t.id for t in self.tokenizer.model.tokenize(_LINE_END)] if self.keeps_spaces else []).tobytes()
         firsts = self._normalised([word for _, word, _, _ in pieces])
         firsts = self._model_ids([before + word for (before, _, _, _), word in zip(pieces, firsts)])
-        return [
-            own + b"".join([ids[part] for part in _PARTS.findall(mark + rest)]) if rest else own + ids[mark] if mark else own
-            for own, (_, _, mark, rest) in zip(firsts, pieces)
-        ]
+        return [own + b"".join([ids[part] for part in more]) if more else own for own, more in zip(firsts, after)]
 
     def _each(self, pieces: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
